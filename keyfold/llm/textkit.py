@@ -74,6 +74,27 @@ class Chunk:
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Of each byte: 0 white space, 1 letters, digits and all beyond ASCII, 2 the rest.
+BYTE_CLASS = np.full(256, 2, np.int8)
+BYTE_CLASS[IS_SPACE] = 0
+BYTE_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+#: Of each byte, what it adds to a token's shape: capital, small, digit, beyond ASCII, the rest.
+SHAPE_BIT = np.zeros(256, np.uint8)
+SHAPE_BIT[65:91], SHAPE_BIT[97:123], SHAPE_BIT[48:58], SHAPE_BIT[128:] = 1, 2, 4, 8
+SHAPE_BIT[(BYTE_CLASS == 2)] = 16
+
+
+def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and digits, and runs of other signs: starts, ends, and
+    each text's first token (then the number of all)."""
+    kind = np.zeros(len(chunk.buf) + 1, np.int8)
+    kind[:-1] = BYTE_CLASS[chunk.buf]
+    change = np.flatnonzero(np.diff(kind, prepend=0))
+    starts = change[kind[change] != 0]
+    ends = np.append(change, len(chunk.buf))[np.searchsorted(change, starts, side="right")]
+    return starts, ends, np.searchsorted(starts, chunk.doc_start)
+
+
 def encoded(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
