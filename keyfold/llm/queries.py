@@ -3,18 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, quality, simhash, token_shards
 from .shared import table
 
 
+def tokenizer_path(name: str = token_shards.TOKENIZER) -> str:
+    """Where the installed vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = quality.held_out(3, 1)
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held)
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back."""
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = (op1_quality_classifier, op4_source_mixing, op5_simhash_near_dedup, op8_token_shards)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_simhash_near_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,9 +39,9 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced while it occurs this often in its shard.
 MIN_COUNT = 12
-ROUNDS = 8
+ROUNDS = 4
 #: Pairs that one round replaces at most; the next round takes the others.
-ROUND_PAIRS = 2000
+ROUND_PAIRS = 4000
 #: Distinct parts of texts whose ids a process remembers.
 CACHE = 600_000
 
