@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, token_shards
+from . import html_text, media, mixing, quality, simhash, token_shards
 from .shared import table
 
 
@@ -35,12 +35,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back."""
     return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = (op1_quality_classifier, op4_source_mixing, op5_simhash_near_dedup, op8_token_shards)
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, checksums and feature of every document's stored payload."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_quality_classifier, op4_source_mixing, op5_simhash_near_dedup, op6_html_text, op8_token_shards, op10_media_columns)
 
 
 def queries() -> dict:
