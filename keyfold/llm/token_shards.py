@@ -24,7 +24,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_schema, fresh_path
+from .textkit import Chunk, encoded
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -42,8 +42,55 @@ MIN_COUNT = 12
 ROUNDS = 4
 #: Pairs that one round replaces at most; the next round takes the others.
 ROUND_PAIRS = 4000
-#: Distinct parts of texts whose ids a process remembers.
-CACHE = 600_000
+#: Slots of the table of parts whose ids a process remembers (20 bytes each, at most 60 % used).
+SLOTS = 1 << 22
+
+
+class PartTable:
+    """Ids of parts of texts: an open-addressing hash table in numpy arrays.
+
+    A part is known by its 64-bit hash, its length and its first 8 bytes."""
+
+    def __init__(self, slots: int):
+        self.bits, self.used = slots.bit_length() - 1, 0
+        self.key, self.head = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.code = np.zeros(slots, np.int32)
+        self.begin, self.flat = np.zeros(1, np.int32), np.zeros(0, np.int32)
+
+    @property
+    def full(self) -> bool:
+        return self.used * 5 > len(self.key) * 3
+
+    def find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """The code of each part, -1 if not known."""
+        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        code = np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            there = self.key[at]
+            hit = (there == key[left]) & (self.head[at] == head[left])
+            code[left[hit]] = self.code[at[hit]]
+            go = ~hit & (there != 0)
+            left, at = left[go], (at[go] + 1) & (len(self.key) - 1)
+        return code
+
+    def add(self, key: np.ndarray, head: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Distinct parts that aren't known, with their ids in a row."""
+        code = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(key), dtype=np.int32)
+        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(length)).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        at, left = (key >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(key))
+        while len(left):
+            free = self.key[at] == 0
+            self.key[at[free]] = key[left[free]]  # of several for one slot, the last stays
+            own = free & (self.key[at] == key[left])
+            self.head[at[own]], self.code[at[own]] = head[left[own]], code[left[own]]
+            left, at = left[~own], (at[~own] + 1) & (len(self.key) - 1)
+        self.used += len(key)
+
+
+#: By length, what of 8 bytes belongs to a part.
+_HEAD_MASK = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
 
 
 class Encoder:
@@ -53,60 +100,82 @@ class Encoder:
     itself.  A blank or a line feed that no other white space touches always
     begins a piece, so texts are cut there, and each distinct part is given to
     the library once.  Texts with other white space, with special tokens or
-    with signs beyond U+052F are given to it whole."""
+    with signs beyond U+04FF are given to it whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.size = self.lib.get_vocab_size()
-        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.whole = [*special, *"\0\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0", "  ", "\n\n", " \n", "\n "]
+        special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        other = [bytes([c]) for c in b"\0\t\r\v\f\x1c\x1d\x1e\x1f"]
+        self.whole = [*special, *other, b"\xc2\x85", b"\xc2\xa0", b"  ", b"\n\n", b" \n", b"\n "]
         self.feed = self.lib.encode("\n", add_special_tokens=False).ids[0]
-        self.code: dict[str, int] = {"": 0, "\n": 1}
-        self.begin, self.flat = np.array([0, 0, 1]), np.array([self.feed])
+        self.table = PartTable(slots)
 
-    def simple(self, text: str) -> bool:
-        return (text.isascii() or max(text) < "\u0530") and not any(s in text for s in self.whole) and text[-1:] not in " \n" and text[:1] != " "
+    def simple(self, text: bytes) -> bool:
+        return not any(s in text for s in self.whole) and (text.isascii() or max(text) < 0xD4) and text[-1:] not in (b" ", b"\n") and text[:1] not in (b" ", b"\n")
 
-    def learn(self, parts: list[str]) -> None:
-        """Ids of parts, given to the library in one text: line feeds between
-        them are pieces of their own, and no part holds one."""
-        ids = np.array(self.lib.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, np.int64)
+    def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, in a row, and the number of each.  They are given
+        to the library in one text: the line feeds between them are pieces of
+        their own, and no part holds one."""
+        ids = np.array(self.lib.encode_batch_fast([b"\n".join(parts).decode()], add_special_tokens=False)[0].ids, np.int64)
         stop = np.append(np.flatnonzero(ids == self.feed), len(ids))
-        length = np.diff(stop, prepend=-1) - 1
-        known = len(self.begin) - 1
-        self.code.update(zip(parts, range(known, known + len(parts)), strict=True))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(length)])
-        self.flat = np.concatenate([self.flat, ids[ids != self.feed]])
+        return ids[ids != self.feed], np.diff(stop, prepend=-1) - 1
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, and the number of each."""
         simple = [self.simple(t) for t in texts]
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, ok in zip(texts, simple, strict=True) if ok]
-        parts = list(chain.from_iterable(cut))
-        new = set(parts).difference(self.code)
-        full = len(self.code) + len(new) > CACHE
-        before = self.begin, self.flat
-        if new:
-            self.learn(list(new))
-        code = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
-        ids, at = spread(self.begin[code], self.begin[code + 1] - self.begin[code], self.flat)
-        if full:
-            for p in new:
-                del self.code[p]
-            self.begin, self.flat = before
-        edge = np.zeros(len(cut) + 1, np.int64)
-        np.cumsum(list(map(len, cut)), out=edge[1:])
-        edge = at[edge]
-        if len(cut) == len(texts):
-            return ids, np.diff(edge)
+        ids, at, edge = self._simple_ids([t for t, ok in zip(texts, simple, strict=True) if ok])
+        if len(edge) > len(texts):
+            return ids, np.diff(at[edge])
         out, j = [], 0
         for t, ok in zip(texts, simple, strict=True):
-            out.append(ids[edge[j] : edge[j + 1]] if ok else np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int64))
+            out.append(ids[at[edge[j]] : at[edge[j + 1]]] if ok else np.array(self.lib.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64))
             j += ok
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
+    def _simple_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all parts of the texts, where each part's ids begin, and
+        each text's first part (then the number of parts)."""
+        chunk = Chunk(0, texts, lower=False)
+        raw = b"\n".join([*texts, b""])  # a line feed ends every text
+        chunk.buf = buf = np.frombuffer(raw, np.uint8)
+        feed = buf == 10
+        cut = feed | (buf == 32)
+        cut[1:] |= feed[:-1]
+        cut[:1] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(buf))
+        inner = np.ones(len(start), bool)
+        inner[np.searchsorted(start, chunk.doc_start[1:] - 1)] = False  # the line feeds that end texts
+        start, end = start[inner], end[inner]
+        edge = np.searchsorted(start, chunk.doc_start)
+        key = chunk.hashes(start, end) | np.uint64(1)
+        eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))
+        length = end - start
+        head = (eight[start] & _HEAD_MASK[np.minimum(length, 8)]) ^ (length.astype(np.uint64) << np.uint64(56))
+        code = self.table.find(key, head)
+        ids, begin = self.table.flat, self.table.begin
+        lost = np.flatnonzero(code < 0)
+        if len(lost):
+            _, first, back = np.unique(key[lost], return_index=True, return_inverse=True)
+            first = lost[first]
+            line = buf[start[first]] == 10
+            got, number = self.learn([raw[a:b] if not z else b"" for a, b, z in zip(start[first].tolist(), end[first].tolist(), line.tolist(), strict=True)])
+            if line.any():  # the part that is a line feed itself
+                k = int(np.flatnonzero(line)[0])
+                got, number = np.insert(got, int(number[:k].sum()), self.feed), number + line
+            known = len(begin) - 1
+            code[lost] = known + back
+            ids = np.concatenate([ids, got])
+            begin = np.concatenate([begin, begin[-1] + np.cumsum(number)])
+            if not self.table.full:
+                self.table.add(key[first], head[first], got, number)
+        out, at = spread(begin[code].astype(np.int64), (begin[code + 1] - begin[code]).astype(np.int64), ids)
+        return out, at, edge
+
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
@@ -241,13 +310,13 @@ class Shard:
         return ids
 
 
-def _pieces(batches) -> Iterator[tuple[list, list[str]]]:
+def _pieces(batches) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts, about a megabyte at a time."""
     keys, texts, size = [], [], 0
     for batch in batches:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k, t in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist()), strict=True):
             keys.append(k)
-            texts.append(t or "")
+            texts.append(t)
             size += len(texts[-1])
             if size > 1 << 20:
                 yield keys, texts
