@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, mixing, quality, simhash, token_shards
+from . import decontaminate, html_text, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity
 from .shared import table
 
 
@@ -25,6 +25,22 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, bytes before and after, bytes in repeated passages and removed."""
+    got = line_chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = lambda c: F.octet_length(F.coalesce(c, F.lit(""))).cast("long")
+    return got.select("doc_id", size("text").alias("n_bytes"), size("line_text").alias("kept_bytes"), "repeated_bytes", F.size("removed").alias("removed_chunks"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = quality.held_out(5, 0)
+    index = toxicity.build_index(docs, table(spark, sf_dir, "labels"), "toxic", ~held)
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -40,17 +56,39 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sentences, licences, n_licences of every document."""
+    got = licences.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.array_join("sentence_ids", " ").alias("sentences"), F.array_join("licences", " ").alias("licences"), F.size("licences").alias("n_licences"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back."""
     return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words of every leak."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, checksums and feature of every document's stored payload."""
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_classifier, op4_source_mixing, op5_simhash_near_dedup, op6_html_text, op8_token_shards, op10_media_columns)
+QUERIES = (
+    op1_quality_classifier,
+    op2_line_chunks,
+    op3_toxicity,
+    op4_source_mixing,
+    op5_simhash_near_dedup,
+    op6_html_text,
+    op7_licence_scan,
+    op8_token_shards,
+    op9_decontamination,
+    op10_media_columns,
+)
 
 
 def queries() -> dict:
@@ -58,4 +96,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator on whole tables; the others are
+    tested against brute force, round trips or held-out labels."""
+    return {"op7_licence_scan": licences.oracle()}
