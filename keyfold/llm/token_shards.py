@@ -163,10 +163,10 @@ class Encoder:
             _, first, back = np.unique(key[lost], return_index=True, return_inverse=True)
             first = lost[first]
             line = buf[start[first]] == 10
-            got, number = self.learn([raw[a:b] if not z else b"" for a, b, z in zip(start[first].tolist(), end[first].tolist(), line.tolist(), strict=True)])
-            if line.any():  # the part that is a line feed itself
-                k = int(np.flatnonzero(line)[0])
-                got, number = np.insert(got, int(number[:k].sum()), self.feed), number + line
+            parts = [raw[a:b] for a, b in zip(start[first[~line]].tolist(), end[first[~line]].tolist(), strict=True)]
+            got, number = self.learn(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for k in np.flatnonzero(line).tolist():  # the part that is a line feed itself
+                got, number = np.insert(got, int(number[:k].sum()), self.feed), np.insert(number, k, 1)
             known = len(begin) - 1
             code[lost] = known + back
             ids = np.concatenate([ids, got])
