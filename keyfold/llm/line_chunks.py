@@ -30,8 +30,8 @@ from .textkit import chunks, mix
 
 MIN_LINES = 2
 MIN_WORDS = 20
-#: Pieces that a hot chunk's occurrences are dealt to.
-SALTS = 16
+#: A hash is hot above this part of all occurrences.
+HOT = 1000
 _MARKS = np.zeros(256, bool)
 _MARKS[[33, 46, 63]] = True
 
@@ -89,45 +89,81 @@ def _hash_counts(batches, text: str, schema: pa.Schema):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
 
 
-def _occurrences(batches, schema: pa.Schema):
+def _asks(batches, hot: np.ndarray, schema: pa.Schema):
+    """Each text's distinct chunk hashes but the hot ones, by its mark."""
     for batch in batches:
-        ids, marks = batch.column("line_id"), batch.column("line_mark")
+        marks = batch.column("line_mark")
+        for c in chunks(batch.column("line_text").to_pylist(), lower=False):
+            doc, _, _, h, _, _ = cut_chunks(c)
+            rare = ~np.isin(h, hot)
+            pairs = np.unique(np.stack([doc[rare].astype(np.uint64), h[rare]]), axis=1)
+            own = pa.array(pairs[0].astype(np.int64) + c.first)
+            yield pa.RecordBatch.from_arrays([marks.take(own), pa.array(pairs[1].view(np.int64))], schema=schema)
+
+
+def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schema: pa.Schema):
+    """The chunks of repeated hashes that lie in a long enough run of them."""
+    for batch in batches:
+        ids, marks, known = batch.column("line_id"), batch.column("line_mark"), batch.column("hashes").to_pylist()
         for c in chunks(batch.column("line_text").to_pylist(), lower=False):
             doc, a, b, h, lines, words = cut_chunks(c)
-            own = pa.array(doc + c.first)
-            place = a - c.doc_start[doc]
-            bytes_ = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            seq = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            cols = [ids.take(own), marks.take(own), pa.array(seq), pa.array(place), pa.array(b - a), pa.array(lines), pa.array(words), pa.array(h.view(np.int64)), pa.array(bytes_, pa.binary())]
+            edge = np.searchsorted(doc, np.arange(c.n + 1))
+            again = np.isin(h, hot)
+            for d in range(c.n):
+                own = slice(edge[d], edge[d + 1])
+                again[own] |= np.isin(h[own], np.array(known[c.first + d] or [], np.int64).view(np.uint64))
+            opens = np.r_[True, (doc[1:] != doc[:-1]) | (again[1:] != again[:-1])][: len(doc)]
+            run = np.cumsum(opens) - 1
+            enough = (np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words) if len(run) else np.zeros(0, bool)
+            at = np.flatnonzero(again & enough[run])
+            seq = at - edge[doc[at]]
+            raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+            own = pa.array(doc[at] + c.first)
+            cols = [ids.take(own), marks.take(own), pa.array(seq), pa.array(a[at] - c.doc_start[doc[at]]), pa.array((b - a)[at]), pa.array(lines[at]), pa.array(words[at]), pa.array(h[at].view(np.int64)), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """line_id, line_mark (id and hash of the text), seq, place, size (bytes),
-    lines, words and is_first of each occurrence of a repeated chunk."""
+def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """line_mark (hash of id and text), seq, place, size (bytes), lines, words
+    and is_first of each occurrence of a repeated chunk.
+
+    A hash with over 1/HOT of all occurrences is hot: there are fewer than HOT
+    of them, so they are broadcast and their rows never meet in one task.
+    Marks that collide do no harm: a mark only brings a text hashes that are
+    repeated anyway."""
+    spark = docs.sparkSession
     counted = "hash long, n long"
     schema = arrow_schema(counted)
     hashes = docs.select(text).mapInArrow(lambda it: _hash_counts(it, text, schema), counted)
-    again = hashes.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    salted = materialise(again, "hashes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashes = materialise(hashes.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes")
+    total = hashes.agg(F.sum("n")).first()[0] or 0
+    hot = np.array([r["hash"] for r in hashes.where(F.col("n") > total / HOT).select("hash").collect()], np.int64).view(np.uint64)
+
+    keyed = docs.select(F.col(doc_id).alias("line_id"), F.xxhash64(doc_id, text).alias("line_mark"), F.col(text).alias("line_text"))
+    pair = "line_mark long, hash long"
+    ask_schema = arrow_schema(pair)
+    asked = keyed.select("line_mark", "line_text").mapInArrow(lambda it: _asks(it, hot, ask_schema), pair)
+    told = asked.join(hashes.where(F.col("n") <= total / HOT).select("hash"), "hash", "left_semi")
+    told = told.groupBy("line_mark").agg(F.collect_set("hash").alias("hashes"))
 
-    keyed = docs.select(F.col(doc_id).alias("line_id"), F.xxhash64(text).alias("line_mark"), F.col(text).alias("line_text"))
     out = f"line_id {dict(docs.dtypes)[doc_id]}, line_mark long, seq long, place long, size long, lines long, words long, hash long, bytes binary"
     wide = arrow_schema(out)
-    occ = keyed.mapInArrow(lambda it: _occurrences(it, wide), out)
-    occ = occ.withColumn("salt", F.pmod(F.xxhash64("line_id", "line_mark", "seq"), F.lit(SALTS)).cast("int"))
-    occ = materialise(occ.join(salted, ["hash", "salt"], "left_semi"), "occurrences")
+    with_hashes = keyed.join(told, "line_mark", "left").select("line_id", "line_mark", "line_text", "hashes")
+    occ = materialise(with_hashes.mapInArrow(lambda it: _occurrences(it, hot, min_lines, min_words, wide), out), "occurrences")
 
     # Byte comparison: groups are formed by the bytes, partial groups first.
+    second = F.xxhash64("bytes", F.lit(5)).alias("second")
     order = F.struct(F.col("line_id").isNull().alias("no_id"), "line_id", "line_mark", "place")
     same = occ.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    kinds = same.groupBy("hash").agg(F.count("*").alias("kinds"))
-    same = materialise(same.where("n > 1").join(kinds, "hash"), "same")
-    # One text per hash: the hash stands for the bytes; else they are compared again.
-    same = same.select("hash", F.when(F.col("kinds") > 1, F.col("bytes")).alias("told"), "first")
-    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = occ.join(same, ["hash", "salt"]).where(F.col("told").isNull() | (F.col("told") == F.col("bytes")))
-    return hit.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", (order == F.col("first")).alias("is_first"))
+    # Should both hashes ever agree on different bytes, those chunks stay.
+    same = same.groupBy("hash", second).agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.min("first").alias("first"))
+    same = materialise(same.where("n > 1 and kinds = 1"), "same")
+    size = same.agg(F.sum("n")).first()[0] or 0
+    light = occ.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", "hash", second)
+    often = spark.createDataFrame(same.where(F.col("n") > size / HOT).select("hash", "second", "first").collect(), same.select("hash", "second", "first").schema)
+    busy = light.join(F.broadcast(often), ["hash", "second"])
+    rare = light.join(F.broadcast(often.select("hash", "second")), ["hash", "second"], "left_anti").join(same.where(F.col("n") <= size / HOT).select("hash", "second", "first"), ["hash", "second"])
+    return busy.unionByName(rare).select("line_mark", "seq", "place", "size", "lines", "words", (order == F.col("first")).alias("is_first"))
 
 
 def runs(spans: list[dict], min_lines: int, min_words: int) -> list[dict]:
@@ -166,11 +202,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The rows of docs with the columns line_text (the text without repeats),
     repeated_bytes (in runs of repeated chunks, kept or not) and removed (the
     byte ranges taken out)."""
-    found = repeated_chunks(docs, text, doc_id)
-    spans = found.groupBy("line_id", "line_mark").agg(F.collect_set(F.struct("seq", "place", "size", "lines", "words", "is_first")).alias("spans"))
-    left = docs.withColumns({"line_mark": F.xxhash64(text), "line_text": F.col(text)})
-    both = left.join(spans, left[doc_id].eqNullSafe(spans["line_id"]) & (left["line_mark"] == spans["line_mark"]), "left")
-    both = both.select(*(left[c] for c in docs.columns), left["line_text"], "spans")
+    found = repeated_chunks(docs, text, doc_id, min_lines, min_words)
+    spans = found.groupBy("line_mark").agg(F.collect_set(F.struct("seq", "place", "size", "lines", "words", "is_first")).alias("spans"))
+    left = docs.withColumn("line_mark", F.xxhash64(doc_id, text))
+    both = left.join(spans, "line_mark", "left").select(*docs.columns, F.col(text).alias("line_text"), "spans")
     out = docs.withColumns({"line_text": F.col(text), "repeated_bytes": F.lit(0).cast("long"), "removed": F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))}).schema
     schema = arrow_schema(out)
     return both.mapInArrow(lambda it: _remove(it, min_lines, min_words, schema), out)
