@@ -44,6 +44,8 @@ MIN_CHI2 = 12.0
 MIN_ROWS = 4
 NEIGHBOURS = 15
 BLOCK = 64
+#: Queries that are answered together; bounds the memory of a round.
+QUERIES = 256
 PREFIXES = (4, 5)
 
 
@@ -128,6 +130,7 @@ class BlockMaxIndex:
         self.cut = np.searchsorted(cell, np.arange(len(wanted) * max(self.blocks, 1) + 1))
         self.most = np.zeros((len(wanted), self.blocks))
         np.maximum.at(self.most.reshape(-1), cell, self.weight)
+        self.opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.curve = (0.0, 1.0)
 
     @staticmethod
@@ -141,28 +144,66 @@ class BlockMaxIndex:
 
     def nearest(self, place: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines above 0, and the cosines."""
-        bound = weight @ self.most[place]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, value, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            if len(value) >= k and bound[order[at]] < value[k - 1] - 1e-12:
+        return next(self.nearest_of([(place, weight)], k, np.array([without])))
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a block, and their weights in its examples."""
+        if b not in self.opened:
+            has = np.flatnonzero(self.most[:, b] > 0)
+            a, e = self.cut[has * self.blocks + b], self.cut[has * self.blocks + b + 1]
+            row = np.repeat(np.arange(len(has)), e - a)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
+            weights = np.zeros((len(has), BLOCK))
+            weights[row, self.owner[at] - b * BLOCK] = self.weight[at]
+            self.opened[b] = has, weights
+        return self.opened[b]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of many queries.  In each round a query asks for its next
+        blocks, in the order of their bounds, and a block serves all queries
+        that ask for it in one product; a query ends as nearest() says."""
+        for lo in range(0, len(queries), QUERIES):
+            part = queries[lo : lo + QUERIES]
+            yield from self._nearest_part(part, k, np.full(len(part), -1) if without is None else without[lo : lo + QUERIES])
+
+    def _nearest_part(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(queries)
+        dense = np.zeros((n, len(self.wanted)))
+        for q, (place, weight) in enumerate(queries):
+            dense[q, place] = weight
+        bound = dense @ self.most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        ranked = np.take_along_axis(bound, order, axis=1)
+        query, found, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        worst, at, step = np.zeros(n), 0, 4
+        while at < self.blocks:
+            # Products may differ in the last digits, so a bound must be clearly below.
+            ask_q, ask_r = np.nonzero((ranked[:, at : at + step] > 0) & (ranked[:, at : at + step] >= worst[:, None] - 1e-11))
+            if not len(ask_q):
                 break
-            block = order[at : at + step]
-            sums = np.zeros((len(block), BLOCK))
-            for t, w in zip(place.tolist(), weight.tolist(), strict=True):
-                for j, b in enumerate(block.tolist()):
-                    a, e = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                    if e > a:
-                        sums[j, self.owner[a:e] - b * BLOCK] += w * self.weight[a:e]
-            j, i = np.nonzero(sums > 0)
-            ex = block[j] * BLOCK + i
-            ok = ex != without
-            found, value = np.concatenate([found, ex[ok]]), np.concatenate([value, sums[j, i][ok]])
-            best = np.lexsort((self.ids[found], -np.round(value, 12)))[:k]
-            found, value = found[best], value[best]
-            at, step = at + step, step * 2
-        return found, value
+            ask_b = order[ask_q, at + ask_r]
+            by_block = np.argsort(ask_b, kind="stable")
+            ask_q, ask_b = ask_q[by_block], ask_b[by_block]
+            edges = np.r_[np.flatnonzero(np.r_[True, ask_b[1:] != ask_b[:-1]]), len(ask_b)]
+            all_q, all_e, all_v = [query], [found], [value]
+            for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                b, who = int(ask_b[a]), ask_q[a:e]
+                has, weights = self.block(b)
+                sums = np.round(dense[np.ix_(who, has)] @ weights, 12)
+                j, i = np.nonzero((sums > 0) & (sums >= worst[who][:, None]))
+                ok = b * BLOCK + i != without[who[j]]
+                all_q.append(who[j[ok]])
+                all_e.append(b * BLOCK + i[ok])
+                all_v.append(sums[j[ok], i[ok]])
+            query, found, value = np.concatenate(all_q), np.concatenate(all_e), np.concatenate(all_v)
+            best = np.lexsort((self.ids[found], -value, query))
+            query, found, value = query[best], found[best], value[best]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            query, found, value, rank = (x[rank < k] for x in (query, found, value, rank))
+            worst[query[rank == k - 1]] = value[rank == k - 1]
+            at, step = at + step, min(step * 2, 32)
+        cut = np.searchsorted(query, np.arange(n + 1))
+        return [(found[cut[q] : cut[q + 1]], value[cut[q] : cut[q + 1]]) for q in range(n)]
 
     def vote(self, found: np.ndarray, value: np.ndarray) -> float:
         w = value * value
@@ -172,7 +213,7 @@ class BlockMaxIndex:
         """Fit the logistic curve by Newton steps on the examples' votes."""
         if not len(self.rows) or self.labels.min() == self.labels.max():
             return
-        votes = np.array([self.vote(*self.nearest(t, w, k, without=i)) for i, (t, w) in enumerate(self.rows)])
+        votes = np.array([self.vote(*near) for near in self.nearest_of(self.rows, k, np.arange(len(self.rows)))])
         x = np.stack([np.ones(len(votes)), np.log(votes / (1 - votes))], 1)
         beta = np.array([0.0, 1.0])
         for _ in range(25):
@@ -181,14 +222,18 @@ class BlockMaxIndex:
             beta = beta + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
         self.curve = float(beta[0]), float(beta[1])
 
-    def score(self, place: np.ndarray, count: np.ndarray, k: int) -> tuple[float, list[int], list[float]]:
-        """Probability of label 1, ids of the nearest examples, their cosines."""
-        if not len(place):
-            return self.empty_share, [], []
-        found, value = self.nearest(place, self.vector(place, count), k)
-        v = self.vote(found, value)
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Of each text (places of its terms, their frequencies): probability
+        of label 1, ids of the nearest examples, their cosines."""
+        near = self.nearest_of([(place, self.vector(place, count)) for place, count in texts if len(place)], k)
         a, b = self.curve
-        return 1 / (1 + math.exp(-min(max(a + b * math.log(v / (1 - v)), -30), 30))), self.ids[found].tolist(), value.tolist()
+        for place, _ in texts:
+            if not len(place):
+                yield self.empty_share, [], []
+                continue
+            found, value = next(near)
+            v = self.vote(found, value)
+            yield 1 / (1 + math.exp(-min(max(a + b * math.log(v / (1 - v)), -30), 30))), self.ids[found].tolist(), value.tolist()
 
 
 def build_index(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, sample_rows: int = SAMPLE_ROWS, k: int = NEIGHBOURS) -> BlockMaxIndex:
@@ -216,6 +261,7 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str, train_rows: Colu
     if not got:
         index.share = index.empty_share = 0.5
     index.calibrate(k)
+    index.rows, index.opened = [], {}  # need not be broadcast
     return index
 
 
@@ -223,8 +269,7 @@ def _scores(batches, index: BlockMaxIndex, k: int, evidence: int, text: str, sch
     for batch in batches:
         out = []
         for _, n, doc, term in terms(batch.column(text).to_pylist()):
-            for place, count in _frequencies(n, doc, term, index.wanted):
-                p, ids, cosines = index.score(place, count, k)
+            for p, ids, cosines in index.scores(_frequencies(n, doc, term, index.wanted), k):
                 out.append((p, [{"doc_id": i, "cosine": c} for i, c in zip(ids[:evidence], cosines, strict=False)]))
         kept = [batch.column(c) for c in schema.names[:-2]]
         score, near = zip(*out, strict=True) if out else ((), ())

@@ -181,3 +181,27 @@ def test_odd_rows_keep_their_texts(odd):
     got = line_chunks.remove_repeats(odd)
     assert got.count() == odd.count()
     assert {r["line_text"] for r in got.where("doc_id in (1, 2, 5)").collect()} == {None, "", "one"}
+
+
+def test_nearest_examples_equal_brute_force():
+    rng = np.random.default_rng(5)
+    n_terms, n, k = 60, 700, 15
+    rows = []
+    for i in range(n):
+        t = np.sort(rng.choice(n_terms, rng.integers(1, 9), replace=False))
+        rows.append((i, int(rng.integers(2)), t.tolist(), rng.integers(1, 4, len(t)).tolist()))
+    rows += [(n + i, 1, rows[0][2], rows[0][3]) for i in range(40)]  # ties beyond k
+    index = toxicity.BlockMaxIndex(np.arange(n_terms, dtype=np.uint64), rows)
+    dense = np.zeros((len(rows), n_terms))
+    for i, (t, w) in enumerate(index.rows):
+        dense[i, t] = w
+    cosine = np.round(dense @ dense.T, 12)
+    for skip in (False, True):
+        for q, (found, value) in enumerate(index.nearest_of(index.rows, k, np.arange(len(rows)) if skip else None)):
+            c = cosine[q].copy()
+            if skip:
+                c[q] = 0
+            best = np.lexsort((index.ids, -c))[:k]
+            best = best[c[best] > 0]
+            assert np.allclose(value, c[best], atol=1e-11)
+            assert found.tolist() == best.tolist()
