@@ -140,6 +140,46 @@ def test_simhash_components_against_brute_force(spark, odd):
     assert simhash.near_duplicates(odd).count() == odd.count()
 
 
+def test_keep_one_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(40):
+        base = prose(2000 + g, 60 + 3 * g).split()
+        rows.append((len(rows), " ".join(base), "a"))
+        for edits in (1, 2, 3, 4):
+            near = list(base)
+            for at in rng.integers(0, len(near), max(edits * len(near) // 90, 1)):
+                near[at] = f"new{len(rows)}"
+            rows.append((len(rows), " ".join(near), "a"))
+    hub = prose(3000, 100).split()
+    for k in range(60):
+        rows.append((len(rows), " ".join([*hub[:k], f"own{k}", *hub[k + 1 :]]), "a"))
+    rows += [(len(rows) + k, t, "a") for k, t in enumerate(["", None, "one two", "one two", " ".join(hub)])]
+    rows += [(len(rows) + k, f"closing w{k} " + " ".join(hub[:3]), "b") for k in range(5)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    want = {top(k) for k in range(len(rows))}
+    assert {r["doc_id"] for r in simhash.keep_one(table(spark, rows), tile=16).collect()} == want
+    assert 40 < len(want) < 200
+
+
 def test_mixing_hits_targets(spark, odd):
     rows = [(k, prose(k, 20 + k % 50), "abc"[k % 3]) for k in range(300)]
     got = mixing.mix(table(spark, rows)).toPandas()
