@@ -13,6 +13,9 @@ Windows that share no shingle with an item have similarity 0, so only windows
 that hold a shingle of an item of their length get a fingerprint; that drops
 nothing which could be verified.
 
+A text of fewer shingles than an item is a window by itself, verified without
+fingerprints.
+
 Items are broadcast in slices of at most `SLICE_WORDS` words, one pass over
 the texts for each slice, so a large benchmark costs time and not memory.
 
@@ -109,6 +112,11 @@ class Items:
         for length in np.unique(self.words[owners]).tolist():
             width = length - self.k + 1
             if len(h) < width:
+                own = Counter(h.tolist())
+                for i in np.unique(owners[self.words[owners] == length]).tolist():
+                    s = similarity(own, self.counts[i])
+                    if s >= least:
+                        yield int(self.place[i]), s, 0, len(h) + self.k - 1
                 continue
             hit = np.unique(spots[self.words[owners] == length])
             edge = np.zeros(len(h) + 1, np.int64)

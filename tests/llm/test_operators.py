@@ -104,6 +104,21 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_texts_shorter_than_the_item_leak(spark):
+    item = prose(910, 50).split()
+    rows = [(n, " ".join(item[:n]), "a") for n in range(1, 51)] + [(100, " ".join(item[1:]), "a"), (101, prose(911, 49), "a")]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(table(spark, rows), bench).collect()}
+
+    def shingles(w):
+        return decontaminate.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+
+    want = {d for d, t, _ in rows if decontaminate.similarity(shingles(t.lower().split()), shingles([w.lower() for w in item])) >= 0.8}
+    assert got.keys() == want and {49, 100} < want
+    assert (got[49]["first_word"], got[49]["n_words"], got[49]["similarity"]) == (0, 49, 45 / 46)
+    assert {r["doc_id"] for r in decontaminate.without_leaks(table(spark, rows), bench).collect()} == {d for d, _, _ in rows} - want
+
+
 def test_block_index_gives_all_within_radius():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
