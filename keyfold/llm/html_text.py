@@ -63,7 +63,8 @@ NOISE_WORD = frozenset(
 )
 NOISE_NAME = frozenset("header site-header page-header main-header top-header global-header".split())
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>?|[!?/][^>]*>?)""", re.S)
+#: A quote that is never closed ends with its tag.  Linear: only the last quote of each kind on a page can be such.
+_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+'|["'][^>]*+)*+)>?|[!?/][^>]*>?)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("keyfold.llm")
-from keyfold.llm import decontaminate, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity  # noqa: E402
+from keyfold.llm import decontaminate, html_text, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity  # noqa: E402
 from keyfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +260,24 @@ def test_nearest_examples_equal_brute_force():
             best = best[c[best] > 0]
             assert np.allclose(value, c[best], atol=1e-11)
             assert found.tolist() == best.tolist()
+
+
+def test_html_attributes_of_any_length(spark):
+    article = " ".join(prose(40, 120).split())
+    page = "<html><body><div><p>{}</p>{}<p>{}</p></div></body></html>"
+    long = "QUJD" * 50_000
+    want = html_text.main_text(page.format(article, "", article))
+    assert article in want
+    images = [f"<img src={q}data:image/png;base64,{long}{q}>" for q in "\"'"]
+    pages = [(k, "u", page.format(article, image, article)) for k, image in enumerate(images)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == [want, want]
+
+
+def test_html_unclosed_quotes():
+    article = " ".join(prose(41, 120).split())
+    head = f"<body><div><p>{article}</p>"
+    want = html_text.main_text(head)
+    assert html_text.main_text(head + '<img src="data:' + "QUJD" * 50_000) == want
+    assert html_text.main_text(head + '<img src="data:QUJD></div>') == want
+    assert html_text.main_text(head + "<i title='" * 20_000) == want
