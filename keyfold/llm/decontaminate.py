@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, materialise
+from .shared import arrow_schema
 from .textkit import chunks, shingle_hashes
 
 SHINGLE = 5
@@ -162,7 +163,7 @@ def index(texts: list[str | None], shingle: int = SHINGLE) -> list[Items]:
     return [Items(k, rows) for k, rows in sorted(by.items())]
 
 
-def search_texts(texts: list[str | None], groups: list[Items], radius: int = RADIUS, least: float = SIMILARITY) -> Iterator[tuple[int, int, float, int, int]]:
+def search_texts(texts: list[str | None] | pa.Array, groups: list[Items], radius: int = RADIUS, least: float = SIMILARITY) -> Iterator[tuple[int, int, float, int, int]]:
     """Text, item, similarity, first word, words of everything found."""
     for c in chunks(texts):
         starts, ends, at = c.words()
@@ -179,7 +180,7 @@ def search_texts(texts: list[str | None], groups: list[Items], radius: int = RAD
 def _found(batches, held, item_ids: list, radius: int, least: float, schema: pa.Schema):
     groups = held.value
     for batch in batches:
-        rows = list(search_texts(batch.column("text").to_pylist(), groups, radius, least))
+        rows = list(search_texts(batch.column("text"), groups, radius, least))
         own = pa.array([r[0] for r in rows], pa.int64())
         cols = [batch.column("doc_id").take(own), pa.array([item_ids[r[1]] for r in rows], schema.types[1])]
         cols += [pa.array([r[k] for r in rows], schema.types[k]) for k in (2, 3, 4)]
@@ -217,8 +218,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     return spark.createDataFrame([], out) if result is None else result
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark."""
-    whole = materialise(docs.withColumn("leak_row", F.monotonically_increasing_id()), "leakrows")
-    bad = leaks(whole, benchmark, text, "leak_row").select(F.col("doc_id").alias("leak_row")).distinct()
-    return whole.join(bad, "leak_row", "left_anti").select(*docs.columns)
+def _clean(batches, at: int, held, radius: int, least: float):
+    """The rows that hold no item, judged and filtered in one pass."""
+    for batch in batches:
+        bad = np.zeros(batch.num_rows, bool)
+        bad[[r[0] for r in search_texts(pc.struct_field(batch.column("row"), [at]), held.value, radius, least)]] = True
+        yield batch.filter(pa.array(~bad))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, that hold no item of the benchmark.
+    Each slice of the items is one more filter over the stream of rows; nothing
+    is shuffled."""
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for part in _slices(benchmark.select("item_id", "text")):
+        held = spark.sparkContext.broadcast(index([t for _, t in part], shingle))
+        rows = rows.mapInArrow(lambda it, held=held: _clean(it, at, held, radius, similarity), rows.schema)
+    return rows.select("row.*")

@@ -81,7 +81,7 @@ def _counts(batches, dims: int, schema: pa.Schema):
     for batch in batches:
         labels = batch.column("label").to_pylist()
         rows: list[tuple] = []
-        for first, n, owner, feat, number in features(batch.column("text").to_pylist(), dims):
+        for first, n, owner, feat, number in features(batch.column("text"), dims):
             key, count = np.unique(owner * dims + feat, return_counts=True)
             cut = np.searchsorted(key, np.arange(n + 1) * dims)
             for k in range(n):
@@ -134,9 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, sa
 def _scores(batches, weights: np.ndarray, text: str, schema: pa.Schema):
     dims = len(weights) - 1
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        out = np.zeros(len(texts))
-        for first, n, owner, feat, number in features(texts, dims):
+        out = np.zeros(batch.num_rows)
+        for first, n, owner, feat, number in features(batch.column(text), dims):
             dot = np.bincount(owner, weights=weights[feat], minlength=n)
             out[first : first + n] = dot * SCALE / np.maximum(number, 1)
         p = 1 / (1 + np.exp(-np.clip(out + weights[dims], -35, 35)))

@@ -1,9 +1,10 @@
 """Tables and files in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
-unset (tests, a laptop) a folder below ``/tmp/checkpoints`` is chosen and set.
+unset (tests, a laptop) a folder below ``/tmp/checkpoints`` takes its place.
 Intermediate tables are written there rather than cached, so a lost executor
-costs a reread and never a recomputation of the lineage.
+costs a reread and never a recomputation of the lineage.  `dropped` deletes
+those that no later step reads.
 """
 
 from __future__ import annotations
@@ -20,11 +21,7 @@ DEFAULT_DIR = "file:///tmp/checkpoints/keyfold"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as the session names it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = DEFAULT_DIR
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -40,6 +37,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote.  Only for those that nothing
+    reads any more, results not yet computed included."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/keyfold-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     """Arrow form of a Spark schema, for functions given to mapInArrow."""
     if isinstance(schema, str):

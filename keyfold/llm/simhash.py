@@ -16,13 +16,6 @@ Defined results: null and empty texts have no shingle and fingerprint zero,
 linked like any other; a text of fewer words than a shingle is one shingle;
 null ids stay as rows and never name a component unless all its ids are null;
 repeated rows share their component; other columns of the input are ignored.
-
-`keep_one` goes further: its near copies are texts whose sets of shingles have
-a Jaccard similarity of 0.8 at least, all of them.  Fingerprint links are only
-proposals, each checked on the shingles.  What they miss is found by prefix
-filtering: in any common order of shingles, two such sets share one of the
-first n - ceil(0.8 n) + 1 of each (n its size), so these shingles are the join
-keys, and every pair of different components that meets there is checked too.
 """
 
 from __future__ import annotations
@@ -41,9 +34,6 @@ from .textkit import chunks, mix
 
 #: Fingerprints of one key that are compared in one piece.
 TILE = 2048
-#: Texts (about) and shingles by which frequent shingles are told; they come last in the order,
-#: which bears on speed only.
-ORDER_TEXTS, ORDER_TERMS = 8_000, 50_000
 #: Hot keys up to this number (32 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -91,9 +81,8 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches, text: str, words: int, wide: bool, schema: pa.Schema):
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        hi, lo = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-        for c in chunks(texts):
+        hi, lo = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+        for c in chunks(batch.column(text)):
             h, first = _shingles(c, words)
             hi[c.first : c.first + c.n] = majority(h, first)
             if wide:
@@ -165,30 +154,35 @@ def _runs(batches, names: list[str], by: int = 2):
         yield held
 
 
-def _link_tiles(batches, radius: int, schema: pa.Schema):
-    for key, tile, hi, lo in _runs(batches, ["key", "tile", "fp_hi", "fp_lo"]):
-        hi, lo = hi.view(np.uint64), lo.view(np.uint64)
-        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
-        size = np.diff(edge)
-        a, b = [], []
-        # Short runs: all rows against the row k further down, for each k at once.
-        short = np.repeat(size <= 32, size)
-        last = np.repeat(edge[1:], size)
-        at = np.flatnonzero(short)
-        for k in range(1, 32):
-            at = at[at + k < last[at]]
-            if not len(at):
-                break
-            near = np.bitwise_count(hi[at] ^ hi[at + k]).astype(np.int64) + np.bitwise_count(lo[at] ^ lo[at + k]) <= radius
-            a.append(at[near])
-            b.append(at[near] + k)
-        for g in np.flatnonzero(size > 32).tolist():
-            s = slice(edge[g], edge[g + 1])
-            pairs = np.array(_forest(hi[s], lo[s], radius), np.int64).reshape(-1, 2) + edge[g]
-            a.append(pairs[:, 0])
-            b.append(pairs[:, 1])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (hi[a], lo[a], hi[b], lo[b])], schema=schema)
+def tile_links(key: np.ndarray, tile: np.ndarray, hi: np.ndarray, lo: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (sorted by key and tile) that are linked: of a short run of one
+    key and tile all links, of a long one a spanning forest."""
+    edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
+    size = np.diff(edge)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # Short runs: all rows against the row k further down, for each k at once.
+    last = np.repeat(edge[1:], size)
+    at = np.flatnonzero(np.repeat(size <= 32, size))
+    for k in range(1, 32):
+        at = at[at + k < last[at]]
+        if not len(at):
+            break
+        near = np.bitwise_count(hi[at] ^ hi[at + k]).astype(np.int64) + np.bitwise_count(lo[at] ^ lo[at + k]) <= radius
+        a.append(at[near])
+        b.append(at[near] + k)
+    for g in np.flatnonzero(size > 32).tolist():
+        s = slice(edge[g], edge[g + 1])
+        pairs = np.array(_forest(hi[s], lo[s], radius), np.int64).reshape(-1, 2) + edge[g]
+        a.append(pairs[:, 0])
+        b.append(pairs[:, 1])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _link_tiles(batches, radius: int, give: list[str], schema: pa.Schema):
+    """The columns `give` of both ends of each link."""
+    for key, tile, hi, lo, *more in _runs(batches, ["key", "tile", "fp_hi", "fp_lo", *give]):
+        a, b = tile_links(key, tile, hi.view(np.uint64), lo.view(np.uint64), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(x[end]) for end in (a, b) for x in more], schema=schema)
 
 
 def _probe_tiles(batches, radius: int, schema: pa.Schema):
@@ -212,6 +206,24 @@ def _node(hi: str, lo: str, wide: bool):
     return F.concat(one(hi), one(lo)) if wide else one(hi)
 
 
+def tiled_keys(fps: DataFrame, blocks: int, pick: int, bits: int, tile: int) -> tuple[DataFrame, DataFrame, int]:
+    """The fingerprints by key, tile of the key and number of its tiles; the
+    keys of several tiles; their number."""
+    spare = [c for c in fps.columns if c not in ("fp_hi", "fp_lo")]
+    keyed = fps.select("fp_hi", "fp_lo", *spare, F.explode(_block_keys(bits, blocks, pick)).alias("key"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > tile)
+    hot = materialise(hot.select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles")), "hot")
+    n_hot = hot.count()
+    tiled = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
+    spread = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.col("tiles"))).cast("int")
+    return tiled.select("key", spread.alias("tile"), "tiles", "fp_hi", "fp_lo", *spare), hot, n_hot
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of one key and tile together."""
+    return df.repartition(*by).sortWithinPartitions(*by)
+
+
 def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int, bits: int = 64, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints (fp_hi, fp_lo) to (node, comp): node is the
     fingerprint in hex, comp the least node it is linked to.  Only
@@ -219,22 +231,12 @@ def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int,
 
     Links up to blocks - pick bits are all found; farther ones, up to
     `radius`, as far as two fingerprints agree on some choice of blocks."""
-    spark, wide = fps.sparkSession, bits == 128
-    keyed = materialise(fps.select("fp_hi", "fp_lo", F.explode(_block_keys(bits, blocks, pick)).alias("key")), "keys")
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    hot = materialise(sizes.where(F.col("count") > tile).select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles")), "hot")
-    n_hot = hot.count()
+    wide = bits == 128
+    tiled, hot, n_hot = tiled_keys(fps, blocks, pick, bits, tile)
     small = n_hot <= BROADCAST_KEYS
-    if n_hot:
-        tiled = keyed.join(F.broadcast(hot) if small else hot, "key", "left")
-        spread = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.col("tiles")))
-    else:
-        tiled, spread = keyed, F.lit(0)
-    tiled = tiled.select("key", spread.cast("int").alias("tile"), "fp_hi", "fp_lo")
     pair = "ah long, al long, bh long, bl long"
     schema = arrow_schema(pair)
-    dealt = lambda df: df.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    links = dealt(tiled).mapInArrow(lambda it: _link_tiles(it, radius, schema), pair)
+    links = dealt(tiled.drop("tiles"), "key", "tile").mapInArrow(lambda it: _link_tiles(it, radius, ["fp_hi", "fp_lo"], schema), pair)
     hexed = lambda df: df.select(_node("ah", "al", wide).alias("a"), _node("bh", "bl", wide).alias("b")).distinct()
     edges = materialise(hexed(links), "links")
     found = components(edges)
@@ -242,7 +244,7 @@ def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int,
         return found
     # Keys of several tiles: what isn't in the key's largest component meets the other tiles.
     found = materialise(found, "round1")
-    members = tiled.join(F.broadcast(hot) if small else hot, "key").withColumn("node", _node("fp_hi", "fp_lo", wide))
+    members = tiled.where("tiles is not null").withColumn("node", _node("fp_hi", "fp_lo", wide))
     members = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = materialise(members.select("key", "tile", "tiles", "fp_hi", "fp_lo", "comp"), "members")
     per = members.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"))
@@ -250,7 +252,7 @@ def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int,
     rest = members.join(F.broadcast(open_keys) if small else open_keys, "key")
     probes = rest.where("comp <> largest").withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
     both = rest.select("key", "tile", "fp_hi", "fp_lo", F.lit(0).alias("probe")).unionByName(probes.select("key", "tile", "fp_hi", "fp_lo", F.lit(1).alias("probe")))
-    more = dealt(both).mapInArrow(lambda it: _probe_tiles(it, radius, schema), pair)
+    more = dealt(both, "key", "tile").mapInArrow(lambda it: _probe_tiles(it, radius, schema), pair)
     return components(materialise(edges.unionByName(hexed(more)), "links"))
 
 
@@ -268,182 +270,3 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     nodes = nodes.select("node", "least", F.coalesce("comp", "node").alias("comp"))
     alone = nodes.join(nodes.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     return rows.withColumn("node", _node("fp_hi", "fp_lo", wide)).join(alone, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
-
-
-def _sets(batch, text: str, words: int):
-    """For each chunk of a batch: its first row, shingle hashes and their bounds."""
-    for c in chunks(batch.column(text).to_pylist()):
-        yield c, *_shingles(c, words)
-
-
-def _set_marks(batches, text: str, words: int, schema: pa.Schema):
-    """Adds to each row the 128-bit fingerprint and a 128-bit hash of the set of its shingles."""
-    for batch in batches:
-        mark = np.zeros((4, batch.num_rows), np.uint64)
-        for c, h, first in _sets(batch, text, words):
-            own = slice(c.first, c.first + c.n)
-            mark[0, own] = majority(h, first)
-            mark[1, own] = majority(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-            for k, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), c.first):
-                mark[2:, k] = np.frombuffer(xxhash.xxh3_128_digest(np.unique(h[s:e]).tobytes()), np.uint64)
-        kept = [batch.column(k) for k in schema.names[:-4]]
-        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(m.view(np.int64)) for m in mark)], schema=schema)
-
-
-def _distinct_shingles(batches, words: int, schema: pa.Schema):
-    for batch in batches:
-        for _, h, first in _sets(batch, "text", words):
-            own = [np.unique(h[s:e]) for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], schema=schema)
-
-
-def _prefixes(batches, words: int, terms: np.ndarray, ranks: np.ndarray, schema: pa.Schema):
-    """The rows' shingles that may be the first one shared with a near copy."""
-    for batch in batches:
-        node, comp = (batch.column(k).to_numpy() for k in ("fp_row", "comp"))
-        for c, h, first in _sets(batch, "text", words):
-            rank = np.zeros(len(h), np.int64)
-            if len(terms):
-                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                rank = np.where(terms[at] == h, ranks[at], 0)
-            doc = np.repeat(np.arange(c.n), np.diff(first))
-            order = np.lexsort((h, rank, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[new], doc[new]
-            size = np.bincount(doc, minlength=c.n)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            n = size[doc]
-            head = pos < n - (4 * n + 4) // 5 + 1
-            row = c.first + doc[head]
-            cols = h[head].view(np.int64), node[row], comp[row], n[head].astype(np.int32), pos[head].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
-
-
-def _may_match(n, pos, a, b):
-    """Whether sets a and b can reach 0.8 if the shingle at these positions is the first they share."""
-    shared = np.minimum(n[a] - pos[a], n[b] - pos[b])
-    return 9 * shared >= 4 * (n[a] + n[b])
-
-
-def _meet(batches, schema: pa.Schema):
-    """Pairs of different components that share a key and may be near copies."""
-    for key, node, comp, n, pos in _runs(batches, ["key", "fp_row", "comp", "n", "pos"], by=1):
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(edge)
-        a, b = [], []
-        last = np.repeat(edge[1:], size)
-        at = np.flatnonzero(np.repeat(size <= 32, size))
-        for k in range(1, 32):
-            at = at[at + k < last[at]]
-            if not len(at):
-                break
-            hit = (comp[at] != comp[at + k]) & _may_match(n, pos, at, at + k)
-            a.append(at[hit])
-            b.append(at[hit] + k)
-        for g in np.flatnonzero(size > 32).tolist():
-            # Pairs inside a run's largest component don't matter, so only the others look around.
-            own = np.arange(edge[g], edge[g + 1])
-            names, which, count = np.unique(comp[own], return_inverse=True, return_counts=True)
-            lesser = which != np.argmax(count)
-            for u in own[lesser].tolist():
-                hit = own[(comp[own] != comp[u]) & (~lesser | (own > u))]
-                hit = hit[_may_match(n, pos, np.full(len(hit), u), hit)]
-                a.append(np.full(len(hit), u))
-                b.append(hit)
-        if a:
-            a, b = node[np.concatenate(a)], node[np.concatenate(b)]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=schema)
-
-
-def _alike(batches, words: int, schema: pa.Schema):
-    """The pairs of texts whose sets of shingles are alike by 0.8 at least."""
-    for batch in batches:
-        good = np.zeros(batch.num_rows, bool)
-        for k, pair in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-            x, y = (np.unique(np.concatenate([h for c in chunks([t]) for h in _shingles(c, words)[:1]])) for t in pair)
-            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            good[k] = 9 * shared >= 4 * (len(x) + len(y))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in schema.names], schema=schema)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of fp_row whose texts are near copies."""
-    pairs = materialise(pairs.where("a <> b").distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("fp_row")).unionByName(pairs.select(F.col("b").alias("fp_row"))).distinct()
-    own = materialise(texts.join(need, "fp_row", "left_semi"), "texts")
-    side = lambda k: own.select(F.col("fp_row").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    out = "a long, b long"
-    schema = arrow_schema(out)
-    return materialise(both.mapInArrow(lambda it: _alike(it, words, schema), out), "alike")
-
-
-def fingerprint_links(fps: DataFrame, radius: int, blocks: int, pick: int, bits: int, tile: int) -> DataFrame:
-    """Pairs of fingerprints (ah, al, bh, bl) within radius: of each key, and
-    of each tile of a key, a spanning forest."""
-    keyed = materialise(fps.select("fp_hi", "fp_lo", F.explode(_block_keys(bits, blocks, pick)).alias("key")), "keys")
-    hot = materialise(keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles")), "hot")
-    tiled = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, "key", "left")
-    spread = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.col("tiles")))
-    dealt = tiled.select("key", spread.cast("int").alias("tile"), "fp_hi", "fp_lo").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    pair = "ah long, al long, bh long, bl long"
-    schema = arrow_schema(pair)
-    return dealt.mapInArrow(lambda it: _link_tiles(it, radius, schema), pair).distinct()
-
-
-def near_copies(nodes: DataFrame, texts: DataFrame, words: int, radius: int, blocks: int, pick: int, tile: int) -> DataFrame:
-    """(node, comp) of all nodes (fp_row, fp_hi, fp_lo) that have a near copy
-    among them; texts has fp_row, text of the nodes at least."""
-    # Proposals of the fingerprints: equal ones, and the links of their least rows.
-    hubs = materialise(nodes.groupBy("fp_hi", "fp_lo").agg(F.min("fp_row").alias("hub")), "hubs")
-    equal = nodes.join(hubs, ["fp_hi", "fp_lo"]).select(F.col("hub").alias("a"), F.col("fp_row").alias("b"))
-    links = fingerprint_links(hubs, radius, blocks, pick, 128, tile)
-    end = lambda k: hubs.select(F.col("fp_hi").alias(f"{k}h"), F.col("fp_lo").alias(f"{k}l"), F.col("hub").alias(k))
-    near = links.join(end("a"), ["ah", "al"]).join(end("b"), ["bh", "bl"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = _verified(equal.unionByName(near), texts, words)
-    found = materialise(components(first), "round1")
-    # Everything else: pairs of different components that share a shingle of their prefixes.
-    share = max(1, nodes.count() // ORDER_TEXTS)
-    one = "key long"
-    schema = arrow_schema(one)
-    sample = texts.where(F.pmod(F.xxhash64("fp_row"), F.lit(share)) == 0).select("text")
-    count = sample.mapInArrow(lambda it: _distinct_shingles(it, words, schema), one).groupBy("key").count().where("count > 3")
-    top = count.orderBy(F.desc("count"), "key").limit(ORDER_TERMS).toPandas().sort_values("key")
-    terms, ranks = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(terms)
-    terms, ranks = terms[order], ranks[order]
-    own = texts.join(nodes.select("fp_row"), "fp_row").join(found.withColumnRenamed("node", "fp_row"), "fp_row", "left")
-    out = "key long, fp_row long, comp long, n int, pos int"
-    schema2 = arrow_schema(out)
-    keyed = own.select("fp_row", F.coalesce("comp", "fp_row").alias("comp"), "text").mapInArrow(lambda it: _prefixes(it, words, terms, ranks, schema2), out)
-    pair = "a long, b long"
-    schema3 = arrow_schema(pair)
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _meet(it, schema3), pair)
-    return components(first.unionByName(_verified(met, texts, words)))
-
-
-def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, radius: int = 18, blocks: int = 8, pick: int = 2, tile: int = TILE) -> DataFrame:
-    """The rows of df, all columns, but one of each group of near copies.
-
-    Near copies are texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 at least, or that have the same set (none included); a
-    group is what such links connect.  The row with the smallest id stays (null
-    ids last; of rows with one id, whichever was written first).  radius, blocks
-    and pick say which pairs the 128-bit fingerprints propose before the rest
-    is searched; they bear on speed, not on the result."""
-    marks = {c: F.lit(0).cast("long") for c in ("fp_hi", "fp_lo", "set_hi", "set_lo")}
-    out = df.withColumns(marks).schema
-    schema = arrow_schema(out)
-    rows = df.mapInArrow(lambda it: _set_marks(it, text, words, schema), out)
-    rows = materialise(rows.withColumn("fp_row", F.monotonically_increasing_id()), "rows")
-    best = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), "fp_row")
-    nodes = rows.groupBy("set_hi", "set_lo").agg(F.min(best).alias("best"), F.first("fp_hi").alias("fp_hi"), F.first("fp_lo").alias("fp_lo"))
-    nodes = materialise(nodes.select(F.col("best.fp_row").alias("fp_row"), "best", "fp_hi", "fp_lo"), "nodes")
-    linked = near_copies(nodes.drop("best"), rows.select("fp_row", F.col(text).alias("text")), words, radius, blocks, pick, tile)
-    named = nodes.join(linked.withColumnRenamed("node", "fp_row"), "fp_row", "left")
-    kept = named.groupBy(F.coalesce("comp", "fp_row").alias("comp")).agg(F.min("best").alias("best")).select(F.col("best.fp_row").alias("fp_row"))
-    return rows.join(kept, "fp_row", "left_semi").select(*df.columns)

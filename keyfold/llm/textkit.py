@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: ASCII A-Z to a-z; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 IS_SPACE = np.zeros(256, bool)
@@ -23,14 +25,19 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        for k, base in enumerate((_P, _P_INV)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
-    return _powers[0], _powers[1]
+    """Powers of the hash base and of its inverse modulo 2**64, n at least.
+    Those of a usual chunk are kept; longer tables, for very long texts, aren't."""
+    size = max(n, 2 * CHUNK_BYTES)
+    if len(_powers[0]) >= size:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_P, _P_INV):
+        full = np.full(size, base, np.uint64)
+        full[0] = 1
+        made.append(np.multiply.accumulate(full))
+    if size == 2 * CHUNK_BYTES:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,9 +56,9 @@ class Chunk:
     buf: the bytes; doc_start: where each text begins, then the buffer's end.
     """
 
-    def __init__(self, first: int, texts: list[bytes], lower: bool):
+    def __init__(self, first: int, texts: list[bytes | memoryview], lower: bool):
         self.first, self.n = first, len(texts)
-        joined = b" ".join(texts) + b" "
+        joined = b" ".join([*texts, b""])
         self.raw = joined.translate(LOWER) if lower else joined
         self.buf = np.frombuffer(self.raw, np.uint8)
         self.doc_start = np.zeros(self.n + 1, np.int64)
@@ -99,10 +106,36 @@ def encoded(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def chunks(texts: list[str | None], lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def views(texts: list[str | None] | pa.Array) -> list[bytes | memoryview]:
+    """The bytes of each text, null as empty.  Of an Arrow column, views into
+    its buffer: nothing is copied or decoded."""
+    if not isinstance(texts, pa.Array):
+        return encoded(texts)
+    if not len(texts):
+        return []
+    if texts.null_count:
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    edge = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    whole = memoryview(data).cast("B") if data is not None else memoryview(b"")
+    return [whole[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def text_array(texts: list[bytes | memoryview], valid: list[bool], kind: pa.DataType) -> pa.Array:
+    """The inverse of views: an Arrow column of these bytes, null where not valid."""
+    edge = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=edge[1:])
+    got = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(edge), pa.py_buffer(b"".join(texts)))
+    if not all(valid):
+        got = pa.compute.if_else(pa.array(valid), got, pa.scalar(None, pa.large_string()))
+    return got.cast(kind)
+
+
+def chunks(texts: list[str | None] | pa.Array, lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts (null counts as empty) in chunks of about `limit` bytes."""
     first, held, size = 0, [], 0
-    for k, t in enumerate(encoded(texts)):
+    for k, t in enumerate(views(texts)):
         if held and size + len(t) > limit:
             yield Chunk(first, held, lower)
             first, held, size = k, [], 0
@@ -124,3 +157,23 @@ def shingle_hashes(word_hash: np.ndarray, word_at: np.ndarray, k: int) -> tuple[
     last = np.repeat(word_at[1:], np.diff(word_at))[:n]
     at = np.flatnonzero(np.arange(n) + k <= last)
     return h[at], at
+
+
+def set_hashes(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word shingles of a chunk, and the text of each.  A text
+    of fewer words has one shingle of all its words, an empty one has none."""
+    starts, ends, at = chunk.words()
+    word = chunk.hashes(starts, ends)
+    h, begin = shingle_hashes(word, at, k)
+    doc = np.searchsorted(at, begin, side="right") - 1
+    count = np.diff(at)
+    more_h, more_d = [h], [doc]
+    for m in range(1, k):
+        few = np.flatnonzero(count == m)
+        if len(few):
+            x = word[at[few]].copy()
+            for j in range(1, m):
+                x = mix(x * _P + word[at[few] + j])
+            more_h.append(mix(x + np.uint64(m)))
+            more_d.append(few)
+    return np.concatenate(more_h), np.concatenate(more_d)

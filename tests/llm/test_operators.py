@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("keyfold.llm")
-from keyfold.llm import decontaminate, html_text, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity  # noqa: E402
+from keyfold.llm import decontaminate, html_text, licences, line_chunks, media, mixing, near_copies, quality, simhash, token_shards, toxicity  # noqa: E402
 from keyfold.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -191,7 +191,7 @@ def test_keep_one_against_brute_force(spark):
                 p, q = sorted((top(a), top(b)))
                 root[q] = p
     want = {top(k) for k in range(len(rows))}
-    assert {r["doc_id"] for r in simhash.keep_one(table(spark, rows), tile=16).collect()} == want
+    assert {r["doc_id"] for r in near_copies.keep_one(table(spark, rows), tile=16).collect()} == want
     assert 40 < len(want) < 200
 
 
