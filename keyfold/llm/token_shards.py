@@ -1,27 +1,33 @@
 """Token ids in binary shards, compressed by Re-Pair grammars.
 
 Documents are tokenised in ascending id order and cut into shards of about
-`SHARD_TOKENS` ids.  Per shard, frequent pairs of adjacent symbols are
-replaced by nonterminals, round after round; a pair never spans two documents.
-A shard keeps its rules, the expansion length of each rule, the remaining
-symbols and where each document begins, so any document can be decoded alone.
-
-Shard layout (little-endian): magic `RPG1`; unsigned 32-bit: vocabulary size V,
-documents D, rules R, symbols S; 64-bit ids of the documents (D), a byte for
-each that tells whether the id is null; 32-bit first symbol of each document
-(D); 16-bit rules, left and right (2 R); 32-bit expansion lengths (R); 16-bit
-symbols (S).  Symbols below V are token ids, V ends a document, V + 1 + k is
-rule k.  The shards lie in a Parquet table, one binary value a row, so any
-file system that Spark writes to will do.
+`SHARD_TOKENS` ids.  Per shard, pairs of adjacent symbols are replaced by
+nonterminals, round after round, until no pair occurs `MIN_COUNT` times; a
+pair never spans two documents.  A shard keeps its rules, the expansion length
+of each rule, the remaining symbols and where each document begins, so any
+document can be decoded alone.
+
+Shard layout (little-endian): magic `RPG2`; unsigned 32-bit: vocabulary size V,
+documents D, rules R, symbols S, bytes a symbol W (2 while all symbols fit,
+else 4); 64-bit ids of the documents (D), a byte for each that tells whether
+the id is null; 32-bit first symbol of each document (D); rules, left and
+right (2 R symbols); 32-bit expansion lengths (R); symbols (S).  Symbols below
+V are token ids, V ends a document, V + 1 + k is rule k.  The shards lie in a
+Parquet table, one binary value a row, so any file system that Spark writes to
+will do.
 
 Order and ties: null ids first, then ascending; rows with one id are ordered
-by their text.  Null texts are empty: such a document is only its end id.
+by their text.  Defined results: null texts are empty, and an empty document
+is only its end id; repeated rows are documents each; a very long text is
+never cut (its shard is as long as it); other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,65 +38,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_schema, fresh_path
-from .textkit import Chunk, encoded
+from .textkit import Chunk, mix, views
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 #: A pair is replaced while it occurs this often in its shard.
 MIN_COUNT = 12
-ROUNDS = 4
 #: Pairs that one round replaces at most; the next round takes the others.
 ROUND_PAIRS = 4000
-#: Slots of the table of parts whose ids a process remembers (20 bytes each, at most 60 % used).
-SLOTS = 1 << 22
+#: Slots of the table of parts whose ids a process remembers (45 bytes each, at most 60 % used).
+SLOTS = 1 << 20
+#: Bytes of the longest part that the table holds; longer ones are kept by a dictionary of bytes.
+PART_BYTES = 24
+#: Long parts that a process remembers.
+LONG_PARTS = 20_000
+#: Bytes of texts that are tokenised together.
+PIECE_BYTES = 1 << 19
 
 
 class PartTable:
     """Ids of parts of texts: an open-addressing hash table in numpy arrays.
 
-    A part is known by its 64-bit hash, its length and its first 8 bytes."""
+    A part is known by all its bytes (three 64-bit words) and its length; its
+    hash only says where to look."""
 
     def __init__(self, slots: int):
         self.bits, self.used = slots.bit_length() - 1, 0
-        self.key, self.head = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.word = [np.zeros(slots, np.uint64) for _ in range(3)]
+        self.length = np.zeros(slots, np.uint8)  # 0: free
         self.code = np.zeros(slots, np.int32)
         self.begin, self.flat = np.zeros(1, np.int32), np.zeros(0, np.int32)
 
     @property
-    def full(self) -> bool:
-        return self.used * 5 > len(self.key) * 3
+    def room(self) -> int:
+        """Parts that may still be added."""
+        return max(len(self.code) * 3 // 5 - self.used, 0)
 
-    def find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray, word: list[np.ndarray], length: np.ndarray) -> np.ndarray:
         """The code of each part, -1 if not known."""
-        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
-        code = np.full(len(key), -1, np.int64)
-        left = np.arange(len(key))
+        at, code, left = self.place(key), np.full(len(key), -1, np.int64), np.arange(len(key))
         while len(left):
-            there = self.key[at]
-            hit = (there == key[left]) & (self.head[at] == head[left])
+            there, want = self.length[at], length if len(left) == len(length) else length[left]
+            hit = there == want
+            for own, w in zip(self.word, word, strict=True):
+                hit &= own[at] == (w if len(left) == len(w) else w[left])
             code[left[hit]] = self.code[at[hit]]
-            go = ~hit & (there != 0)
-            left, at = left[go], (at[go] + 1) & (len(self.key) - 1)
+            go = np.flatnonzero(~hit & (there != 0))
+            left, at = left[go], (at[go] + 1) & (len(self.code) - 1)
         return code
 
-    def add(self, key: np.ndarray, head: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+    def add(self, key: np.ndarray, word: list[np.ndarray], length: np.ndarray, ids: np.ndarray, number: np.ndarray) -> None:
         """Distinct parts that aren't known, with their ids in a row."""
         code = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(key), dtype=np.int32)
-        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(length)).astype(np.int32)])
+        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(number)).astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-        at, left = (key >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(key))
+        at, left = self.place(key), np.arange(len(key))
+        owner = np.full(len(self.code), -1, np.int32)
         while len(left):
-            free = self.key[at] == 0
-            self.key[at[free]] = key[left[free]]  # of several for one slot, the last stays
-            own = free & (self.key[at] == key[left])
-            self.head[at[own]], self.code[at[own]] = head[left[own]], code[left[own]]
-            left, at = left[~own], (at[~own] + 1) & (len(self.key) - 1)
+            free = self.length[at] == 0
+            owner[at[free]] = left[free]  # of several for one slot, the last stays
+            own = free & (owner[at] == left)
+            k, to = left[own], at[own]
+            self.length[to], self.code[to] = length[k], code[k]
+            for mine, w in zip(self.word, word, strict=True):
+                mine[to] = w[k]
+            left, at = left[~own], (at[~own] + 1) & (len(self.code) - 1)
         self.used += len(key)
 
 
 #: By length, what of 8 bytes belongs to a part.
-_HEAD_MASK = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
+_WORD_MASK = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
 
 
 class Encoder:
@@ -112,6 +133,7 @@ class Encoder:
         self.whole = [*special, *other, b"\xc2\x85", b"\xc2\xa0", b"  ", b"\n\n", b" \n", b"\n "]
         self.feed = self.lib.encode("\n", add_special_tokens=False).ids[0]
         self.table = PartTable(slots)
+        self.long: dict[bytes, np.ndarray] = {}
 
     def simple(self, text: bytes) -> bool:
         return not any(s in text for s in self.whole) and (text.isascii() or max(text) < 0xD4) and text[-1:] not in (b" ", b"\n") and text[:1] not in (b" ", b"\n")
@@ -119,11 +141,19 @@ class Encoder:
     def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, in a row, and the number of each.  They are given
         to the library in one text: the line feeds between them are pieces of
-        their own, and no part holds one."""
+        their own, and no other part holds one."""
+        if b"\n" in parts:  # the part that is a line feed itself
+            return self._learn_apart(parts)
         ids = np.array(self.lib.encode_batch_fast([b"\n".join(parts).decode()], add_special_tokens=False)[0].ids, np.int64)
         stop = np.append(np.flatnonzero(ids == self.feed), len(ids))
         return ids[ids != self.feed], np.diff(stop, prepend=-1) - 1
 
+    def _learn_apart(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = parts.index(b"\n")
+        rest = parts[:at] + parts[at + 1 :]
+        ids, number = self.learn(rest) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.insert(ids, int(number[:at].sum()), self.feed), np.insert(number, at, 1)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, and the number of each."""
         simple = [self.simple(t) for t in texts]
@@ -152,27 +182,44 @@ class Encoder:
         inner[np.searchsorted(start, chunk.doc_start[1:] - 1)] = False  # the line feeds that end texts
         start, end = start[inner], end[inner]
         edge = np.searchsorted(start, chunk.doc_start)
-        key = chunk.hashes(start, end) | np.uint64(1)
-        eight = np.ndarray((len(raw),), "<u8", raw + bytes(8), strides=(1,))
         length = end - start
-        head = (eight[start] & _HEAD_MASK[np.minimum(length, 8)]) ^ (length.astype(np.uint64) << np.uint64(56))
-        code = self.table.find(key, head)
+        brief = np.flatnonzero(length <= PART_BYTES)
         ids, begin = self.table.flat, self.table.begin
-        lost = np.flatnonzero(code < 0)
+        code = np.full(len(start), -1, np.int64)
+        # Short parts: by the table, those it doesn't know by the library.
+        eight = np.ndarray((len(raw) + PART_BYTES - 8,), "<u8", raw + bytes(PART_BYTES), strides=(1,))
+        size = length[brief]
+        word = [eight[start[brief] + 8 * j] & _WORD_MASK[np.clip(size - 8 * j, 0, 8)] for j in range(3)]
+        key = mix(word[0] ^ mix(word[1] ^ mix(word[2] + size.astype(np.uint64))))
+        code[brief] = self.table.find(key, word, size)
+        lost = np.flatnonzero(code[brief] < 0)
         if len(lost):
-            _, first, back = np.unique(key[lost], return_index=True, return_inverse=True)
-            first = lost[first]
-            line = buf[start[first]] == 10
-            parts = [raw[a:b] for a, b in zip(start[first[~line]].tolist(), end[first[~line]].tolist(), strict=True)]
-            got, number = self.learn(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for k in np.flatnonzero(line).tolist():  # the part that is a line feed itself
-                got, number = np.insert(got, int(number[:k].sum()), self.feed), np.insert(number, k, 1)
-            known = len(begin) - 1
-            code[lost] = known + back
+            order = lost[np.argsort(key[lost])]  # equal parts lie together, but for colliding hashes: those are learnt twice
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (key, size, *word)], axis=0)
+            first = order[new]
+            got, number = self.learn([raw[a : a + n] for a, n in zip(start[brief[first]].tolist(), size[first].tolist(), strict=True)])
+            code[brief[order]] = len(begin) - 1 + np.cumsum(new) - 1
             ids = np.concatenate([ids, got])
             begin = np.concatenate([begin, begin[-1] + np.cumsum(number)])
-            if not self.table.full:
-                self.table.add(key[first], head[first], got, number)
+            if room := self.table.room:
+                self.table.add(key[first[:room]], [w[first[:room]] for w in word], size[first[:room]], got[: number[:room].sum()], number[:room])
+        # Long parts: by a dictionary of their bytes.
+        far = np.flatnonzero(length > PART_BYTES)
+        if len(far):
+            parts = [raw[a:b] for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+            fresh = list(dict.fromkeys(p for p in parts if p not in self.long))
+            own = dict(self.long)
+            if fresh:
+                got, number = self.learn(fresh)
+                own |= zip(fresh, np.split(got, np.cumsum(number)[:-1]), strict=True)
+            names = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+            code[far] = len(begin) - 1 + np.array([names[p] for p in parts])
+            more = [own[p] for p in names]
+            ids = np.concatenate([ids, *more])
+            begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in more])])
+            if len(own) <= LONG_PARTS:
+                self.long = own
         out, at = spread(begin[code].astype(np.int64), (begin[code + 1] - begin[code]).astype(np.int64), ids)
         return out, at, edge
 
@@ -192,72 +239,112 @@ def spread(start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> tuple[np.
 
 
 def repair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols) and the remaining symbols, both 16-bit.
+    """Rules (pairs of symbols) and the remaining symbols.
 
     Each round counts all adjacent pairs exactly and replaces the most
-    frequent ones, from left to right where they overlap."""
-    seq, rules = symbols.astype(np.uint16), []
-    free = (1 << 16) - vocab - 1
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or free <= 0:
-            break
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        key = np.sort(key[(seq[:-1] != vocab) & (seq[1:] != vocab)])
-        edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    frequent ones.  Where two of them overlap the more frequent goes first, and
+    equal ones from left to right.  A pair that thereby keeps too few places
+    waits for a later round; the most frequent one never does, so this ends
+    only when no pair occurs MIN_COUNT times."""
+    seq, rules, top, fresh, waiting = symbols.astype(np.uint32), [], vocab + 1, 0, None
+    while len(seq) >= 2:
+        # Counts can only have grown for pairs of a symbol of the last round; of the
+        # others, those count that were frequent and had to wait.
+        look = seq >= fresh
+        look = (look[:-1] | look[1:]) & (seq[:-1] != vocab) & (seq[1:] != vocab)
+        if waiting is not None and len(waiting[0]):
+            ends = np.zeros((2, top), bool)
+            ends[0, waiting[0]], ends[1, waiting[1]] = True, True
+            look |= ends[0][seq[:-1]] & ends[1][seq[1:]]
+        at = np.flatnonzero(look)
+        wide = np.uint64 if top > 1 << 16 else np.uint32
+        shift = wide(32 if top > 1 << 16 else 16)
+        mask = (wide(1) << shift) - wide(1)
+        pair = (seq[at].astype(wide) << shift) | seq[at + 1]
+        key = np.sort(pair)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         count = np.diff(edge, append=len(key))
         often = np.flatnonzero(count >= MIN_COUNT)
         if not len(often):
             break
-        order = np.lexsort((key[edge[often]], -count[often]))[: min(ROUND_PAIRS, free)]
-        pairs = key[edge[often[order]]]
-        left, right = (pairs >> np.uint32(16)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
-        rank_l, rank_r = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        lefts, rights = np.unique(left), np.unique(right)
-        rank_l[lefts], rank_r[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
-        wide = len(rights) + 1
-        table = np.zeros((len(lefts) + 1) * wide, np.uint16)
-        first = vocab + 1 + sum(map(len, rules))
-        table[rank_l[left] * wide + rank_r[right]] = np.arange(first, first + len(pairs))
-        new = table[rank_l[seq[:-1]] * wide + rank_r[seq[1:]]]
-        at = np.flatnonzero(new)
+        often = often[np.lexsort((key[edge[often]], -count[often]))]
+        pairs, order = np.unique(key[edge[often[:ROUND_PAIRS]]], return_index=True)
+        slot = _slots(pairs, pair, shift, top)
+        hit = pairs[slot] == pair
+        at, slot = at[hit], slot[hit]
+        rank = np.full(len(seq) + 1, len(pairs), np.int32)
+        rank[at + 1] = order[slot]
+        win = (rank[at + 1] <= rank[at]) & (rank[at + 1] <= rank[at + 2])
+        at, slot = at[win], slot[win]
         head = np.r_[True, np.diff(at) > 1]
         begun = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begun) % 2 == 0]
-        seq[at] = new[at]
-        seq = np.delete(seq, at + 1)
-        rules.append(np.stack([left, right], 1).astype(np.uint16))
-        free -= len(pairs)
-        if len(at) < 0.01 * len(seq):
-            break
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)), seq
+        odd = (np.arange(len(at)) - begun) % 2 == 0
+        at, slot = at[odd], slot[odd]
+        keep = np.bincount(slot, minlength=len(pairs)) >= MIN_COUNT // 2
+        late = np.r_[pairs[~keep], key[edge[often[ROUND_PAIRS:]]]]
+        waiting = late >> shift, late & mask
+        taken = keep[slot]
+        at, slot = at[taken], slot[taken]
+        seq[at] = (top + np.cumsum(keep) - 1)[slot]
+        gone = np.ones(len(seq), bool)
+        gone[at + 1] = False
+        seq = seq[gone]
+        rules.append(np.stack([pairs[keep] >> shift, pairs[keep] & mask], 1).astype(np.uint32))
+        fresh, top = top, top + int(keep.sum())
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
+
+
+def _slots(pairs: np.ndarray, pair: np.ndarray, shift, top: int) -> np.ndarray:
+    """For each pair its place among the sorted `pairs`, if it is there: by a
+    table of left and right symbols where that is small, else by bisection."""
+    mask = (pairs.dtype.type(1) << shift) - pairs.dtype.type(1)
+    left, right = (pairs >> shift).astype(np.int64), (pairs & mask).astype(np.int64)
+    lefts, rights = np.unique(left), np.unique(right)
+    wide = len(rights) + 1
+    if (len(lefts) + 1) * wide > 1 << 23:
+        return np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    rank_l, rank_r = np.zeros(top, np.int32), np.zeros(top, np.int32)
+    rank_l[lefts], rank_r[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    table = np.zeros((len(lefts) + 1) * wide, np.int32)
+    table[rank_l[left] * wide + rank_r[right]] = np.arange(len(pairs))
+    return table[rank_l[pair >> shift] * np.int32(wide) + rank_r[pair & mask]]
 
 
 def expansions(rules: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each symbol's ids begin in `flat`, how many there are, and flat."""
     n = vocab + 1 + len(rules)
-    start, length = np.arange(n, dtype=np.int64), np.ones(n, np.int64)
-    flat, end = list(range(vocab + 1)), vocab + 1
+    start, length = list(range(vocab + 1)) + [0] * len(rules), [1] * n
+    own, end = array("q", range(vocab + 1)), vocab + 1
     for k, (a, b) in enumerate(rules.tolist(), vocab + 1):
         start[k], length[k] = end, length[a] + length[b]
-        flat += flat[start[a] : start[a] + length[a]]
-        flat += flat[start[b] : start[b] + length[b]]
-        end += int(length[k])
-    return start, length, np.array(flat, np.int64)
+        own += own[start[a] : start[a] + length[a]]
+        own += own[start[b] : start[b] + length[b]]
+        end += length[k]
+    return np.array(start, np.int64), np.array(length, np.int64), np.frombuffer(own, np.int64)
+
+
+def lengths_of(rules: np.ndarray, vocab: int) -> np.ndarray:
+    """The expansion length of each rule."""
+    length = [1] * (vocab + 1)
+    for a, b in rules.tolist():
+        length.append(length[a] + length[b])
+    return np.array(length[vocab + 1 :], np.int64)
 
 
-_HEAD = struct.Struct("<4s4I")
+_HEAD = struct.Struct("<4s5I")
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None], vocab: int) -> bytes:
     """A shard of documents: their ids one after the other, without end ids."""
     ends = np.cumsum(counts)
     rules, seq = repair(np.insert(ids, ends, vocab), vocab)
-    length = expansions(rules, vocab)[1][vocab + 1 :]
+    length = lengths_of(rules, vocab)
     stop = np.flatnonzero(seq == vocab)
     first = np.r_[0, stop[:-1] + 1] if len(stop) else stop
     null = np.array([d is None for d in doc_ids], np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = [_HEAD.pack(b"RPG1", vocab, len(doc_ids), len(rules), len(seq)), keys, null, first.astype("<u4"), rules.astype("<u2"), length.astype("<u4"), seq.astype("<u2")]
+    width = 2 if vocab + 1 + len(rules) <= 1 << 16 else 4
+    parts = [_HEAD.pack(b"RPG2", vocab, len(doc_ids), len(rules), len(seq), width), keys, null, first.astype("<u4"), rules.astype(f"<u{width}"), length.astype("<u4"), seq.astype(f"<u{width}")]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
@@ -265,8 +352,8 @@ class Shard:
     """A packed shard; `document(k)` decodes one document alone."""
 
     def __init__(self, blob: bytes):
-        magic, self.vocab, docs, rules, symbols = _HEAD.unpack_from(blob)
-        if magic != b"RPG1":
+        magic, self.vocab, docs, rules, symbols, width = _HEAD.unpack_from(blob)
+        if magic != b"RPG2":
             raise ValueError("not a token shard")
         at = _HEAD.size
 
@@ -279,9 +366,9 @@ class Shard:
         keys, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)]
         self.first = take("<u4", docs).astype(np.int64)
-        self.rules = take("<u2", 2 * rules).reshape(-1, 2)
+        self.rules = take(f"<u{width}", 2 * rules).reshape(-1, 2)
         self.rule_length = take("<u4", rules)
-        self.symbols = take("<u2", symbols)
+        self.symbols = take(f"<u{width}", symbols)
         self._expansions: tuple | None = None
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -311,14 +398,14 @@ class Shard:
 
 
 def _pieces(batches) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts, about a megabyte at a time."""
+    """Ids and texts, about PIECE_BYTES at a time."""
     keys, texts, size = [], [], 0
     for batch in batches:
-        for k, t in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist()), strict=True):
+        for k, t in zip(batch.column(0).to_pylist(), views(batch.column(1)), strict=True):
             keys.append(k)
-            texts.append(t)
+            texts.append(bytes(t))
             size += len(texts[-1])
-            if size > 1 << 20:
+            if size > PIECE_BYTES:
                 yield keys, texts
                 keys, texts, size = [], [], 0
     if keys:

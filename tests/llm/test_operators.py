@@ -44,6 +44,43 @@ def test_token_shards_round_trip(odd):
         start += len(ids)
 
 
+def test_parts_are_known_by_their_bytes():
+    """Words that polynomial hashes modulo 2**64 can't tell apart, and long parts."""
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_file(tokenizer_path()), token_shards.Encoder(tokenizer_path(), slots=64)
+    words = []
+    for n in (10, 11, 12):
+        bits = [k.bit_count() % 2 for k in range(1 << n)]
+        words += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    words += ["abcdefgh" * 3, "abcdefgh" * 3 + "i", "abcdefg", "abcdefg\x0f", "\n", "é" * 12, "é" * 13]
+    rng = np.random.default_rng(3)
+    texts = [*words, *(" ".join(rng.choice(words + WORDS, 40)) for _ in range(60)), "a\nb c\nd", " x", ""]
+    for _ in range(2):
+        ids, count = enc.encode([t.encode() for t in texts])
+        edge = np.r_[0, np.cumsum(count)]
+        for k, t in enumerate(texts):
+            assert ids[edge[k] : edge[k + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_repair_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    for vocab, ids in ((100, np.tile(rng.integers(0, 100, 64), 400)), (70_000, np.r_[rng.integers(0, 70_000, 500), np.tile(rng.integers(0, 70_000, 40), 90)]), (9, np.zeros(5000, np.int64)), (9, rng.integers(0, 3, 4000)), (9, np.zeros(0, np.int64))):
+        cut = sorted(rng.integers(0, len(ids) + 1, 4).tolist())
+        counts = np.diff([0, *cut, len(ids)])
+        blob = token_shards.pack(ids, counts, [5, None, 7, 8, 9], vocab)
+        shard = token_shards.Shard(blob)
+        pairs = {}
+        for a, b in zip(shard.symbols[:-1].tolist(), shard.symbols[1:].tolist()):
+            if vocab not in (a, b):
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+        assert max(pairs.values(), default=0) < token_shards.MIN_COUNT
+        assert shard.doc_ids == [5, None, 7, 8, 9] and shard.lengths().tolist() == (counts + 1).tolist()
+        for k, (a, n) in enumerate(zip(np.r_[0, np.cumsum(counts)[:-1]].tolist(), counts.tolist())):
+            own = shard.document(k).tolist()
+            assert own == [*ids[a : a + n].tolist(), token_shards.END_ID]
+
+
 def test_line_chunks_remove_repeats_only(spark):
     passage = prose(50, 90)
     rows = [(k, prose(100 + k, 60) + ".\n" + passage + ".\n" + prose(200 + k, 60), "a") for k in range(5)]
