@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema
+from .shared import arrow_schema, mapped
 from .textkit import chunks, shingle_hashes
 
 SHINGLE = 5
@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     for part in _slices(benchmark.select("item_id", "text")):
         held = spark.sparkContext.broadcast(index([t for _, t in part], shingle))
         ids = [i for i, _ in part]
-        got = rows.mapInArrow(lambda it, held=held, ids=ids: _found(it, held, ids, radius, similarity, schema), out)
+        got = rows.transform(mapped, lambda it, held=held, ids=ids: _found(it, held, ids, radius, similarity, schema), out)
         result = got if result is None else result.unionByName(got)
     return spark.createDataFrame([], out) if result is None else result
 
@@ -234,5 +234,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", shi
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     for part in _slices(benchmark.select("item_id", "text")):
         held = spark.sparkContext.broadcast(index([t for _, t in part], shingle))
-        rows = rows.mapInArrow(lambda it, held=held: _clean(it, at, held, radius, similarity), rows.schema)
+        rows = rows.transform(mapped, lambda it, held=held: _clean(it, at, held, radius, similarity), rows.schema)
     return rows.select("row.*")

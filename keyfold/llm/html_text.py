@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema
+from .shared import arrow_schema, mapped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -284,4 +284,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     """The columns `keep`, text and n_chars (code points) of every page."""
     out = pages.select(*keep).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     schema = arrow_schema(out)
-    return pages.select(*keep, html).mapInArrow(lambda it: _extract(it, html, schema), out)
+    return pages.select(*keep, html).transform(mapped, lambda it: _extract(it, html, schema), out)

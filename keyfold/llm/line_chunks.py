@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, materialise
+from .shared import arrow_schema, mapped, materialise
 from .textkit import chunks, mix
 
 MIN_LINES = 2
@@ -134,7 +134,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     counted = "hash long, n long"
     schema = arrow_schema(counted)
-    hashes = docs.select(text).mapInArrow(lambda it: _hash_counts(it, text, schema), counted)
+    hashes = docs.select(text).transform(mapped, lambda it: _hash_counts(it, text, schema), counted)
     hashes = materialise(hashes.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes")
     total = hashes.agg(F.sum("n")).first()[0] or 0
     hot = np.array([r["hash"] for r in hashes.where(F.col("n") > total / HOT).select("hash").collect()], np.int64).view(np.uint64)
@@ -142,14 +142,14 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = docs.select(F.col(doc_id).alias("line_id"), F.xxhash64(doc_id, text).alias("line_mark"), F.col(text).alias("line_text"))
     pair = "line_mark long, hash long"
     ask_schema = arrow_schema(pair)
-    asked = keyed.select("line_mark", "line_text").mapInArrow(lambda it: _asks(it, hot, ask_schema), pair)
+    asked = keyed.select("line_mark", "line_text").transform(mapped, lambda it: _asks(it, hot, ask_schema), pair)
     told = asked.join(hashes.where(F.col("n") <= total / HOT).select("hash"), "hash", "left_semi")
     told = told.groupBy("line_mark").agg(F.collect_set("hash").alias("hashes"))
 
     out = f"line_id {dict(docs.dtypes)[doc_id]}, line_mark long, seq long, place long, size long, lines long, words long, hash long, bytes binary"
     wide = arrow_schema(out)
     with_hashes = keyed.join(told, "line_mark", "left").select("line_id", "line_mark", "line_text", "hashes")
-    occ = materialise(with_hashes.mapInArrow(lambda it: _occurrences(it, hot, min_lines, min_words, wide), out), "occurrences")
+    occ = materialise(with_hashes.transform(mapped, lambda it: _occurrences(it, hot, min_lines, min_words, wide), out), "occurrences")
 
     # Byte comparison: groups are formed by the bytes, partial groups first.
     second = F.xxhash64("bytes", F.lit(5)).alias("second")
@@ -208,4 +208,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     both = left.join(spans, "line_mark", "left").select(*docs.columns, F.col(text).alias("line_text"), "spans")
     out = docs.withColumns({"line_text": F.col(text), "repeated_bytes": F.lit(0).cast("long"), "removed": F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))}).schema
     schema = arrow_schema(out)
-    return both.mapInArrow(lambda it: _remove(it, min_lines, min_words, schema), out)
+    return both.transform(mapped, lambda it: _remove(it, min_lines, min_words, schema), out)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, fresh_path, materialise
+from .shared import arrow_schema, fresh_path, mapped, materialise
 
 WIDTH = 576
 HEADER_BYTES = 33
@@ -154,7 +154,7 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     owned = marked.where(F.col("again").isNull() | F.col("doc_id").eqNullSafe(F.col("owner")))
     out = "digest binary, n_bytes long, shard string, offset long, length long"
     schema = arrow_schema(out)
-    index = materialise(owned.select("digest", "text").mapInArrow(lambda it: _write(it, folder, schema), out), "media-index")
+    index = materialise(owned.select("digest", "text").transform(mapped, lambda it: _write(it, folder, schema), out), "media-index")
     # A text that occurs twice under its smallest id was written by each of those rows: one place is enough.
     first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "n_bytes", "length")).alias("at"))
     return ids, first.select("digest", "at.n_bytes", "at.shard", "at.offset", "at.length")
@@ -192,7 +192,7 @@ def with_metadata(index: DataFrame, folder: str) -> DataFrame:
     """The index with width, height and bits, from range reads of headers."""
     out = index.withColumns({c: F.lit(0) for c in ("width", "height", "bits")}).schema
     schema = arrow_schema(out)
-    return _dealt(index).mapInArrow(lambda it: _headers(it, folder, schema), out)
+    return _dealt(index).transform(mapped, lambda it: _headers(it, folder, schema), out)
 
 
 def _payloads(batches, folder: str, schema: pa.Schema):
@@ -213,7 +213,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     """Per digest of an index with metadata, what the stored bytes say."""
     out = "digest binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
     schema = arrow_schema(out)
-    return _dealt(index).mapInArrow(lambda it: _payloads(it, folder, schema), out)
+    return _dealt(index).transform(mapped, lambda it: _payloads(it, folder, schema), out)
 
 
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema
+from .shared import arrow_schema, mapped
 from .textkit import SHAPE_BIT, chunks, mix, tokens
 
 DIMS = 1 << 18
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, sa
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     out = "label int, feat binary, share binary"
     schema = arrow_schema(out)
-    got = rows.mapInArrow(lambda it: _counts(it, dims, schema), out).toArrow().to_pylist()
+    got = rows.transform(mapped, lambda it: _counts(it, dims, schema), out).toArrow().to_pylist()
     examples = [(r["label"], np.frombuffer(r["feat"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got]
     examples.sort(key=lambda e: (int(e[1].sum(dtype=np.int64)) * 2654435761 % 4294967291, e[0], e[1].tobytes()))  # some fixed mixed order
     return fit_ftrl(examples, dims, how)
@@ -149,7 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
     held = docs.sparkSession.sparkContext.broadcast(weights)
     out = docs.withColumn(name, F.lit(0.0).cast("double")).schema
     schema = arrow_schema(out)
-    return docs.mapInArrow(lambda it: _scores(it, held.value, text, schema), out)
+    return docs.transform(mapped, lambda it: _scores(it, held.value, text, schema), out)
 
 
 def held_out(modulus: int, remainder: int) -> Column:

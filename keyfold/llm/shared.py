@@ -9,13 +9,17 @@ those that no later step reads.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Bytes of an Arrow batch between Spark and Python, on both sides of the pipe.
+BATCH_BYTES = "4m"
 DEFAULT_DIR = "file:///tmp/checkpoints/keyfold"
 
 
@@ -55,5 +59,35 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _trim() -> None:
+    """Give memory that isn't used back to the system: a worker that waits for
+    its next task shouldn't hold what the largest batch so far took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries do without
+        pass
+
+
+def _lean(fn: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, out in enumerate(fn(batches)):
+            yield out
+            del out
+            if k % 8 == 7:
+                _trim()
+        _trim()
+
+    return run
+
+
+def mapped(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, so that memory doesn't depend
+    on the length of the texts in ten thousand rows.  (The bound is a setting
+    of the session, read when the plan runs.)"""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(_lean(fn), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

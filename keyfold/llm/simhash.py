@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_schema, materialise
+from .shared import arrow_schema, mapped, materialise
 from .textkit import chunks, mix
 
 #: Fingerprints of one key that are compared in one piece.
@@ -99,7 +99,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, bits: int =
     need = list(dict.fromkeys([*keep, text]))
     out = df.select(*keep).withColumns({"fp_hi": F.lit(0).cast("long"), "fp_lo": F.lit(0).cast("long")}).schema
     schema = arrow_schema(out)
-    return df.select(*need).mapInArrow(lambda it: _fingerprints(it, text, words, bits == 128, schema), out)
+    return df.select(*need).transform(mapped, lambda it: _fingerprints(it, text, words, bits == 128, schema), out)
 
 
 def _block_keys(bits: int, blocks: int, pick: int):
@@ -236,7 +236,7 @@ def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int,
     small = n_hot <= BROADCAST_KEYS
     pair = "ah long, al long, bh long, bl long"
     schema = arrow_schema(pair)
-    links = dealt(tiled.drop("tiles"), "key", "tile").mapInArrow(lambda it: _link_tiles(it, radius, ["fp_hi", "fp_lo"], schema), pair)
+    links = dealt(tiled.drop("tiles"), "key", "tile").transform(mapped, lambda it: _link_tiles(it, radius, ["fp_hi", "fp_lo"], schema), pair)
     hexed = lambda df: df.select(_node("ah", "al", wide).alias("a"), _node("bh", "bl", wide).alias("b")).distinct()
     edges = materialise(hexed(links), "links")
     found = components(edges)
@@ -252,7 +252,7 @@ def fingerprint_components(fps: DataFrame, radius: int, blocks: int, pick: int,
     rest = members.join(F.broadcast(open_keys) if small else open_keys, "key")
     probes = rest.where("comp <> largest").withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
     both = rest.select("key", "tile", "fp_hi", "fp_lo", F.lit(0).alias("probe")).unionByName(probes.select("key", "tile", "fp_hi", "fp_lo", F.lit(1).alias("probe")))
-    more = dealt(both, "key", "tile").mapInArrow(lambda it: _probe_tiles(it, radius, schema), pair)
+    more = dealt(both, "key", "tile").transform(mapped, lambda it: _probe_tiles(it, radius, schema), pair)
     return components(materialise(edges.unionByName(hexed(more)), "links"))
 
 

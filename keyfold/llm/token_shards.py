@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, fresh_path
+from .shared import arrow_schema, fresh_path, mapped
 from .textkit import Chunk, mix, views
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -445,7 +445,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     out = "part int, seq int, n_docs int, n_tokens long, shard binary"
     schema = arrow_schema(out)
-    rows.mapInArrow(lambda it: _write_shards(it, tokenizer, shard_tokens, schema), out).write.parquet(path)
+    rows.transform(mapped, lambda it: _write_shards(it, tokenizer, shard_tokens, schema), out).write.parquet(path)
 
 
 def _read_shards(batches, schema: pa.Schema):
@@ -467,7 +467,7 @@ def read(spark, path: str) -> DataFrame:
     shards = spark.read.parquet(path)
     out = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
     schema = arrow_schema(out)
-    docs = shards.select("part", "seq", "shard").mapInArrow(lambda it: _read_shards(it, schema), out)
+    docs = shards.select("part", "seq", "shard").transform(mapped, lambda it: _read_shards(it, schema), out)
     sizes = shards.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sampled_labels
-from .shared import arrow_schema, materialise
+from .shared import arrow_schema, mapped, materialise
 from .textkit import chunks, tokens
 
 SAMPLE_ROWS = 12_000
@@ -242,7 +242,7 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str, train_rows: Colu
     rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "examples")
     out = "term long, n0 long, n1 long"
     schema = arrow_schema(out)
-    counts = rows.select("text", "label").mapInArrow(lambda it: _term_counts(it, schema), out)
+    counts = rows.select("text", "label").transform(mapped, lambda it: _term_counts(it, schema), out)
     counts = counts.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_ROWS)
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(total.get(0, 0)), float(sum(total.values()) - total.get(0, 0))
@@ -256,7 +256,7 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str, train_rows: Colu
         wanted = np.zeros(0, np.uint64)
     out = "doc_id long, label int, place array<long>, count array<long>"
     schema = arrow_schema(out)
-    got = rows.mapInArrow(lambda it: _vectors(it, wanted, schema), out).toArrow().to_pylist()
+    got = rows.transform(mapped, lambda it: _vectors(it, wanted, schema), out).toArrow().to_pylist()
     index = BlockMaxIndex(wanted, sorted((r["doc_id"], r["label"], r["place"], r["count"]) for r in got))
     if not got:
         index.share = index.empty_share = 0.5
@@ -283,4 +283,4 @@ def score(docs: DataFrame, index: BlockMaxIndex, text: str = "text", k: int = NE
     keep = [c for c in docs.columns if c != text]
     out = docs.select(*keep).withColumns({"score": F.lit(0.0), "evidence": F.array(F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("cosine")))}).schema
     schema = arrow_schema(out)
-    return docs.mapInArrow(lambda it: _scores(it, held.value, k, evidence, text, schema), out)
+    return docs.transform(mapped, lambda it: _scores(it, held.value, k, evidence, text, schema), out)
