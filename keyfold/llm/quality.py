@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, mapped
-from .textkit import SHAPE_BIT, chunks, mix, tokens
+from .shared import arrow_schema, mapped, trim
+from .textkit import SHAPE_BIT, chunks, mix, tokens, views
 
 DIMS = 1 << 18
 #: Shares of tokens are small numbers; this makes steps of usual size.
@@ -125,10 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, sa
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     out = "label int, feat binary, share binary"
     schema = arrow_schema(out)
-    got = rows.transform(mapped, lambda it: _counts(it, dims, schema), out).toArrow().to_pylist()
-    examples = [(r["label"], np.frombuffer(r["feat"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got]
-    examples.sort(key=lambda e: (int(e[1].sum(dtype=np.int64)) * 2654435761 % 4294967291, e[0], e[1].tobytes()))  # some fixed mixed order
-    return fit_ftrl(examples, dims, how)
+    examples = []
+    for b in rows.transform(mapped, lambda it: _counts(it, dims, schema), out).toArrow().to_batches():
+        examples += [(y, np.frombuffer(f, np.int32), np.frombuffer(x, np.float32)) for y, f, x in zip(b.column(0).to_pylist(), views(b.column(1)), views(b.column(2)), strict=True)]
+    examples.sort(key=lambda e: (int(e[1].sum(dtype=np.int64)) * 2654435761 % 4294967291, e[0], xxhash.xxh3_128_digest(e[1])))  # some fixed mixed order
+    weights = fit_ftrl(examples, dims, how)
+    examples.clear()
+    trim()
+    return weights
 
 
 def _scores(batches, weights: np.ndarray, text: str, schema: pa.Schema):

@@ -59,9 +59,9 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give memory that isn't used back to the system: a worker that waits for
-    its next task shouldn't hold what the largest batch so far took."""
+    its next task, or a driver that has fitted a model, shouldn't hold what the largest batch so far took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -75,8 +75,8 @@ def _lean(fn: Callable) -> Callable:
             yield out
             del out
             if k % 8 == 7:
-                _trim()
-        _trim()
+                trim()
+        trim()
 
     return run
 
