@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow_schema, mapped, materialise
-from .textkit import chunks, mix
+from .textkit import chunks, mix, text_array, views
 
 MIN_LINES = 2
-MIN_WORDS = 20
+MIN_WORDS = 10
 #: A hash is hot above this part of all occurrences.
 HOT = 1000
 _MARKS = np.zeros(256, bool)
@@ -84,7 +85,7 @@ def cut_chunks(c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _hash_counts(batches, text: str, schema: pa.Schema):
     for batch in batches:
-        for c in chunks(batch.column(text).to_pylist(), lower=False):
+        for c in chunks(batch.column(text), lower=False):
             h, n = np.unique(cut_chunks(c)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
 
@@ -93,7 +94,7 @@ def _asks(batches, hot: np.ndarray, schema: pa.Schema):
     """Each text's distinct chunk hashes but the hot ones, by its mark."""
     for batch in batches:
         marks = batch.column("line_mark")
-        for c in chunks(batch.column("line_text").to_pylist(), lower=False):
+        for c in chunks(batch.column("line_text"), lower=False):
             doc, _, _, h, _, _ = cut_chunks(c)
             rare = ~np.isin(h, hot)
             pairs = np.unique(np.stack([doc[rare].astype(np.uint64), h[rare]]), axis=1)
@@ -104,14 +105,16 @@ def _asks(batches, hot: np.ndarray, schema: pa.Schema):
 def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schema: pa.Schema):
     """The chunks of repeated hashes that lie in a long enough run of them."""
     for batch in batches:
-        ids, marks, known = batch.column("line_id"), batch.column("line_mark"), batch.column("hashes").to_pylist()
-        for c in chunks(batch.column("line_text").to_pylist(), lower=False):
+        ids, marks, told = batch.column("line_id"), batch.column("line_mark"), batch.column("hashes")
+        row, own_hash = pc.list_parent_indices(told).to_numpy(), pc.list_flatten(told).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        for c in chunks(batch.column("line_text"), lower=False):
             doc, a, b, h, lines, words = cut_chunks(c)
             edge = np.searchsorted(doc, np.arange(c.n + 1))
             again = np.isin(h, hot)
-            for d in range(c.n):
+            for d in np.flatnonzero(np.diff(edges[c.first : c.first + c.n + 1])).tolist():
                 own = slice(edge[d], edge[d + 1])
-                again[own] |= np.isin(h[own], np.array(known[c.first + d] or [], np.int64).view(np.uint64))
+                again[own] |= np.isin(h[own], own_hash[edges[c.first + d] : edges[c.first + d + 1]])
             opens = np.r_[True, (doc[1:] != doc[:-1]) | (again[1:] != again[:-1])][: len(doc)]
             run = np.cumsum(opens) - 1
             enough = (np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words) if len(run) else np.zeros(0, bool)
@@ -124,13 +127,13 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """line_mark (hash of id and text), seq, place, size (bytes), lines, words
+    """line_id, line_mark (hash of id and text), seq, place, size (bytes), lines, words
     and is_first of each occurrence of a repeated chunk.
 
     A hash with over 1/HOT of all occurrences is hot: there are fewer than HOT
     of them, so they are broadcast and their rows never meet in one task.
-    Marks that collide do no harm: a mark only brings a text hashes that are
-    repeated anyway."""
+    Marks that collide do no harm here: a mark only brings a text hashes that
+    are repeated anyway.  Byte ranges go back to a text by its id and mark."""
     spark = docs.sparkSession
     counted = "hash long, n long"
     schema = arrow_schema(counted)
@@ -163,39 +166,39 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     often = spark.createDataFrame(same.where(F.col("n") > size / HOT).select("hash", "second", "first").collect(), same.select("hash", "second", "first").schema)
     busy = light.join(F.broadcast(often), ["hash", "second"])
     rare = light.join(F.broadcast(often.select("hash", "second")), ["hash", "second"], "left_anti").join(same.where(F.col("n") <= size / HOT).select("hash", "second", "first"), ["hash", "second"])
-    return busy.unionByName(rare).select("line_mark", "seq", "place", "size", "lines", "words", (order == F.col("first")).alias("is_first"))
+    return busy.unionByName(rare).select("line_id", "line_mark", "seq", "place", "size", "lines", "words", (order == F.col("first")).alias("is_first"))
 
 
-def runs(spans: list[dict], min_lines: int, min_words: int) -> list[dict]:
-    """The occurrences that lie in a long enough run of repeated chunks."""
-    kept, run = [], []
-    for s in [*sorted(spans, key=lambda s: s["seq"]), None]:
-        if run and (s is None or s["seq"] != run[-1]["seq"] + 1):
-            if sum(r["lines"] for r in run) >= min_lines and sum(r["words"] for r in run) >= min_words:
-                kept += run
-            run = []
-        run.append(s)
-    return kept
+def in_long_runs(row: np.ndarray, seq: np.ndarray, lines: np.ndarray, words: np.ndarray, min_lines: int, min_words: int) -> np.ndarray:
+    """Of occurrences sorted by row and seq, those in a long enough run of
+    adjacent ones."""
+    if not len(row):
+        return np.zeros(0, bool)
+    run = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (seq[1:] != seq[:-1] + 1)]) - 1
+    return ((np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words))[run]
 
 
 def _remove(batches, min_lines: int, min_words: int, schema: pa.Schema):
     for batch in batches:
-        texts, spans = batch.column("line_text").to_pylist(), batch.column("spans").to_pylist()
-        out, again, gone = [], [], []
-        for t, found in zip(texts, spans, strict=True):
-            chosen = runs(found or [], min_lines, min_words)
-            again.append(sum(s["size"] for s in chosen))
-            drop = [s for s in chosen if not s["is_first"]]
-            gone.append([{"place": s["place"], "size": s["size"]} for s in drop])
-            if drop:
-                raw, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
-                for s in drop:
-                    parts.append(raw[at : s["place"]])
-                    at = s["place"] + s["size"]
-                t = b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
-            out.append(t)
+        texts, spans = batch.column("line_text"), batch.column("spans")
+        row, flat = pc.list_parent_indices(spans).to_numpy(), pc.list_flatten(spans)
+        part = {k: pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in ("seq", "place", "size", "lines", "words", "is_first")}
+        order = np.lexsort((part["seq"], row))
+        row, part = row[order], {k: v[order] for k, v in part.items()}
+        chosen = in_long_runs(row, part["seq"], part["lines"], part["words"], min_lines, min_words)
+        again = np.bincount(row[chosen], part["size"][chosen], minlength=batch.num_rows).astype(np.int64)
+        drop = chosen & ~part["is_first"].astype(bool)
+        row, place, size = row[drop], part["place"][drop], part["size"][drop]
+        out, at = views(texts), np.searchsorted(row, np.arange(batch.num_rows + 1))
+        for k in np.unique(row).tolist():
+            raw, end, parts = out[k], 0, []
+            for a, n in zip(place[at[k] : at[k + 1]].tolist(), size[at[k] : at[k + 1]].tolist(), strict=True):
+                parts.append(raw[end:a])
+                end = a + n
+            out[k] = b"".join([*parts, raw[end:]])
+        gone = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(place, pa.int64()), pa.array(size, pa.int64())], ["place", "size"]))
         kept = [batch.column(c) for c in schema.names[:-3]]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, schema.types[-3]), pa.array(again, pa.int64()), pa.array(gone, schema.types[-1])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*kept, text_array(out, texts.is_valid().to_pylist(), schema.types[-3]), pa.array(again), gone.cast(schema.types[-1])], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -203,9 +206,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     repeated_bytes (in runs of repeated chunks, kept or not) and removed (the
     byte ranges taken out)."""
     found = repeated_chunks(docs, text, doc_id, min_lines, min_words)
-    spans = found.groupBy("line_mark").agg(F.collect_set(F.struct("seq", "place", "size", "lines", "words", "is_first")).alias("spans"))
+    spans = found.groupBy("line_id", "line_mark").agg(F.collect_set(F.struct("seq", "place", "size", "lines", "words", "is_first")).alias("spans"))
     left = docs.withColumn("line_mark", F.xxhash64(doc_id, text))
-    both = left.join(spans, "line_mark", "left").select(*docs.columns, F.col(text).alias("line_text"), "spans")
+    same = (F.col("d.line_mark") == F.col("s.line_mark")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s.line_id"))
+    both = left.alias("d").join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col(f"d.`{text}`").alias("line_text"), "s.spans")
     out = docs.withColumns({"line_text": F.col(text), "repeated_bytes": F.lit(0).cast("long"), "removed": F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))}).schema
     schema = arrow_schema(out)
     return both.transform(mapped, lambda it: _remove(it, min_lines, min_words, schema), out)

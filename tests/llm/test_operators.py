@@ -100,6 +100,13 @@ def test_line_chunks_remove_repeats_only(spark):
         assert b"".join([*kept, raw[at:]]).decode() == r["line_text"]
 
 
+def test_short_passages_of_two_lines_go(spark):
+    twice = "Seven short words stand in this line.\nSeven more short words stand in here.\n"
+    rows = [(k, prose(600 + k, 40) + ".\nStop here at once.\n" + twice + prose(700 + k, 40), "a") for k in range(50)]
+    got = line_chunks.remove_repeats(table(spark, rows)).collect()
+    assert sum(len(r["removed"]) > 0 for r in got) >= 40
+
+
 def test_lines_cover_their_texts():
     from keyfold.llm.textkit import chunks
 
