@@ -6,7 +6,7 @@ have any number of cells; null keys and null values belong to no cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,45 @@ def correlate_keys(a: DataFrame, b: DataFrame, start: int, length: int, how: str
     left = a.select(F.col("key").alias("key_a"), F.substring("key", start, length).alias("part"))
     right = b.select(F.col("key").alias("key_b"), F.substring("key", start, length).alias("part"))
     return left.join(right, "part", how)
+
+
+def height_east_north(x: Column, y: Column, z: Column, lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """Components along the spherical normal, east and north at lon, lat (degrees)."""
+    a, b = F.radians(lon), F.radians(lat)
+    up = x * F.cos(b) * F.cos(a) + y * F.cos(b) * F.sin(a) + z * F.sin(b)
+    return up, y * F.cos(a) - x * F.sin(a), z * F.cos(b) - x * F.sin(b) * F.cos(a) - y * F.sin(b) * F.sin(a)
+
+
+def permutation(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """key, ix: each key's place (from 0) in this order.
+
+    Ranges of the order are counted apart and their starts added, so that no
+    task sees more than its range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(key, F.monotonically_increasing_id().alias("at"))
+    ranged = ranged.select(key, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("inner"))
+    sizes = ranged.groupBy("part").agg((F.max("inner") + 1).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ranged.join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("inner")).alias("ix"))
+
+
+def permuted(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """rows with their place ix; the order is a column, nothing is moved."""
+    return rows.join(places, key)
+
+
+def strict_match(left: DataFrame, right: DataFrame, key: str, whole_right: bool = True) -> DataFrame:
+    """The inner join, but an error if a key of left (or, with whole_right, of
+    right) has no partner."""
+    if not left.join(right, key, "left_anti").isEmpty():
+        raise ValueError(f"keys of the left side without a partner in {key}")
+    if whole_right and not right.join(left, key, "left_anti").isEmpty():
+        raise ValueError(f"keys of the right side without a partner in {key}")
+    return left.join(right, key)
+
+
+def not_empty(rows: DataFrame, what: str = "the selection") -> DataFrame:
+    """rows, but an error if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"{what} is empty")
+    return rows
