@@ -8,10 +8,16 @@ insertion moves no boundary but its neighbours'.  Chunks that occur twice or
 more anywhere are found by hash, then grouped by their bytes: equal hashes of
 different bytes never count as one.
 
+Repeated chunks are anchors.  The lines beside a run of them (two chunks
+before it, where the boundaries of a passage may still depend on the line
+before the passage, and one behind) are compared too, line by line: a line is
+repeated if it and all text up to and with the anchor are, byte for byte.
+
 Of each repeated chunk the first occurrence stays (smallest id, null ids last,
 then the smallest position).  A chunk counts in a text only as part of a run
 of repeated chunks with at least `min_lines` lines and `min_words` words, so a
-short line that is merely frequent stays.
+short line that is merely frequent stays; lines beside an anchor count in its
+run.  A passage without a whole chunk between its own boundaries isn't found.
 
 Defined results: null texts stay null, empty ones empty; rows equal in id and
 text count as one document (all keep their first occurrence, and lose the
@@ -55,13 +61,28 @@ def cut_lines(c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, edges, np.searchsorted(start, c.doc_start)
 
 
-def cut_chunks(c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bare_ends(c, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The ends b of ranges that begin at a, without closing white space, so
+    that a passage is the same at the end of a text as in its middle."""
+    bare = b.copy()
+    for _ in range(4):
+        bare -= (bare > a) & np.isin(c.buf[np.maximum(bare - 1, 0)], (10, 13, 32))
+    return bare
+
+
+def cut_chunks(c) -> tuple[np.ndarray, ...]:
     """Of each chunk: its text, start and end in the buffer, hash, lines, words."""
+    return cut(c)[:6]
+
+
+def cut(c) -> tuple[np.ndarray, ...]:
+    """The same, and each chunk's first line and its place among the lines of
+    its text; then start, end and words of each line."""
     start, end, at = cut_lines(c)
     n = len(start)
     if not n:
         e = np.zeros(0, np.int64)
-        return e, e, e, e.astype(np.uint64), e, e
+        return e, e, e, e.astype(np.uint64), e, e, e, e, e, e, e
     line = c.hashes(start, end)
     before = np.r_[np.uint64(0), line[:-1]]
     first = np.zeros(n, bool)
@@ -72,15 +93,26 @@ def cut_chunks(c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
     tail = np.flatnonzero(closes)
     head = np.r_[0, tail[:-1] + 1]
     word_starts, _, _ = c.words()
+    own_words = np.searchsorted(word_starts, end) - np.searchsorted(word_starts, start)
     a, b = start[head], end[tail]
-    words = np.searchsorted(word_starts, b) - np.searchsorted(word_starts, a)
+    words = np.add.reduceat(own_words, head)
     doc = np.searchsorted(at, head, side="right") - 1
-    # Closing white space is no part of what is compared, so that a passage
-    # is the same at the end of a text as in its middle.
-    bare = b.copy()
-    for _ in range(4):
-        bare -= (bare > a) & np.isin(c.buf[np.maximum(bare - 1, 0)], (10, 13, 32))
-    return doc, a, b, c.hashes(a, bare), tail - head + 1, words
+    return doc, a, b, c.hashes(a, bare_ends(c, a, b)), tail - head + 1, words, head, head - at[doc], start, end, own_words
+
+
+def beside(doc: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks beside runs of repeated ones, and the anchor of each: the first
+    chunk of a run for the two before it, the last one for that behind it."""
+    n, chunk, anchor = len(doc), [], []
+    for step in (1, 2, -1):
+        k = np.flatnonzero(~again)
+        k = k[(k + step >= 0) & (k + step < n)]
+        k = k[(doc[k] == doc[k + step]) & again[k + step]]
+        if step == 2:
+            k = k[~again[k + 1]]
+        chunk.append(k)
+        anchor.append(k + step)
+    return np.concatenate(chunk), np.concatenate(anchor)
 
 
 def _hash_counts(batches, text: str, schema: pa.Schema):
@@ -109,25 +141,39 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
         row, own_hash = pc.list_parent_indices(told).to_numpy(), pc.list_flatten(told).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
         for c in chunks(batch.column("line_text"), lower=False):
-            doc, a, b, h, lines, words = cut_chunks(c)
+            doc, a, b, h, lines, words, head, seq, start, end, line_words = cut(c)
             edge = np.searchsorted(doc, np.arange(c.n + 1))
             again = np.isin(h, hot)
             for d in np.flatnonzero(np.diff(edges[c.first : c.first + c.n + 1])).tolist():
                 own = slice(edge[d], edge[d + 1])
                 again[own] |= np.isin(h[own], own_hash[edges[c.first + d] : edges[c.first + d + 1]])
-            opens = np.r_[True, (doc[1:] != doc[:-1]) | (again[1:] != again[:-1])][: len(doc)]
+            near, anchor = beside(doc, again)
+            within = again.copy()
+            within[near] = True
+            opens = np.r_[True, (doc[1:] != doc[:-1]) | (within[1:] != within[:-1])][: len(doc)]
             run = np.cumsum(opens) - 1
             enough = (np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words) if len(run) else np.zeros(0, bool)
-            at = np.flatnonzero(again & enough[run])
-            seq = at - edge[doc[at]]
-            raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
-            own = pa.array(doc[at] + c.first)
-            cols = [ids.take(own), marks.take(own), pa.array(seq), pa.array(a[at] - c.doc_start[doc[at]]), pa.array((b - a)[at]), pa.array(lines[at]), pa.array(words[at]), pa.array(h[at].view(np.int64)), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            whole = np.flatnonzero(again & enough[run])
+            near, anchor = near[enough[run[near]]], anchor[enough[run[near]]]
+            # Each line beside an anchor, and the text from it to the anchor's other end.
+            many = lines[near]
+            line = np.repeat(head[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            near, anchor = np.repeat(near, many), np.repeat(anchor, many)
+            before = near < anchor
+            lo, hi = np.where(before, start[line], a[anchor]), np.where(before, b[anchor], end[line])
+            side = np.where(before, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+            raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True)]
+            raw += [(b"<" if f else b">") + c.raw[x:y].rstrip(b" \r\n") for x, y, f in zip(lo.tolist(), hi.tolist(), before.tolist(), strict=True)]
+            own = np.r_[doc[whole], doc[near]]
+            place = np.r_[a[whole], start[line]]
+            hashes = np.r_[h[whole], c.hashes(lo, bare_ends(c, lo, hi)) ^ side]
+            numbers = (np.r_[seq[whole], seq[near] + line - head[near]], place - c.doc_start[own], np.r_[b[whole], end[line]] - place, np.r_[lines[whole], np.ones(len(line), np.int64)], np.r_[words[whole], line_words[line]], hashes.view(np.int64))
+            own = pa.array(own + c.first)
+            yield pa.RecordBatch.from_arrays([ids.take(own), marks.take(own), *map(pa.array, numbers), pa.array(raw, pa.binary())], schema=schema)
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """line_id, line_mark (hash of id and text), seq, place, size (bytes), lines, words
+    """line_id, line_mark (hash of id and text), seq (first line), place, size (bytes), lines, words
     and is_first of each occurrence of a repeated chunk.
 
     A hash with over 1/HOT of all occurrences is hot: there are fewer than HOT
@@ -170,11 +216,11 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def in_long_runs(row: np.ndarray, seq: np.ndarray, lines: np.ndarray, words: np.ndarray, min_lines: int, min_words: int) -> np.ndarray:
-    """Of occurrences sorted by row and seq, those in a long enough run of
-    adjacent ones."""
+    """Of occurrences sorted by row and seq (their first line), those in a
+    long enough run of adjacent ones."""
     if not len(row):
         return np.zeros(0, bool)
-    run = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (seq[1:] != seq[:-1] + 1)]) - 1
+    run = np.cumsum(np.r_[True, (row[1:] != row[:-1]) | (seq[1:] != seq[:-1] + lines[:-1])]) - 1
     return ((np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words))[run]
 
 
@@ -183,7 +229,10 @@ def _remove(batches, min_lines: int, min_words: int, schema: pa.Schema):
         texts, spans = batch.column("line_text"), batch.column("spans")
         row, flat = pc.list_parent_indices(spans).to_numpy(), pc.list_flatten(spans)
         part = {k: pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in ("seq", "place", "size", "lines", "words", "is_first")}
-        order = np.lexsort((part["seq"], row))
+        order = np.lexsort((part["is_first"], part["seq"], row))
+        # A line between two anchors counts once, as repeated if it is for either.
+        once = np.r_[True, (np.diff(row[order]) != 0) | (np.diff(part["seq"][order]) != 0)][: len(order)]
+        order = order[once]
         row, part = row[order], {k: v[order] for k, v in part.items()}
         chosen = in_long_runs(row, part["seq"], part["lines"], part["words"], min_lines, min_words)
         again = np.bincount(row[chosen], part["size"][chosen], minlength=batch.num_rows).astype(np.int64)

@@ -107,6 +107,35 @@ def test_short_passages_of_two_lines_go(spark):
     assert sum(len(r["removed"]) > 0 for r in got) >= 40
 
 
+def test_passages_of_fifty_words_go_to_their_edges(spark):
+    rng = np.random.default_rng(77)
+    sentence = lambda: " ".join(rng.choice(WORDS, 11)).capitalize() + "."
+    rows, passages = [], []
+    for g in range(120):
+        passages.append(" ".join(sentence() for _ in range(5)))
+        for k in range(2):
+            own = [" ".join(sentence() for _ in range(6)) for _ in range(2)]
+            rows.append((2 * g + k, f"{own[0]} {passages[-1]} {own[1]}", "a"))
+    got = {r["doc_id"]: r for r in line_chunks.remove_repeats(table(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    assert all(got[2 * g]["line_text"] == texts[2 * g] for g in range(120))
+    left = [texts[2 * g + 1].replace(passages[g] + " ", "") for g in range(120)]
+    exact = sum(got[2 * g + 1]["line_text"] == left[g] for g in range(120))
+    assert exact >= 0.88 * 120
+    for g in range(120):  # nothing that occurs once goes
+        assert got[2 * g + 1]["line_text"] in (texts[2 * g + 1], left[g])
+
+
+def test_lines_beside_an_anchor_count_only_with_it(spark):
+    """A line that is frequent, but not beside the same passage, stays."""
+    passage = [prose(800, 70), prose(801, 70)]
+    stock = "This line is frequent."
+    rows = [(k, f"{prose(810 + k, 40)}.\n{stock}\n{passage[k % 2]}.\n{prose(830 + k, 40)}", "a") for k in range(2)]
+    rows += [(10 + k, f"{prose(850 + k, 40)}.\n{stock}\n{prose(870 + k, 40)}", "a") for k in range(6)]
+    for r in line_chunks.remove_repeats(table(spark, rows)).collect():
+        assert r["line_text"] == r["text"]
+
+
 def test_lines_cover_their_texts():
     from keyfold.llm.textkit import chunks
 
