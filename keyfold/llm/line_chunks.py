@@ -10,8 +10,9 @@ different bytes never count as one.
 
 Repeated chunks are anchors.  The lines beside a run of them (two chunks
 before it, where the boundaries of a passage may still depend on the line
-before the passage, and one behind) are compared too, line by line: a line is
-repeated if it and all text up to and with the anchor are, byte for byte.
+before the passage, and one behind) are compared too, line by line: those with
+one hash of all text from the line to the anchor's other end are grouped by the
+bytes of the line.
 
 Of each repeated chunk the first occurrence stays (smallest id, null ids last,
 then the smallest position).  A chunk counts in a text only as part of a run
@@ -155,19 +156,18 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
             enough = (np.bincount(run, lines) >= min_lines) & (np.bincount(run, words) >= min_words) if len(run) else np.zeros(0, bool)
             whole = np.flatnonzero(again & enough[run])
             near, anchor = near[enough[run[near]]], anchor[enough[run[near]]]
-            # Each line beside an anchor, and the text from it to the anchor's other end.
+            # Each line beside an anchor, and the text from it to the anchor's other end (for its hash).
             many = lines[near]
             line = np.repeat(head[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
             near, anchor = np.repeat(near, many), np.repeat(anchor, many)
             before = near < anchor
             lo, hi = np.where(before, start[line], a[anchor]), np.where(before, b[anchor], end[line])
             side = np.where(before, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-            raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True)]
-            raw += [(b"<" if f else b">") + c.raw[x:y].rstrip(b" \r\n") for x, y, f in zip(lo.tolist(), hi.tolist(), before.tolist(), strict=True)]
             own = np.r_[doc[whole], doc[near]]
-            place = np.r_[a[whole], start[line]]
+            place, stop = np.r_[a[whole], start[line]], np.r_[b[whole], end[line]]
+            raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(place.tolist(), stop.tolist(), strict=True)]
             hashes = np.r_[h[whole], c.hashes(lo, bare_ends(c, lo, hi)) ^ side]
-            numbers = (np.r_[seq[whole], seq[near] + line - head[near]], place - c.doc_start[own], np.r_[b[whole], end[line]] - place, np.r_[lines[whole], np.ones(len(line), np.int64)], np.r_[words[whole], line_words[line]], hashes.view(np.int64))
+            numbers = (np.r_[seq[whole], seq[near] + line - head[near]], place - c.doc_start[own], stop - place, np.r_[lines[whole], np.ones(len(line), np.int64)], np.r_[words[whole], line_words[line]], hashes.view(np.int64))
             own = pa.array(own + c.first)
             yield pa.RecordBatch.from_arrays([ids.take(own), marks.take(own), *map(pa.array, numbers), pa.array(raw, pa.binary())], schema=schema)
 
