@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, mapped, materialise
+from .shared import arrow_schema, dropped, mapped, materialise
 from .textkit import chunks, mix, text_array, views
 
 MIN_LINES = 2
@@ -72,13 +72,8 @@ def bare_ends(c, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cut_chunks(c) -> tuple[np.ndarray, ...]:
-    """Of each chunk: its text, start and end in the buffer, hash, lines, words."""
-    return cut(c)[:6]
-
-
-def cut(c) -> tuple[np.ndarray, ...]:
-    """The same, and each chunk's first line and its place among the lines of
-    its text; then start, end and words of each line."""
+    """Of each chunk: its text, start and end in the buffer, hash, lines, words,
+    first line, and that line's place in its text; of each line: start, end, words."""
     start, end, at = cut_lines(c)
     n = len(start)
     if not n:
@@ -116,23 +111,17 @@ def beside(doc: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(chunk), np.concatenate(anchor)
 
 
-def _hash_counts(batches, text: str, schema: pa.Schema):
-    for batch in batches:
-        for c in chunks(batch.column(text), lower=False):
-            h, n = np.unique(cut_chunks(c)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
-
-
-def _asks(batches, hot: np.ndarray, schema: pa.Schema):
-    """Each text's distinct chunk hashes but the hot ones, by its mark."""
+def _hash_counts(batches, schema: pa.Schema):
+    """Each text's distinct chunk hashes and how often it has them, by its mark."""
     for batch in batches:
         marks = batch.column("line_mark")
         for c in chunks(batch.column("line_text"), lower=False):
-            doc, _, _, h, _, _ = cut_chunks(c)
-            rare = ~np.isin(h, hot)
-            pairs = np.unique(np.stack([doc[rare].astype(np.uint64), h[rare]]), axis=1)
-            own = pa.array(pairs[0].astype(np.int64) + c.first)
-            yield pa.RecordBatch.from_arrays([marks.take(own), pa.array(pairs[1].view(np.int64))], schema=schema)
+            doc, _, _, h, *_ = cut_chunks(c)
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
+            often = np.diff(np.r_[first, len(h)])
+            yield pa.RecordBatch.from_arrays([marks.take(pa.array(doc[first] + c.first)), pa.array(h[first].view(np.int64)), pa.array(often)], schema=schema)
 
 
 def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schema: pa.Schema):
@@ -142,7 +131,7 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
         row, own_hash = pc.list_parent_indices(told).to_numpy(), pc.list_flatten(told).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
         for c in chunks(batch.column("line_text"), lower=False):
-            doc, a, b, h, lines, words, head, seq, start, end, line_words = cut(c)
+            doc, a, b, h, lines, words, head, seq, start, end, line_words = cut_chunks(c)
             edge = np.searchsorted(doc, np.arange(c.n + 1))
             again = np.isin(h, hot)
             for d in np.flatnonzero(np.diff(edges[c.first : c.first + c.n + 1])).tolist():
@@ -181,34 +170,33 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Marks that collide do no harm here: a mark only brings a text hashes that
     are repeated anyway.  Byte ranges go back to a text by its id and mark."""
     spark = docs.sparkSession
-    counted = "hash long, n long"
+    keyed = docs.select(F.col(doc_id).alias("line_id"), F.xxhash64(doc_id, text).alias("line_mark"), F.col(text).alias("line_text"))
+    counted = "line_mark long, hash long, n long"
     schema = arrow_schema(counted)
-    hashes = docs.select(text).transform(mapped, lambda it: _hash_counts(it, text, schema), counted)
-    hashes = materialise(hashes.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes")
+    asked = materialise(keyed.select("line_mark", "line_text").transform(mapped, lambda it: _hash_counts(it, schema), counted), "asked")
+    hashes = materialise(asked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes")
     total = hashes.agg(F.sum("n")).first()[0] or 0
-    hot = np.array([r["hash"] for r in hashes.where(F.col("n") > total / HOT).select("hash").collect()], np.int64).view(np.uint64)
-
-    keyed = docs.select(F.col(doc_id).alias("line_id"), F.xxhash64(doc_id, text).alias("line_mark"), F.col(text).alias("line_text"))
-    pair = "line_mark long, hash long"
-    ask_schema = arrow_schema(pair)
-    asked = keyed.select("line_mark", "line_text").transform(mapped, lambda it: _asks(it, hot, ask_schema), pair)
-    told = asked.join(hashes.where(F.col("n") <= total / HOT).select("hash"), "hash", "left_semi")
+    often = hashes.where(F.col("n") > total / HOT).select("hash").collect()
+    hot = np.array([r["hash"] for r in often], np.int64).view(np.uint64)
+    told = asked.select("line_mark", "hash").join(F.broadcast(spark.createDataFrame(often, "hash long")), "hash", "left_anti")
+    told = told.join(hashes.where(F.col("n") <= total / HOT).select("hash"), "hash", "left_semi")
     told = told.groupBy("line_mark").agg(F.collect_set("hash").alias("hashes"))
 
     out = f"line_id {dict(docs.dtypes)[doc_id]}, line_mark long, seq long, place long, size long, lines long, words long, hash long, bytes binary"
     wide = arrow_schema(out)
     with_hashes = keyed.join(told, "line_mark", "left").select("line_id", "line_mark", "line_text", "hashes")
-    occ = materialise(with_hashes.transform(mapped, lambda it: _occurrences(it, hot, min_lines, min_words, wide), out), "occurrences")
+    occ = with_hashes.transform(mapped, lambda it: _occurrences(it, hot, min_lines, min_words, wide), out)
+    occ = materialise(occ.withColumn("second", F.xxhash64("bytes", F.lit(5))), "occurrences")
+    dropped(asked, hashes)
 
     # Byte comparison: groups are formed by the bytes, partial groups first.
-    second = F.xxhash64("bytes", F.lit(5)).alias("second")
     order = F.struct(F.col("line_id").isNull().alias("no_id"), "line_id", "line_mark", "place")
-    same = occ.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    same = occ.groupBy("hash", "second", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("first"))
     # Should both hashes ever agree on different bytes, those chunks stay.
-    same = same.groupBy("hash", second).agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.min("first").alias("first"))
+    same = same.groupBy("hash", "second").agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.min("first").alias("first"))
     same = materialise(same.where("n > 1 and kinds = 1"), "same")
     size = same.agg(F.sum("n")).first()[0] or 0
-    light = occ.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", "hash", second)
+    light = occ.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", "hash", "second")
     often = spark.createDataFrame(same.where(F.col("n") > size / HOT).select("hash", "second", "first").collect(), same.select("hash", "second", "first").schema)
     busy = light.join(F.broadcast(often), ["hash", "second"])
     rare = light.join(F.broadcast(often.select("hash", "second")), ["hash", "second"], "left_anti").join(same.where(F.col("n") <= size / HOT).select("hash", "second", "first"), ["hash", "second"])
