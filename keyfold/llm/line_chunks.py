@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, dropped, mapped, materialise
+from .shared import arrow_schema, dropped, mapped, materialise, release_shuffles
 from .textkit import chunks, mix, text_array, views
 
 MIN_LINES = 2
@@ -188,6 +188,8 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     occ = with_hashes.transform(mapped, lambda it: _occurrences(it, hot, min_lines, min_words, wide), out)
     occ = materialise(occ.withColumn("second", F.xxhash64("bytes", F.lit(5))), "occurrences")
     dropped(asked, hashes)
+    del asked, hashes, told, with_hashes
+    release_shuffles(spark)
 
     # Byte comparison: groups are formed by the bytes, partial groups first.
     order = F.struct(F.col("line_id").isNull().alias("no_id"), "line_id", "line_mark", "place")
@@ -195,6 +197,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Should both hashes ever agree on different bytes, those chunks stay.
     same = same.groupBy("hash", "second").agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.min("first").alias("first"))
     same = materialise(same.where("n > 1 and kinds = 1"), "same")
+    release_shuffles(spark)
     size = same.agg(F.sum("n")).first()[0] or 0
     light = occ.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", "hash", "second")
     often = spark.createDataFrame(same.where(F.col("n") > size / HOT).select("hash", "second", "first").collect(), same.select("hash", "second", "first").schema)

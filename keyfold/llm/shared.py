@@ -4,12 +4,13 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
 unset (tests, a laptop) a folder below ``/tmp/checkpoints`` takes its place.
 Intermediate tables are written there rather than cached, so a lost executor
 costs a reread and never a recomputation of the lineage.  `dropped` deletes
-those that no later step reads.
+those that no later step reads, `release_shuffles` what led to them.
 """
 
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,15 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any
+    more.  Its cleaner waits for the driver's garbage collector, which a
+    driver with little to do may not run for half an hour.  Only after the
+    result has been materialised: what still is referred to stays."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     """Arrow form of a Spark schema, for functions given to mapInArrow."""
     if isinstance(schema, str):
