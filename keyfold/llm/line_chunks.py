@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, dropped, mapped, materialise, release_shuffles
+from .shared import arrow_schema, dropped, mapped, materialise
 from .textkit import chunks, mix, text_array, views
 
 MIN_LINES = 2
@@ -174,7 +174,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     counted = "line_mark long, hash long, n long"
     schema = arrow_schema(counted)
     asked = materialise(keyed.select("line_mark", "line_text").transform(mapped, lambda it: _hash_counts(it, schema), counted), "asked")
-    hashes = materialise(asked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes")
+    hashes = materialise(asked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "hashes", lean=True)
     total = hashes.agg(F.sum("n")).first()[0] or 0
     often = hashes.where(F.col("n") > total / HOT).select("hash").collect()
     hot = np.array([r["hash"] for r in often], np.int64).view(np.uint64)
@@ -186,18 +186,15 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wide = arrow_schema(out)
     with_hashes = keyed.join(told, "line_mark", "left").select("line_id", "line_mark", "line_text", "hashes")
     occ = with_hashes.transform(mapped, lambda it: _occurrences(it, hot, min_lines, min_words, wide), out)
-    occ = materialise(occ.withColumn("second", F.xxhash64("bytes", F.lit(5))), "occurrences")
+    occ = materialise(occ.withColumn("second", F.xxhash64("bytes", F.lit(5))), "occurrences", lean=True)
     dropped(asked, hashes)
-    del asked, hashes, told, with_hashes
-    release_shuffles(spark)
 
     # Byte comparison: groups are formed by the bytes, partial groups first.
     order = F.struct(F.col("line_id").isNull().alias("no_id"), "line_id", "line_mark", "place")
     same = occ.groupBy("hash", "second", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("first"))
     # Should both hashes ever agree on different bytes, those chunks stay.
     same = same.groupBy("hash", "second").agg(F.count("*").alias("kinds"), F.max("n").alias("n"), F.min("first").alias("first"))
-    same = materialise(same.where("n > 1 and kinds = 1"), "same")
-    release_shuffles(spark)
+    same = materialise(same.where("n > 1 and kinds = 1"), "same", lean=True)
     size = same.agg(F.sum("n")).first()[0] or 0
     light = occ.select("line_id", "line_mark", "seq", "place", "size", "lines", "words", "hash", "second")
     often = spark.createDataFrame(same.where(F.col("n") > size / HOT).select("hash", "second", "first").collect(), same.select("hash", "second", "first").schema)

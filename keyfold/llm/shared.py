@@ -4,13 +4,12 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
 unset (tests, a laptop) a folder below ``/tmp/checkpoints`` takes its place.
 Intermediate tables are written there rather than cached, so a lost executor
 costs a reread and never a recomputation of the lineage.  `dropped` deletes
-those that no later step reads, `release_shuffles` what led to them.
+those that no later step reads.
 """
 
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of an Arrow batch between Spark and Python, on both sides of the pipe.
 BATCH_BYTES = "4m"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 DEFAULT_DIR = "file:///tmp/checkpoints/keyfold"
 
 
@@ -34,11 +34,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/keyfold-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back."""
+def materialise(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back.  If lean,
+    the shuffle files of the write go when it ends, not when the driver's
+    garbage collector happens to find that nothing refers to them."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, str(lean or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,15 +60,6 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any
-    more.  Its cleaner waits for the driver's garbage collector, which a
-    driver with little to do may not run for half an hour.  Only after the
-    result has been materialised: what still is referred to stays."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     """Arrow form of a Spark schema, for functions given to mapInArrow."""
     if isinstance(schema, str):
