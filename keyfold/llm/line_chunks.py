@@ -71,7 +71,7 @@ def bare_ends(c, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bare
 
 
-def cut_chunks(c) -> tuple[np.ndarray, ...]:
+def cut_chunks(c, sums: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each chunk: its text, start and end in the buffer, hash, lines, words,
     first line, and that line's place in its text; of each line: start, end, words."""
     start, end, at = cut_lines(c)
@@ -79,7 +79,7 @@ def cut_chunks(c) -> tuple[np.ndarray, ...]:
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, e, e.astype(np.uint64), e, e, e, e, e, e, e
-    line = c.hashes(start, end)
+    line = c.hashes(start, end, sums)
     before = np.r_[np.uint64(0), line[:-1]]
     first = np.zeros(n, bool)
     first[at[:-1][np.diff(at) > 0]] = True
@@ -93,7 +93,7 @@ def cut_chunks(c) -> tuple[np.ndarray, ...]:
     a, b = start[head], end[tail]
     words = np.add.reduceat(own_words, head)
     doc = np.searchsorted(at, head, side="right") - 1
-    return doc, a, b, c.hashes(a, bare_ends(c, a, b)), tail - head + 1, words, head, head - at[doc], start, end, own_words
+    return doc, a, b, c.hashes(a, bare_ends(c, a, b), sums), tail - head + 1, words, head, head - at[doc], start, end, own_words
 
 
 def beside(doc: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def _hash_counts(batches, schema: pa.Schema):
     for batch in batches:
         marks = batch.column("line_mark")
         for c in chunks(batch.column("line_text"), lower=False):
-            doc, _, _, h, *_ = cut_chunks(c)
+            doc, _, _, h, *_ = cut_chunks(c, c.sums())
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
@@ -131,12 +131,12 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
         row, own_hash = pc.list_parent_indices(told).to_numpy(), pc.list_flatten(told).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
         for c in chunks(batch.column("line_text"), lower=False):
-            doc, a, b, h, lines, words, head, seq, start, end, line_words = cut_chunks(c)
-            edge = np.searchsorted(doc, np.arange(c.n + 1))
+            sums = c.sums()
+            doc, a, b, h, lines, words, head, seq, start, end, line_words = cut_chunks(c, sums)
             again = np.isin(h, hot)
-            for d in np.flatnonzero(np.diff(edges[c.first : c.first + c.n + 1])).tolist():
-                own = slice(edge[d], edge[d + 1])
-                again[own] |= np.isin(h[own], own_hash[edges[c.first + d] : edges[c.first + d + 1]])
+            # Told hashes hold for their own text only: text and hash are looked up as one number.
+            part = slice(edges[c.first], edges[c.first + c.n])
+            again |= np.isin(mix(h ^ mix(doc.astype(np.uint64))), mix(own_hash[part] ^ mix((row[part] - c.first).astype(np.uint64))))
             near, anchor = beside(doc, again)
             within = again.copy()
             within[near] = True
@@ -155,7 +155,7 @@ def _occurrences(batches, hot: np.ndarray, min_lines: int, min_words: int, schem
             own = np.r_[doc[whole], doc[near]]
             place, stop = np.r_[a[whole], start[line]], np.r_[b[whole], end[line]]
             raw = [c.raw[x:y].rstrip(b" \r\n") for x, y in zip(place.tolist(), stop.tolist(), strict=True)]
-            hashes = np.r_[h[whole], c.hashes(lo, bare_ends(c, lo, hi)) ^ side]
+            hashes = np.r_[h[whole], c.hashes(lo, bare_ends(c, lo, hi), sums) ^ side]
             numbers = (np.r_[seq[whole], seq[near] + line - head[near]], place - c.doc_start[own], stop - place, np.r_[lines[whole], np.ones(len(line), np.int64)], np.r_[words[whole], line_words[line]], hashes.view(np.int64))
             own = pa.array(own + c.first)
             yield pa.RecordBatch.from_arrays([ids.take(own), marks.take(own), *map(pa.array, numbers), pa.array(raw, pa.binary())], schema=schema)

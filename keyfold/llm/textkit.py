@@ -73,11 +73,16 @@ class Chunk:
         starts, ends = edges[0::2], edges[1::2]
         return starts, ends, np.searchsorted(starts, self.doc_start)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
-        up, down = _power_tables(len(self.buf) + 1)
+    def sums(self) -> np.ndarray:
+        """What hashes() needs of the buffer, for callers that hash ranges more than once."""
         sums = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=sums[1:])
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _power_tables(len(self.buf) + 1)[0][: len(self.buf)], out=sums[1:])
+        return sums
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each byte range."""
+        down = _power_tables(len(self.buf) + 1)[1]
+        sums = self.sums() if sums is None else sums
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
