@@ -3,14 +3,24 @@
 A page becomes a tree by the usual rules for implied and missing end tags.
 What is never article text goes first: scripts, styles, forms, menus, headers,
 footers, asides, hidden parts, and elements whose class, id or role says
-advert, notice, sidebar or comments.  Each remaining node gets
+advert, notice, sidebar or comments.  A form, a class or an id does not make
+noise of the page's own wrapper: of an element that holds `main`, nor, on a
+page that would be left without text, of one that holds most of it and
+paragraphs, an article or a main heading.  Names of states (`has-sidebar`,
+`no-sidebar`, `comments-open`) say nothing about the element itself.
+
+Each remaining node gets
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 of its characters C, tags T, linked characters LC and linked tags LT (b: of
 the body), and the sum of its children's densities.  The node of the largest
 sum is content; so are the largest-sum nodes of other branches whose density
-reaches the lowest on the path from the body to it.
+reaches the lowest on the path from the body to it.  Where `article` or `main`
+holds that node, all of it is content.  In content, a list of links goes as a
+menu, unless a heading or a paragraph that ends in a colon introduces it.
+
+A page is read in time linear in its length (but for logarithms).
 
 Defined results: null, empty and textless pages give an empty text; pages
 without tags give their text; page ids and urls are passed on, repeated or
@@ -21,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -50,7 +61,7 @@ IMPLIED = {
 }
 P_SCOPE = frozenset("table td th caption button object html body".split())
 NOISE_TAG = frozenset(
-    "nav header footer aside form script style noscript iframe template title head textarea button select datalist menu dialog svg"
+    "nav header footer aside script style noscript iframe template title head textarea button select datalist menu dialog svg"
     " canvas object embed audio video map input label fieldset".split()
 )
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
@@ -61,30 +72,51 @@ NOISE_WORD = frozenset(
     " newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended"
     " recommendations widget widgets pagination pager banner skip hidden".split()
 )
+#: Before or after a word above, they name a state of the page.
+STATE_BEFORE = frozenset("has no with without".split())
+STATE_AFTER = frozenset("open opened closed enabled disabled collapsed expanded".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset(["p", "article", "h1"])
+#: Words of headings over lists of links that are menus, beside those above.
+MENU_WORD = frozenset("more popular latest also contents toc tags categories archive archives trending".split())
 NOISE_NAME = frozenset("header site-header page-header main-header top-header global-header".split())
 
 #: A quote that is never closed ends with its tag.  Linear: only the last quote of each kind on a page can be such.
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+'|["'][^>]*+)*+)>?|[!?/][^>]*>?)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SOFT, HARD = 1, 2
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
-    if tag in NOISE_TAG:
+def _names_noise(name: str) -> bool:
+    """Whether a class or an id says that its element is no article text."""
+    if name.lower() in NOISE_NAME:
         return True
-    if not attrs or tag in ("html", "body"):
+    words = [w.lower() for w in _WORD.findall(name)]
+    if NOISE_WORD.isdisjoint(words):
         return False
+    first = next(k for k, w in enumerate(words) if w in NOISE_WORD)
+    return words[-1] not in STATE_AFTER and STATE_BEFORE.isdisjoint(words[:first])
+
+
+def _mark(tag: str, attrs: str) -> int:
+    """0 for what may be article text, SOFT for forms and names, HARD for the rest."""
+    if tag in NOISE_TAG:
+        return HARD
+    mark = SOFT if tag == "form" else 0
+    if not attrs or tag in ("html", "body"):
+        return mark
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return HARD
         if name == "role" and value.lower() in NOISE_ROLE:
-            return True
-        if name in ("class", "id") and any(v.lower() in NOISE_NAME or not NOISE_WORD.isdisjoint(w.lower() for w in _WORD.findall(v)) for v in value.split()):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id") and any(map(_names_noise, value.split())):
+            mark = SOFT
+    return mark
 
 
 class Tree:
@@ -92,9 +124,11 @@ class Tree:
     nodes as (order, text) in `text`."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.noise = ["html"], [-1], [False]
+        self.tag, self.parent, self.mark, self.main = ["html"], [-1], [0], [False]
         self.items: list[tuple[int, str | None, int]] = []  # (node, text or None, child) in page order
         self.body = 0
+        self.open: dict[str, list[int]] = {}  # depths of the open elements of each tag
+        self.blocks: list[int] = []  # depths of the open blocks
         stack, pos, n = [0], 0, len(html)
         while pos < n:
             m = _TAG.search(html, pos)
@@ -119,7 +153,8 @@ class Tree:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.noise.append(self.noise[stack[-1]] or _is_noise(tag, attrs))
+            self.mark.append(_mark(tag, attrs))
+            self.main.append(tag == "main" or "role" in attrs and any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() == "main" for m in _ATTR.finditer(attrs)))
             self.items.append((stack[-1], None, node))
             if tag == "body":
                 self.body = node
@@ -130,35 +165,79 @@ class Tree:
                 self.items.append((node, html[pos : end.start() if end else n], -1))
                 pos = end.end() if end else n
                 continue
+            self.open.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                self.blocks.append(len(stack))
             stack.append(node)
+        self.noise = self._noise()
+
+    def _noise(self) -> list[bool]:
+        """Which nodes are no article text, wrappers told from noise."""
+        n, parent = len(self.tag), self.parent
+        own = [0] * n
+        for node, text, _ in self.items:
+            if text is not None:
+                own[node] += len("".join(text.split()))
+        self.own = own
+        holds, prose = self.main[:], [t in PROSE for t in self.tag]
+        for k in range(n - 1, 0, -1):
+            holds[parent[k]] |= holds[k]
+            prose[parent[k]] |= prose[k]
+        mark = [0 if m == SOFT and h else m for m, h in zip(self.mark, holds, strict=True)]
+        # Characters below each node outside hard marks, and outside all marks.
+        some, clean = own[:], own[:]
+        for k in range(n - 1, 0, -1):
+            if mark[k] != HARD:
+                some[parent[k]] += some[k]
+            if not mark[k]:
+                clean[parent[k]] += clean[k]
+        noise, look = [False] * n, [False] * n
+        look[0] = not clean[0]
+        for k in range(1, n):
+            p = parent[k]
+            noise[k], look[k] = noise[p], look[p]
+            if mark[k] and not noise[k]:
+                noise[k] = not (look[k] and mark[k] == SOFT and prose[k] and some[k] * 2 > some[0])
+                look[k] = look[k] and not noise[k] and not clean[k]
+        return noise
+
+    def _cut(self, stack: list[int], depth: int) -> None:
+        """End all open elements from a depth on."""
+        for k in range(len(stack) - 1, depth - 1, -1):
+            tag = self.tag[stack[k]]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+        del stack[depth:]
+
+    def _depth(self, tags) -> int:
+        """The greatest depth at which one of the tags is open, or 0."""
+        return max([self.open[t][-1] for t in self.open.keys() & tags if self.open[t]], default=0)
 
     def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                return
-            if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
-                return  # an inline end tag doesn't reach out of its block
+        depths = self.open.get(tag)
+        at = depths[-1] if depths else 0
+        # An inline end tag doesn't reach out of its block.
+        if at and (tag in BLOCK or not self.blocks or at > self.blocks[-1]):
+            self._cut(stack, at)
 
     def _imply(self, stack: list[int], tag: str) -> None:
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in P_SCOPE:
-                    break
+        if tag in ENDS_P and self.open.get("p"):
+            at = self.open["p"][-1]
+            if at > self._depth(P_SCOPE):
+                self._cut(stack, at)
         if tag == "body" and len(stack) > 1:
-            del stack[1:]
+            self._cut(stack, 1)
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in scope:
-                    break
-                if self.tag[stack[k]] in ends:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
+            floor = self._depth(scope)
+            if tag == "tr":  # a row ends the cells and the row above it, down to its table
+                lists = [self.open.get(t, ()) for t in ends]
+                at = min((x[bisect_right(x, floor)] for x in lists if x and x[-1] > floor), default=0)
+            else:
+                at = self._depth(ends)
+            if at > floor:
+                self._cut(stack, at)
 
 
 def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
@@ -183,11 +262,10 @@ def main_text(html: str | None) -> str:
             kids[tree.parent[k]].append(k)
             tags[k] += 1
             ltags[k] += linked[k]
-    for node, text, _ in tree.items:
-        if text is not None and not tree.noise[node]:
-            length = len("".join(text.split()))
-            chars[node] += length
-            lchars[node] += length if linked[node] else 0
+    for k in range(n):
+        if not tree.noise[k]:
+            chars[k] = tree.own[k]
+            lchars[k] = tree.own[k] if linked[k] else 0
     own = chars[:]
     for k in range(n - 1, 0, -1):
         if not tree.noise[k]:
@@ -237,13 +315,45 @@ def main_text(html: str | None) -> str:
     return _blocks(tree, chosen, lchars, chars)
 
 
+def _introduced(tree: Tree) -> set[int]:
+    """Lists that follow a heading, or a paragraph that ends in a colon."""
+    n = len(tree.tag)
+    before: list[int] = [-1] * n
+    last: dict[int, int] = {}
+    asked: set[int] = set()
+    for k in range(1, n):
+        p = tree.parent[k]
+        if tree.tag[k] in ("ul", "ol") and (tree.tag[last.get(p, 0)] in HEADING or tree.tag[last.get(p, 0)] == "p"):
+            before[k] = last[p]
+            asked.add(before[k])
+        last[p] = k
+    if not asked:
+        return set()
+    at, said = list(range(n)), {k: [] for k in asked}
+    for k in range(1, n):
+        at[k] = k if k in asked else at[tree.parent[k]]
+    for node, text, _ in tree.items:
+        if text is not None and at[node] in said:
+            said[at[node]].append(text)
+    out = set()
+    for k in range(1, n):
+        if before[k] > 0:
+            words = unescape("".join(said[before[k]])).lower().split()
+            bare = {w.strip(".,:;!?") for w in words}
+            colon = bool(words) and words[-1].endswith((":", "："))
+            if words and bare.isdisjoint(NOISE_WORD | MENU_WORD) and (colon or tree.tag[before[k]] in HEADING):
+                out.add(k)
+    return out
+
+
 def _blocks(tree: Tree, chosen: set[int], lchars: list[int], chars: list[int]) -> str:
     n = len(tree.tag)
     keep, block = [False] * n, [0] * n
+    told = _introduced(tree)
     for k in range(n):
         p = tree.parent[k]
         inside = k in chosen or p >= 0 and keep[p]
-        links = tree.tag[k] in ("ul", "ol") and lchars[k] > 0.8 * chars[k]
+        links = tree.tag[k] in ("ul", "ol") and lchars[k] > 0.8 * chars[k] and k not in told
         keep[k] = inside and not tree.noise[k] and not links
         block[k] = k if k == 0 or tree.tag[k] in BLOCK else block[p]
     out: list[str] = []

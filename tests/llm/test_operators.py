@@ -347,6 +347,51 @@ def test_html_attributes_of_any_length(spark):
     assert [r["text"] for r in got] == [want, want]
 
 
+PARA = "<p>" + "Words of the article go here, and some more of them. " * 6 + "</p>"
+
+
+def test_html_wrappers_are_no_noise():
+    """Classes that name states, and forms or names around the whole page."""
+    text, nav = html_text.main_text(PARA), "<nav><a href=x>Home</a></nav>"
+    for page in (
+        f'{nav}<div class="layout has-sidebar">{PARA}</div>',
+        f'{nav}<div class="no-sidebar">{PARA}</div>',
+        f'{nav}<div class="post comments-open">{PARA}<div class="comments"><p>Nice one</p></div></div>',
+        f'<form action=x><input name=v>{nav}<div>{PARA}</div><div class="comments">{PARA * 3}</div><div class=footer>foot</div></form>',
+        f'<div class="sidebar-layout"><main>{PARA}</main><div class="sidebar">side</div></div>',
+        f"<div>{PARA}</div><form><p>Log in here</p><input></form>",
+        f'<div class="ad-slot">{PARA}</div><div>{PARA}</div><div id="cookieNotice">{PARA}</div>',
+    ):
+        assert html_text.main_text(f"<body>{page}</body>") == text, page
+    assert html_text.main_text('<div class="cookie"><span>we use cookies</span></div>') == ""
+
+
+def test_html_lists_of_links():
+    refs = "<ol><li><a href=1>One</a><li><a href=2>Two</a></ol>"
+    page = f"<article>{PARA}{refs}<h2>References</h2>{refs}<h2>Related posts</h2>{refs}<p>See these:</p>{refs}</article>"
+    assert html_text.main_text(page).split("\n\n")[1:] == ["References", "One", "Two", "Related posts", "See these:", "One", "Two"]
+
+
+def test_html_deep_pages_end_soon():
+    """Deep nesting and end tags without a start: time linear in the page."""
+    import time
+
+    start = time.process_time()
+    for page in ("<div>" * 40000 + PARA, "<div>" * 20000 + "<li>a</li>" * 20000, "<div>" * 20000 + "</section>" * 20000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<div class=sidebar>" * 20000 + PARA):
+        assert html_text.main_text(page)[:5] in ("Words", "a\n\na", "")
+    assert time.process_time() - start < 30
+
+
+def test_html_odd_pages(spark):
+    """Null, empty, textless and repeated pages, and columns with the names of results."""
+    schema = "page_id long, url string, html string, text string, n_chars long"
+    rows = [(1, "u", None, "x", 7), (1, "u", "", "x", 7), (None, None, "no tags &amp; entities", "x", 7), (3, "u", "<p></p>", "x", 7), (4, "u", PARA, "x", 7), (4, "u", PARA, "x", 7)]
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(rows, schema)).collect())
+    text = html_text.main_text(PARA)
+    assert got == [(0, "no tags & entities", 18), (1, "", 0), (1, "", 0), (3, "", 0), (4, text, len(text)), (4, text, len(text))]
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_unclosed_quotes():
     article = " ".join(prose(41, 120).split())
     head = f"<body><div><p>{article}</p>"
