@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity
+from . import decontaminate, html_text, language_model, licences, line_chunks, media, mixing, quality, simhash, token_shards, toxicity, turns, whitening
 from .shared import table
 
 
@@ -77,6 +77,23 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least repair cost, audit and hash of every conversation."""
+    got = turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+    hashes = turns.digests(got.turns).withColumnRenamed("conv_id", "of")
+    return got.report.join(hashes, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened components of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
+    return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality.held_out(7, 2), quality.held_out(7, 3))
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_line_chunks,
@@ -88,6 +105,9 @@ QUERIES = (
     op8_token_shards,
     op9_decontamination,
     op10_media_columns,
+    op11_conversation_repair,
+    op12_embedding_whitening,
+    op13_language_model,
 )
 
 
