@@ -41,7 +41,9 @@ from .shared import arrow_schema, dropped, mapped, materialise, trim
 from .textkit import _P, chunks, mix
 
 ORDER = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+#: Tokens whose estimates are held at once, and distinct estimates of a row.
+WINDOW, SLICE = 1 << 16, 1 << 15
 #: Roles of a block: counted; deleted from the counts while weights are learnt; not learnt from.
 COUNTED, DELETED, OUTSIDE = 0, 1, 2
 _BEGIN, _END = (mix(np.array([x], np.uint64))[0] for x in (0xB0, 0xE0))
@@ -116,6 +118,16 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def _short(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(x.max(initial=0))
+    return bytes([kind.itemsize]) + _planes(x.astype(kind))
+
+
+def _long(data: bytes) -> np.ndarray:
+    return _numbers(memoryview(data)[1:], np.dtype(f"u{data[0]}"))
+
+
 def _ask(order: int, most: int, parts: int):
     """Of a block's documents: for each part its distinct n-grams and their counts."""
     schema = arrow_schema(_ASKED)
@@ -162,7 +174,7 @@ def _tell():
         for k, (block, r, p) in enumerate(zip(*rows, strict=True)):
             where = at[lo : lo + len(hashes[k])]
             lo += len(where)
-            out.append({"block": block, "part": p, "role": r, "total": _planes(total[where]), "kept": _planes(kept[where]) if r == DELETED else None})
+            out.append({"block": block, "part": p, "role": r, "total": _short(total[where]), "kept": _short(kept[where]) if r == DELETED else None})
             if not k:
                 out[-1] |= {"distinct": int(words.sum()), "number": int(total[words].sum()), "kept_number": int(kept[words].sum())}
         trim()
@@ -204,22 +216,29 @@ def _log2(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.frexp(x)[1], 0)
 
 
-def estimates(texts: pa.Array, replies: dict[int, list[bytes]], order: int, tokens: int, vocabulary: int) -> Estimates:
-    """replies: for each order the sums of the block's distinct n-grams, part by part."""
+def estimates(texts: pa.Array, replies: dict[int, list[bytes]], order: int, tokens: int, vocabulary: int) -> Iterator[Estimates]:
+    """Some texts at a time.  replies: for each order the sums of the block's
+    distinct n-grams, part by part."""
     seq, edge = padded(texts, order)
+    sums = {k: (np.unique(own_grams(seq, edge, k, order)), np.concatenate([_long(x) for x in replies[k]])) for k in replies}
+    lo, texts_ = 0, len(edge) - 1
+    while lo < texts_:
+        hi = max(int(np.searchsorted(edge, edge[lo] + WINDOW, side="right")) - 1, lo + 1)
+        yield _estimates(seq[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo], lo, sums, order, tokens, vocabulary)
+        lo = hi
+
+
+def _estimates(seq: np.ndarray, edge: np.ndarray, shift: int, sums: dict, order: int, tokens: int, vocabulary: int) -> Estimates:
     number = np.diff(edge) - (order - 1)  # the last begin mark and all tokens
     doc = np.repeat(np.arange(len(number)), number)
     inner = np.ones(len(doc), bool)  # all but the last begin mark
-    begin = np.concatenate([[0], np.cumsum(number)[:-1]]) if len(number) else np.zeros(0, np.int64)
-    inner[begin] = False
-    p = np.zeros((int(inner.sum()), order + 1))
-    context, above, bucket = None, None, np.zeros(len(p), np.int64)
-    first = None
+    inner[np.cumsum(number) - number] = False
+    before = np.flatnonzero(inner) - 1
+    p = np.zeros((len(before), order + 1))
+    bucket, first, above = np.zeros(len(p), np.int64), None, None
     for k in range(1, order + 1):
-        g = own_grams(seq, edge, k, order)
-        found = np.unique(g)
-        sums = np.concatenate([_numbers(x, np.uint64) for x in replies[k]])
-        c = sums[np.searchsorted(found, g)].astype(float)
+        found, count = sums[k]
+        c = count[np.searchsorted(found, own_grams(seq, edge, k, order))].astype(float)
         own = c[inner]
         if k == 1:
             first, context = own, np.full(len(own), float(tokens))
@@ -228,9 +247,9 @@ def estimates(texts: pa.Array, replies: dict[int, list[bytes]], order: int, toke
             if k >= order - 1:
                 bucket = bucket + _log2(context).astype(np.int64) * BUCKETS ** (k - max(2, order - 1))
         p[:, order - k] = np.divide(own, context, out=np.zeros_like(own), where=context > 0)
-        above = c[np.flatnonzero(inner) - 1]  # the same order, one token earlier
+        above = c[before]  # the same order, one token earlier
     p[:, order] = 1.0 / (vocabulary + 1)
-    return Estimates(doc[inner], first, bucket, p)
+    return Estimates(doc[inner] + shift, first, bucket, p)
 
 
 def _with_replies(rows: DataFrame, replies: list[DataFrame], column: str):
@@ -249,7 +268,16 @@ def _replies(told: pa.Table) -> dict[int, list[bytes]]:
     return out
 
 
-_SEEN = "block int, buckets binary, estimates binary, times binary"
+_SEEN = "buckets binary, estimates binary, times binary"
+
+
+def _merged(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (told apart by 64-bit hashes) and their times."""
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = mix(h * _P + np.ascontiguousarray(rows[:, k]).view(np.uint64))
+    _, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return rows[first], np.bincount(at, times)
 
 
 def _distinct(order: int, tokens: int, vocabulary: int):
@@ -259,12 +287,16 @@ def _distinct(order: int, tokens: int, vocabulary: int):
     def one(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        e = estimates(docs.column("text").combine_chunks(), _replies(told), order, tokens, vocabulary)
-        rows = np.concatenate([e.bucket[:, None].astype(float), e.p[:, :order]], axis=1)
-        same, times = np.unique(np.ascontiguousarray(rows).view([("", float)] * (order + 1)).ravel(), return_counts=True)
-        rows = same.view(float).reshape(-1, order + 1)
+        rows, times = [], []
+        for e in estimates(docs.column("text").combine_chunks(), _replies(told), order, tokens, vocabulary):
+            some, t = _merged(np.concatenate([e.bucket[:, None].astype(float), e.p[:, :order]], axis=1), np.ones(len(e.bucket)))
+            rows.append(some)
+            times.append(t)
+        rows, times = _merged(np.concatenate(rows), np.concatenate(times))
+        out = [{"buckets": rows[k : k + SLICE, 0].astype(np.int64).tobytes(), "estimates": np.ascontiguousarray(rows[k : k + SLICE, 1:]).tobytes(), "times": times[k : k + SLICE].astype(np.int64).tobytes()} for k in range(0, len(rows), SLICE)]
+        del rows, times
         trim()
-        return pa.Table.from_pylist([{"block": docs.column("block")[0].as_py(), "buckets": rows[:, 0].astype(np.int64).tobytes(), "estimates": np.ascontiguousarray(rows[:, 1:]).tobytes(), "times": times.astype(np.int64).tobytes()}], schema=schema)
+        return pa.Table.from_pylist(out, schema=schema)
 
     return one
 
@@ -289,7 +321,7 @@ def learn(rows: DataFrame, counts: Counts, order: int = ORDER, rounds: int = 12,
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total, likelihood = np.zeros((size, order + 2)), 0.0
             for batch in batches:
-                for b, e, t in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for b, e, t in zip(*(batch.column(k) for k in range(3)), strict=True):  # SLICE estimates each
                     bucket, times = np.frombuffer(b.as_py(), np.int64), np.frombuffer(t.as_py(), np.int64)
                     p = np.frombuffer(e.as_py(), float).reshape(-1, order)
                     share = held.value[bucket] * np.concatenate([p, np.full((len(p), 1), least)], axis=1)
@@ -327,13 +359,14 @@ def _score(order: int, tokens: int, vocabulary: int, held, kind: str):
     def one(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        e = estimates(docs.column("text").combine_chunks(), _replies(told), order, tokens, vocabulary)
-        n, logs = docs.num_rows, np.log10((e.p * held.value[e.bucket]).sum(axis=1))
-        base = np.log10((e.count + 1) / (tokens + vocabulary + 1))
-        got = [docs.column("doc").combine_chunks(), pa.array(np.bincount(e.text, minlength=n), pa.int64()), pa.array(np.bincount(e.text, e.count > 0, n).astype(np.int64)), pa.array(np.bincount(e.text, base, n)), pa.array(np.bincount(e.text, logs, n))]
-        del e
+        total = np.zeros((4, docs.num_rows))
+        for e in estimates(docs.column("text").combine_chunks(), _replies(told), order, tokens, vocabulary):
+            logs = np.log10((e.p * held.value[e.bucket]).sum(axis=1))
+            base = np.log10((e.count + 1) / (tokens + vocabulary + 1))
+            for k, x in enumerate((np.ones(len(base)), e.count > 0, base, logs)):
+                total[k] += np.bincount(e.text, x, docs.num_rows)
         trim()
-        return pa.Table.from_arrays(got, schema=schema)
+        return pa.Table.from_arrays([docs.column("doc").combine_chunks(), *(pa.array(x.astype(np.int64)) for x in total[:2]), *(pa.array(x) for x in total[2:])], schema=schema)
 
     return one
 
