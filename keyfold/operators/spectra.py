@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The highest degree; bounds what a task holds.
@@ -21,9 +21,10 @@ RADIUS = 6378136.46
 TIDE_HEIGHT, TIDE_LOVE = -0.31460, 0.30190
 
 
-def legendre(lmax: int, sin_lat: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def legendre(lmax: int, sin_lat: np.ndarray, only: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
     """l, m, P of the 4-pi-normalised associated Legendre functions at each
-    sine of latitude, order by order; memory doesn't grow with lmax.
+    sine of latitude, order by order; memory doesn't grow with lmax.  With
+    only, of that order alone.
 
     Within an order, by the usual three-term recursion in l; from order to
     order, by that of the sectoral functions.  A sectoral value below 1e-290 is
@@ -34,6 +35,10 @@ def legendre(lmax: int, sin_lat: np.ndarray) -> Iterator[tuple[int, int, np.ndar
         if m:
             sectoral = sectoral * cos_lat * math.sqrt((2 * m + 1) / (2 * m) * (2 if m == 1 else 1))
             sectoral = np.where(sectoral < 1e-290, 0.0, sectoral)
+        if only is not None and m < only:
+            continue
+        if only is not None and m > only:
+            return
         below, now = np.zeros_like(sin_lat), sectoral
         yield m, m, now
         for l in range(m + 1, lmax + 1):  # noqa: E741
@@ -43,34 +48,55 @@ def legendre(lmax: int, sin_lat: np.ndarray) -> Iterator[tuple[int, int, np.ndar
             yield l, m, now
 
 
-def _spectrum(coeffs: DataFrame, lmax: int) -> tuple[np.ndarray, np.ndarray]:
+def _spectrum(coeffs: DataFrame, lmax: int, sum_c: Column | None = None, sum_s: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Two triangles c[l, m], s[l, m]; coefficients that aren't there are 0."""
     if lmax > MAX_DEGREE:
         raise ValueError(f"degrees beyond {MAX_DEGREE}")
-    sums = coeffs.where((F.col("l") <= lmax) & (F.col("m") <= F.col("l")) & (F.col("m") >= 0)).groupBy("l", "m").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    sums = coeffs.where((F.col("l") <= lmax) & (F.col("m") <= F.col("l")) & (F.col("m") >= 0)).groupBy("l", "m").agg((F.sum("c") if sum_c is None else sum_c).alias("c"), (F.sum("s") if sum_s is None else sum_s).alias("s"))
     c, s = np.zeros((lmax + 1, lmax + 1)), np.zeros((lmax + 1, lmax + 1))
     for r in sums.collect():  # at most (lmax + 1)^2 / 2 rows
         c[r["l"], r["m"]], s[r["l"], r["m"]] = r["c"] or 0.0, r["s"] or 0.0
     return c, s
 
 
-def synthesise(points: DataFrame, coeffs: DataFrame, lmax: int, lon: str = "lon", lat: str = "lat", value: str = "value") -> DataFrame:
-    """points (degrees) with the field's value: one pass, no shuffle.  Null
-    positions have null values."""
-    c, s = _spectrum(coeffs, lmax)
+def synthesise(points: DataFrame, coeffs: DataFrame, lmax: int, lon: str = "lon", lat: str = "lat", value: str = "value", what: str = "value") -> DataFrame:
+    """points (degrees) with a column of the field: one pass, no shuffle.
+
+    what: `value`; `east`, `north`, its derivatives along the unit sphere;
+    `error`, `east_error`, `north_error`, what independent errors of the
+    coefficients (c and s then hold sigmas) make of them.  Null positions have
+    null values; so do derivatives at the poles, where they have no direction."""
+    kind, error = what.removesuffix("_error"), what.endswith("error")
+    if what not in ("value", "east", "north", "error", "east_error", "north_error"):
+        raise ValueError(f"no such result: {what}")
+    c, s = _spectrum(coeffs, lmax, F.sqrt(F.sum(F.col("c") ** 2)) if error else None, F.sqrt(F.sum(F.col("s") ** 2)) if error else None)
     held = points.sparkSession.sparkContext.broadcast((c, s))
-    out = points.withColumn(value, F.lit(0.0).cast("double")).schema
+    out = points.withColumn(value, F.lit(None).cast("double")).schema
 
     def run(batches):
         c, s = held.value
         for batch in batches:
             theta, phi = (np.radians(batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False)) for k in (lat, lon))
-            total, last = np.zeros(batch.num_rows), -1
-            for l, m, p in legendre(lmax, np.sin(theta)):  # noqa: E741
+            t, u = np.sin(theta), np.cos(theta)
+            if kind in ("east", "north"):
+                u = np.where(u < 1e-12, np.nan, u)
+            total, last, before = np.zeros(batch.num_rows), -1, None
+            for l, m, p in legendre(lmax, t):  # noqa: E741
                 if m != last:
-                    cos, sin, last = np.cos(m * phi), np.sin(m * phi), m
-                if c[l, m] or s[l, m]:
-                    total += p * (c[l, m] * cos + s[l, m] * sin)
+                    cos, sin, last, before = np.cos(m * phi), np.sin(m * phi), m, np.zeros(batch.num_rows)
+                a, b, f = c[l, m], s[l, m], p
+                if kind == "east":  # d/dlon / cos(lat): cosine and sine change places
+                    a, b, f = m * b, -m * a, p / u
+                    if error:
+                        b = -b
+                elif kind == "north":
+                    f = (math.sqrt((l * l - m * m) * (2 * l + 1) / max(2 * l - 1, 1)) * before - l * t * p) / u
+                before = p
+                if a or b:
+                    total += ((f * a * cos) ** 2 + (f * b * sin) ** 2) if error else f * (a * cos + b * sin)
+            total = np.sqrt(total) if error else total
+            if kind in ("east", "north"):
+                total = np.where(np.isnan(u), np.nan, total)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, mask=np.isnan(total))], names=[*batch.schema.names, value])
 
     return points.mapInArrow(run, out)

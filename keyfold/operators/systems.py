@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_folder
+
 STATS = "sys string, nobs long, ltpl double, nfix long, nred long, stime double, etime double, ctime double"
 META = ["nobs", "nfix", "nred", "stime", "etime", "ctime"]
 
@@ -50,6 +52,18 @@ def from_moments(moments: DataFrame, names: list[str], times: DataFrame | None =
     return Systems(m.select("sys", F.inline(F.array(*cell))), m.select("sys", F.inline(F.array(*side))), stats.withColumn("ctime", (F.col("stime") + F.col("etime")) / 2))
 
 
+def settled(s: Systems) -> Systems:
+    """The systems written to the shared folder and read back, for what is used
+    more than once: plans of several steps would else repeat each other."""
+    spark = s.stats.sparkSession
+    out = []
+    for name, t in zip(s._fields, s, strict=True):
+        path = fresh_folder(spark, name)
+        t.write.parquet(path)
+        out.append(spark.read.schema(t.schema).parquet(path))
+    return Systems(*out)
+
+
 def full(cells: DataFrame) -> DataFrame:
     """Both triangles."""
     return cells.unionByName(cells.where("row_key < col_key").select("sys", F.col("col_key").alias("row_key"), F.col("row_key").alias("col_key"), "value"))
@@ -122,18 +136,41 @@ def apriori_disagrees(s: Systems, groups: DataFrame, tolerance: float = 1e-30) -
     return g.where(F.col("spread") > tolerance)
 
 
-def combine(s: Systems, groups: DataFrame) -> Systems:
+def common_apriori(s: Systems, groups: DataFrame, by_span: bool = False) -> DataFrame:
+    """(grp, row_key, x): the mean a-priori of a group's systems, weighted by
+    their time spans if by_span.  A span that isn't positive is then an error;
+    null values (of transformed parameters) don't count."""
+    rows = s.rhs.join(groups, "sys")
+    if not by_span:
+        return rows.groupBy("grp", "row_key").agg(F.coalesce(F.avg("x0"), F.lit(0.0)).alias("x"))
+    span = s.stats.select("sys", (F.col("etime") - F.col("stime")).alias("w"))
+    w = F.when(F.col("w") > 0, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no positive time span to weigh the a-priori of system "), "sys")).cast("double"))
+    rows = rows.join(span, "sys", "left").where(F.col("x0").isNotNull()).withColumn("w", w)
+    return rows.groupBy("grp", "row_key").agg((F.sum(F.col("x0") * F.col("w")) / F.sum("w")).alias("x"))
+
+
+def combine(s: Systems, groups: DataFrame, apriori: str = "mean") -> Systems:
     """Sum the systems of each group (sys, grp).  Matrices, right sides and
-    counts add up, times span all; the a-priori is the mean, weighted by each
-    system's time span, or plain where spans are missing."""
+    counts add up, times span all.
+
+    Right sides add up only about one a-priori, so every system first moves to
+    its group's: `mean`, the mean of the systems' values; `span`, the mean
+    weighted by time spans; `agree`, an error if they differ."""
+    if apriori not in ("mean", "span", "agree"):
+        raise ValueError(f"no such a-priori: {apriori}")
+    if apriori == "agree":
+        if not apriori_disagrees(s, groups).isEmpty():
+            raise ValueError("a-priori values of combined systems differ")
+    at = common_apriori(s, groups, apriori == "span")
+    if apriori != "agree":
+        own = s.rhs.join(groups, "sys").join(at, ["grp", "row_key"], "left")
+        s = shift_apriori(s, own.select("sys", "row_key", (F.col("x") - F.coalesce("x0", F.lit(0.0))).alias("x")))
     cells = s.cells.join(groups, "sys").groupBy(F.col("grp").alias("sys"), "row_key", "col_key").agg(F.sum("value").alias("value"))
-    span = s.stats.select("sys", (F.col("etime") - F.col("stime")).alias("w"))
-    w = F.coalesce(F.when(F.col("w") > 0, F.col("w")), F.lit(1.0))
-    rhs = s.rhs.join(groups, "sys").join(span, "sys", "left").groupBy(F.col("grp").alias("sys"), "row_key")
-    rhs = rhs.agg(F.sum("value").alias("value"), (F.sum(F.col("x0") * w) / F.sum(w)).alias("x0"))
+    rhs = s.rhs.join(groups, "sys").groupBy(F.col("grp").alias("sys"), "row_key").agg(F.sum("value").alias("value"))
+    rhs = rhs.join(at.select(F.col("grp").alias("sys"), "row_key", F.col("x").alias("x0")), ["sys", "row_key"], "left")
     stats = s.stats.join(groups, "sys").groupBy(F.col("grp").alias("sys"))
     stats = stats.agg(*(F.sum(c).alias(c) for c in ("nobs", "ltpl", "nfix", "nred")), F.min("stime").alias("stime"), F.max("etime").alias("etime"))
-    return Systems(cells, rhs, stats.withColumn("ctime", (F.col("stime") + F.col("etime")) / 2))
+    return Systems(cells, rhs.select("sys", "row_key", "value", "x0"), stats.withColumn("ctime", (F.col("stime") + F.col("etime")) / 2))
 
 
 def regularise(s: Systems, alpha: float = 1.0, matrix: DataFrame | None = None, pattern: str = "") -> Systems:
@@ -151,17 +188,20 @@ def regularise(s: Systems, alpha: float = 1.0, matrix: DataFrame | None = None,
 
 
 def transform(s: Systems, b: DataFrame) -> Systems:
-    """N* = B N B', d* = B d for b (row_key: new parameter, col_key: old one,
-    value).  Parameters that B does not know stay.  The a-priori is null where
-    B made the parameter."""
-    known = b.select(F.col("col_key").alias("row_key")).distinct()
-    rest = s.rhs.join(known, "row_key", "left_anti").select("row_key").distinct()
-    whole = b.select("row_key", "col_key", "value").unionByName(rest.select("row_key", F.col("row_key").alias("col_key"), F.lit(1.0).alias("value")))
-    left = whole.select(F.col("row_key").alias("i"), F.col("col_key").alias("row_key"), F.col("value").alias("u"))
-    right = whole.select(F.col("row_key").alias("j"), F.col("col_key").alias("col_key"), F.col("value").alias("v"))
-    half = full(s.cells).join(left, "row_key").groupBy("sys", "i", "col_key").agg(F.sum(F.col("u") * F.col("value")).alias("h"))
-    cells = half.join(right, "col_key").where("i <= j").groupBy("sys", F.col("i").alias("row_key"), F.col("j").alias("col_key")).agg(F.sum(F.col("h") * F.col("v")).alias("value"))
-    rhs = s.rhs.join(left, "row_key").groupBy("sys", F.col("i").alias("row_key"))
+    """N* = B N B', d* = B d for b ([sys,] row_key: new parameter, col_key: old
+    one, value); with sys, each system has its own.  Parameters that B does not
+    know stay; one that it knows by a null row_key drops out.  The a-priori is
+    null where B made the parameter."""
+    own = "sys" in b.columns
+    at = ["sys"] if own else []
+    known = b.select(*at, F.col("col_key").alias("row_key")).distinct()
+    rest = s.rhs.join(known, [*at, "row_key"], "left_anti").select(*at, "row_key").distinct()
+    whole = b.where("row_key is not null").select(*at, "row_key", "col_key", "value").unionByName(rest.select(*at, "row_key", F.col("row_key").alias("col_key"), F.lit(1.0).alias("value")))
+    left = whole.select(*at, F.col("row_key").alias("i"), F.col("col_key").alias("row_key"), F.col("value").alias("u"))
+    right = whole.select(*at, F.col("row_key").alias("j"), F.col("col_key").alias("col_key"), F.col("value").alias("v"))
+    half = full(s.cells).join(left, [*at, "row_key"]).groupBy("sys", "i", "col_key").agg(F.sum(F.col("u") * F.col("value")).alias("h"))
+    cells = half.join(right, [*at, "col_key"]).where("i <= j").groupBy("sys", F.col("i").alias("row_key"), F.col("j").alias("col_key")).agg(F.sum(F.col("h") * F.col("v")).alias("value"))
+    rhs = s.rhs.join(left, [*at, "row_key"]).groupBy("sys", F.col("i").alias("row_key"))
     kept = F.when(F.count("*") == 1, F.max(F.when(F.col("i") == F.col("row_key"), F.col("x0") / F.col("u"))))
     return Systems(cells, rhs.agg(F.sum(F.col("u") * F.col("value")).alias("value"), kept.alias("x0")), s.stats)
 
@@ -190,13 +230,20 @@ class Solution(NamedTuple):
 _DENSE = "sys string, keys array<string>, vec array<double>, x0 array<double>, mat array<double>, ltpl double, nobs long, nfix long, nred long, stime double, etime double, ctime double"
 
 
-def _dense(s: Systems, work: Callable) -> DataFrame:
-    """work(keys, N, d, x0) -> (keys, matrix, vector, x0, what ltpl loses), or
-    LinAlgError, once for each system."""
-    r = s.rhs.groupBy("sys").agg(F.sort_array(F.collect_list(F.struct("row_key", "value", "x0"))).alias("r"))
+#: Unknowns of a system that one task solves.  Larger ones: tiles.factor.
+MAX_UNKNOWNS = 6000
+
+
+def _dense(s: Systems, work: Callable, mark: Column | None = None) -> DataFrame:
+    """work(keys, N, d, x0, marks) -> (keys, matrix, vector, x0, what ltpl
+    loses), or LinAlgError, once for each system; marks: of each key, the
+    value of the condition `mark`."""
+    rows = s.rhs.select("sys", "row_key", "value", "x0", (F.lit(False) if mark is None else mark).alias("mark"))
+    few = F.when(F.count("*") <= MAX_UNKNOWNS, F.lit(True)).otherwise(F.raise_error(F.lit(f"over {MAX_UNKNOWNS} unknowns in one system")).cast("boolean"))
+    r = rows.groupBy("sys").agg(few.alias("few"), F.sort_array(F.collect_list(F.struct("row_key", "value", "x0", "mark"))).alias("r")).where("few")
     c = s.cells.groupBy("sys").agg(F.collect_list(F.struct("row_key", "col_key", "value")).alias("c"))
     packed = s.stats.join(r, "sys").join(c, "sys", "left")
-    flat = packed.select("sys", "ltpl", *META, F.col("r.row_key").alias("keys"), F.col("r.value").alias("vec"), F.col("r.x0").alias("x0"), F.col("c.row_key").alias("i"), F.col("c.col_key").alias("j"), F.col("c.value").alias("v"))
+    flat = packed.select("sys", "ltpl", *META, F.col("r.row_key").alias("keys"), F.col("r.value").alias("vec"), F.col("r.x0").alias("x0"), F.col("r.mark").alias("mark"), F.col("c.row_key").alias("i"), F.col("c.col_key").alias("j"), F.col("c.value").alias("v"))
 
     def one(batches):
         for pdf in batches:
@@ -209,7 +256,7 @@ def _dense(s: Systems, work: Callable) -> DataFrame:
                     n[i, j] = t.v
                     n[j, i] = t.v
                 try:
-                    k, m, d, x0, loss = work(keys, n, np.array(t.vec, float), np.array(t.x0, float))
+                    k, m, d, x0, loss = work(keys, n, np.array(t.vec, float), np.array(t.x0, float), np.array(t.mark, bool))
                 except np.linalg.LinAlgError:
                     k, d, x0, m, loss = keys, np.full(len(keys), np.nan), t.x0, np.full(n.shape, np.nan), np.nan
                 out.append((t.sys, list(k), d, x0, m.ravel(), t.ltpl - loss, t.nobs, t.nfix, t.nred, t.stime, t.etime, t.ctime))
@@ -238,15 +285,13 @@ def reduce(s: Systems, pattern: str) -> Systems:
     """Eliminate the parameters that match, block by block: C22 - C21 C11^-1 C12,
     d2 - C21 C11^-1 d1, ltpl - d1' C11^-1 d1.  A system whose C11 is singular
     keeps its keys with null values."""
-    import re
 
-    def work(keys, n, d, x0):
-        gone = np.array([bool(re.search(pattern, k)) for k in keys], bool)
+    def work(keys, n, d, x0, gone):
         low = np.linalg.cholesky(n[np.ix_(gone, gone)])
         half, side = np.linalg.solve(low, n[np.ix_(gone, ~gone)]), np.linalg.solve(low, d[gone])
         return keys[~gone], n[np.ix_(~gone, ~gone)] - half.T @ half, d[~gone] - half.T @ side, x0[~gone], side @ side
 
-    got = _dense(s, work)
+    got = _dense(s, work, F.col("row_key").rlike(pattern))
     hits = s.rhs.where(F.col("row_key").rlike(pattern)).groupBy("sys").agg(F.count("*").alias("more"))
     stats = got.select("sys", "nobs", _known(F.col("ltpl")).alias("ltpl"), "nfix", "nred", "stime", "etime", "ctime").join(hits, "sys", "left")
     stats = stats.withColumn("nred", F.col("nred") + F.coalesce("more", F.lit(0))).drop("more")
@@ -254,7 +299,7 @@ def reduce(s: Systems, pattern: str) -> Systems:
     return Systems(_matrix(got), rhs, stats)
 
 
-def _cholesky(keys, n, d, x0):
+def _cholesky(keys, n, d, x0, _):
     low = np.linalg.cholesky(n)
     half, inv = np.linalg.solve(low, d), np.linalg.inv(low)
     return keys, inv.T @ inv, inv.T @ half, x0, half @ half
@@ -265,7 +310,7 @@ def solve(s: Systems, keep: int | None = None) -> Solution:
     (as many as a smaller system has).  sigma0 = sqrt(ltpl / (nobs - (parameters
     + nred)))."""
 
-    def truncated(keys, n, d, x0):
+    def truncated(keys, n, d, x0, _):
         e, v = np.linalg.eigh(n)
         if len(e) and e[-min(keep, len(e))] <= 0:
             raise np.linalg.LinAlgError
@@ -292,12 +337,14 @@ def variance_components(s: Systems, groups: DataFrame, scale: DataFrame) -> Data
 
     A system's contribution is trace(Cov N) / cv over its parameters, and its
     component ltpl / (nobs - contribution), with ltpl at the group's solution."""
-    best = solve(combine(scaled(s, scale), groups))
+    s = settled(s)
+    both = settled(combine(scaled(s, scale), groups))
+    best = solve(both)
     cov = full(best.covariance).select(F.col("sys").alias("grp"), "row_key", "col_key", F.col("value").alias("q"))
     trace = full(s.cells).join(groups, "sys").join(cov, ["grp", "row_key", "col_key"]).groupBy("sys").agg(F.sum(F.col("q") * F.col("value")).alias("trace"))
-    # Right sides refer to each system's own a-priori, so the step is the group's x.
-    x = best.x.select(F.col("sys").alias("grp"), "row_key", "x")
-    dx = s.rhs.select("sys", "row_key").join(groups, "sys").join(x, ["grp", "row_key"]).select("sys", "row_key", "x")
+    # Each system moves from its own a-priori to the group's solution.
+    x = best.x.join(both.rhs.select("sys", "row_key", "x0"), ["sys", "row_key"]).select(F.col("sys").alias("grp"), "row_key", (F.col("x") + F.col("x0")).alias("to"))
+    dx = s.rhs.join(groups, "sys").join(x, ["grp", "row_key"]).select("sys", "row_key", (F.col("to") - F.coalesce("x0", F.lit(0.0))).alias("x"))
     at = shift_apriori(s, dx).stats.select("sys", "nobs", "ltpl")
     got = at.join(groups, "sys").join(trace, "sys").join(scale.select("sys", "cv"), "sys", "left")
     share = F.col("trace") / F.coalesce("cv", F.lit(1.0))
@@ -311,7 +358,7 @@ def iterate_components(s: Systems, groups: DataFrame, rounds: int = 5) -> DataFr
     at each round, in the session's checkpoint folder."""
     spark = s.stats.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/keyfold")
+        spark.sparkContext.setCheckpointDir(fresh_folder(spark, "checkpoints"))
     scale = s.stats.select("sys", F.lit(1.0).alias("cv"), F.lit(None).cast("double").alias("convergence"))
     for _ in range(max(rounds, 2)):
         new = variance_components(s, groups, scale).join(scale.select("sys", F.col("cv").alias("old")), "sys")

@@ -168,12 +168,3 @@ def g3(spark, d):
     lam, phi = F.radians("lon"), F.radians("lat")
     row = {"gx": F.cos(phi) * F.cos(lam), "gy": F.cos(phi) * F.sin(lam), "gz": F.sin(phi)}
     return stations(spark, d).select("c_custkey", *((F.round(v, 6) + 0.0).alias(k) for k, v in row.items()))
-
-
-@query("h14_synthesis_degree2", f"WITH {_ST} SELECT c_custkey, round({math.sqrt(5)!r} * (3 * pow(sin(radians(lat)), 2) - 1) / 2 * 0.3 + {math.sqrt(3)!r} * cos(radians(lat)) * (0.2 * cos(radians(lon)) - 0.1 * sin(radians(lon))), 6) AS value FROM st")
-def h14(spark, d):
-    """Synthesis of C20 = 0.3, C11 = 0.2, S11 = -0.1 by normalised functions."""
-    phi, lam = F.radians("lat"), F.radians("lon")
-    p20 = math.sqrt(5) * (3 * F.pow(F.sin(phi), F.lit(2)) - 1) / 2
-    p11 = math.sqrt(3) * F.cos(phi)
-    return rounded(stations(spark, d).select("c_custkey", (p20 * 0.3 + p11 * (0.2 * F.cos(lam) - 0.1 * F.sin(lam))).alias("value")))

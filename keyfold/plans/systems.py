@@ -46,9 +46,21 @@ def l5(spark, d):
     return wide(systems.fix(base(spark, d), spark.createDataFrame([("p1",)], "row_key string")), ["p0"], "nfix")
 
 
-@query("l6_combine_systems", _Q + f"SELECT grp AS sys, {_r('l', 'ltpl')}, CAST(nobs AS BIGINT) AS nobs, CAST(0 AS BIGINT) AS nfix, CAST(0 AS BIGINT) AS nred, {_r('t0', 'stime')}, {_r('t1', 'etime')}, {_r('(t0 + t1) / 2', 'ctime')}, {_N2} FROM g")
+def about_own(s: systems.Systems) -> systems.Systems:
+    """The systems moved to a-priori values that differ from one to the other."""
+    own = F.length("sys") / F.when(F.col("row_key") == "p0", 1.0).otherwise(10.0)
+    s = systems.settled(s)
+    return systems.settled(systems.shift_apriori(s, s.rhs.select("sys", "row_key", own.alias("x"))))
+
+
+# The groups' sums about a-priori values m0, m1: of the systems' plain means, or means by span.
+_MOVED = f"{_r('l - 2 * (m0 * b0 + m1 * b1) + m0 * m0 * n00 + 2 * m0 * m1 * n01 + m1 * m1 * n11', 'ltpl')}, {_r('n00', 'n_p0_p0')}, {_r('n01', 'n_p0_p1')}, {_r('n11', 'n_p1_p1')}, {_r('b0 - m0 * n00 - m1 * n01', 'b_p0')}, {_r('b1 - m0 * n01 - m1 * n11', 'b_p1')}"
+_SPAN = "sum(length(sys) * (t1 - t0)) / sum(t1 - t0)"
+
+
+@query("l6_combine_systems", _Q + f"SELECT grp AS sys, {_MOVED}, CAST(nobs AS BIGINT) AS nobs, CAST(0 AS BIGINT) AS nfix, CAST(0 AS BIGINT) AS nred, {_r('t0', 'stime')}, {_r('t1', 'etime')}, {_r('(t0 + t1) / 2', 'ctime')} FROM g JOIN (SELECT grp, avg(length(sys)) AS m0, avg(length(sys)) / 10 AS m1 FROM q GROUP BY 1) USING (grp)")
 def l6(spark, d):
-    s = base(spark, d)
+    s = about_own(base(spark, d))
     return wide(systems.combine(s, groups(s)), ["p0", "p1"], "nobs", "nfix", "nred", "stime", "etime", "ctime")
 
 
@@ -64,11 +76,12 @@ def l4(spark, d):
     return wide(systems.change_apriori(base(spark, d), "set", new), ["p0", "p1"])
 
 
-@query("l8_average_apriori", _Q + f"SELECT grp AS sys, 'p0' AS row_key, {_r('sum(length(sys) * (t1 - t0)) / sum(t1 - t0)', 'x0', 6)} FROM q GROUP BY 1")
+@query("l8_average_apriori", _Q + f"SELECT grp AS sys, {_MOVED}, {_r('m0', 'x0_p0', 6)}, {_r('m1', 'x0_p1', 6)} FROM g JOIN (SELECT grp, {_SPAN} AS m0, {_SPAN} / 10 AS m1 FROM q GROUP BY 1) USING (grp)")
 def l8(spark, d):
-    s = base(spark, d)
-    s = s._replace(rhs=s.rhs.withColumn("x0", F.length("sys").cast("double")))
-    return rounded(systems.combine(s, groups(s)).rhs.where("row_key = 'p0'").select("sys", "row_key", "x0"))
+    s = about_own(base(spark, d))
+    both = systems.combine(s, groups(s), "span")
+    at = both.rhs.groupBy("sys").agg(*(F.round(F.max(F.when(F.col("row_key") == p, F.col("x0"))), 6).alias(f"x0_{p}") for p in ("p0", "p1")))
+    return wide(both, ["p0", "p1"]).join(at, "sys")
 
 
 @query("l10_reduce_system", _Q + f"SELECT sys, {_r('l - b0 * b0 / n00', 'ltpl')}, CAST(1 AS BIGINT) AS nred, {_r('n11 - n01 * n01 / n00', 'n_p1_p1')}, {_r('b1 - n01 * b0 / n00', 'b_p1')} FROM q")
@@ -115,7 +128,7 @@ _G0, _G1 = "((g.n11 * g.b0 - g.n01 * g.b1) / (g.n00 * g.n11 - g.n01 * g.n01))",
 
 @query("l18_variance_components", _Q + f"SELECT q.sys, q.grp, {_r(_VCE, 'contribution', 6)}, {_r(f'(q.l - 2 * ({_G0} * q.b0 + {_G1} * q.b1) + {_G0} * {_G0} * q.n00 + 2 * {_G0} * {_G1} * q.n01 + {_G1} * {_G1} * q.n11) / (q.nobs - {_VCE})', 'vce', 4)} FROM q JOIN g ON g.grp = q.grp")
 def l18(spark, d):
-    s = base(spark, d)
+    s = about_own(base(spark, d))
     got = systems.variance_components(s, groups(s), s.stats.select("sys", F.lit(1.0).alias("cv")))
     return got.select("sys", "grp", F.round("contribution", 6).alias("contribution"), F.round("vce", 4).alias("vce"))
 
