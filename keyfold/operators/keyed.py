@@ -141,3 +141,15 @@ def not_empty(rows: DataFrame, what: str = "the selection") -> DataFrame:
     if rows.isEmpty():
         raise ValueError(f"{what} is empty")
     return rows
+
+
+def prefix_lookup(rows: DataFrame, dim: DataFrame, key: str, take: list[str], lengths: list[int], order: list[str]) -> DataFrame:
+    """rows with the columns `take` of the row of dim (key, take, order) whose
+    key begins alike: by the longest of these prefix lengths that has a match,
+    of several the first in order; null where none has."""
+    out, base = rows, rows.columns
+    for k, n in enumerate(lengths):
+        first = dim.groupBy(F.substring(key, 1, n).alias(f"prefix_{k}")).agg(F.min(F.struct(*order, *take)).alias(f"hit_{k}"))
+        out = out.join(first, F.substring(F.col(key), 1, n) == F.col(f"prefix_{k}"), "left")
+    best = F.coalesce(*(F.col(f"hit_{k}") for k in range(len(lengths))))
+    return out.select(*base, *(best[c].alias(c) for c in take))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import normals
+from . import normals, systems
 
 
 def fit_trend(df: DataFrame, by: str, t: str, y: str) -> DataFrame:
@@ -35,6 +35,38 @@ def amplitude_phase(solved: DataFrame, k: int = 0) -> DataFrame:
     return solved.groupBy("sys").agg(c.alias("c"), s.alias("s")).select("sys", F.hypot("c", "s").alias("amplitude"), F.atan2("s", "c").alias("phase"))
 
 
+def amplitude_errors(df: DataFrame, by: str, t: str, y: str, t_ref: float, period: float, terms: dict[str, Column] | None = None) -> DataFrame:
+    """sys, amplitude, phase (as a time: when the harmonic peaks after t_ref),
+    and the standard errors of both, for a harmonic fitted beside `terms`.
+
+    With c and s the coefficients and C their covariance, the amplitude's
+    variance is (c, s) C (c, s)' / A^2, the phase's (-s, c) C (-s, c)' / A^4."""
+    omega = 2 * 3.141592653589793 / period
+    d = F.col(t) - F.lit(t_ref)
+    every = {**(terms or {}), "zc": F.cos(omega * d), "zs": F.sin(omega * d)}
+    got = systems.solve(systems.from_moments(normals.build(df, every, y, by), list(every)))
+    x = got.x.groupBy("sys").agg(*(F.max(F.when(F.col("row_key") == k, F.col("x"))).alias(k) for k in ("zc", "zs")))
+    pair = lambda a, b: F.max(F.when((F.col("row_key") == a) & (F.col("col_key") == b), F.col("value")))
+    q = got.covariance.groupBy("sys").agg(pair("zc", "zc").alias("qcc"), pair("zc", "zs").alias("qcs"), pair("zs", "zs").alias("qss"))
+    rows = x.join(q, "sys").join(got.stats.select("sys", "sigma0"), "sys")
+    c, s, a = F.col("zc"), F.col("zs"), F.hypot("zc", "zs")
+    error = lambda u, v: F.sqrt(u * u * F.col("qcc") + 2 * u * v * F.col("qcs") + v * v * F.col("qss")) * F.col("sigma0")
+    return rows.select("sys", a.alias("amplitude"), (F.atan2(s, c) / omega).alias("phase"), F.try_divide(error(c, s), a).alias("amplitude_error"), (F.try_divide(error(-s, c), a * a) / omega).alias("phase_error"))
+
+
+def climatology(df: DataFrame, by: str, month: Column, y: str, terms: dict[str, Column] | None = None) -> systems.Solution:
+    """Twelve monthly means (m01 to m12) fitted beside other terms, which may
+    hold a mean: then the months alone can't be told from it, and a block of
+    ones, as heavy as the normals' mean diagonal, holds their sum at zero.
+    A month without rows keeps its unknown out of the system."""
+    names = [f"m{k:02d}" for k in range(1, 13)]
+    every = {**(terms or {}), **{n: F.when(month == k, 1.0).otherwise(0.0) for k, n in enumerate(names, 1)}}
+    s = systems.from_moments(normals.build(df, every, y, by), list(every))
+    seen = s.cells.where("row_key = col_key and value > 0").select("sys", "row_key")
+    live = systems.Systems(s.cells.join(seen, ["sys", "row_key"], "left_semi").join(seen.withColumnRenamed("row_key", "col_key"), ["sys", "col_key"], "left_semi").select("sys", "row_key", "col_key", "value"), s.rhs.join(seen, ["sys", "row_key"], "left_semi"), s.stats)
+    return systems.solve(systems.hold_sum(live, "^m[0-9]{2}$"))
+
+
 def autocovariance(df: DataFrame, by: str, order: str, y: str, lags: int) -> DataFrame:
     """by, lag, value: sum of products of deviations over n - 1."""
     m = df.withColumn("d", F.col(y) - F.avg(y).over(Window.partitionBy(by)))

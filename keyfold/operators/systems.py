@@ -187,6 +187,36 @@ def regularise(s: Systems, alpha: float = 1.0, matrix: DataFrame | None = None,
     return s._replace(cells=cells)
 
 
+def hold_sum(s: Systems, pattern: str) -> Systems:
+    """Hold the sum of the parameters that match at zero: a block of ones, times
+    the mean of the system's diagonal, is added to N."""
+    has = s.rhs.where(F.col("row_key").rlike(pattern)).select("sys", "row_key")
+    mean = s.cells.where("row_key = col_key").groupBy("sys").agg(F.avg("value").alias("value"))
+    pairs = has.join(has.select("sys", F.col("row_key").alias("col_key")), "sys").where("row_key <= col_key")
+    more = pairs.join(mean, "sys").select("sys", "row_key", "col_key", "value")
+    return s._replace(cells=s.cells.unionByName(more).groupBy("sys", "row_key", "col_key").agg(F.sum("value").alias("value")))
+
+
+def local_keys(s: Systems) -> DataFrame:
+    """row_key, sys of the parameters that only one system has."""
+    return s.rhs.groupBy("row_key").agg(F.min("sys").alias("sys"), F.max("sys").alias("last")).where("sys = last").drop("last")
+
+
+def eigen(s: Systems) -> DataFrame:
+    """sys, place (from 1, eigenvalues rising), value, row_key, component: unit
+    eigenvectors of each system's matrix, the largest component positive."""
+
+    def work(keys, n, d, x0, _):
+        e, v = np.linalg.eigh(n)
+        v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(len(e))] < 0, -1.0, 1.0) if len(e) else v
+        return keys, v.T, e, x0, 0.0
+
+    got = _dense(s, work)
+    n = F.size("keys")
+    each = got.select("sys", "keys", "mat", n.alias("n"), F.posexplode("vec").alias("k", "value"))
+    return each.select("sys", (F.col("k") + 1).alias("place"), _known(F.col("value")).alias("value"), F.inline(F.arrays_zip(F.col("keys").alias("row_key"), F.slice("mat", F.col("k") * F.col("n") + 1, F.col("n")).alias("component"))))
+
+
 def transform(s: Systems, b: DataFrame) -> Systems:
     """N* = B N B', d* = B d for b ([sys,] row_key: new parameter, col_key: old
     one, value); with sys, each system has its own.  Parameters that B does not

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import autoregression, intervals, systems, tiles, time_terms
+from ..operators import autoregression, intervals, series, systems, tiles, time_terms
 from .fits import _EV, _T, events
 from .matrices import rounded
 from .registry import query, table
@@ -131,3 +131,44 @@ def a10(spark, d):
     both = a.unionByName(a.where("row_key <> col_key").select(F.col("col_key").alias("row_key"), F.col("row_key").alias("col_key"), "value"))
     right = x.select(F.col("row_key").alias("col_key"), "rhs_no", F.col("value").alias("x"))
     return rounded(both.join(right, "col_key").groupBy("row_key", "rhs_no").agg(F.sum(F.col("value") * F.col("x")).alias("back")), 5)
+
+
+_HARM = "h AS (SELECT event_type, y - avg(y) OVER (PARTITION BY event_type) AS y, cos(2 * pi() / 7 * (t - 15)) AS c, sin(2 * pi() / 7 * (t - 15)) AS s FROM ev WHERE y IS NOT NULL), q AS (SELECT event_type, count(*) AS n, sum(c * c) AS ncc, sum(c * s) AS ncs, sum(s * s) AS nss, sum(c * y) AS bc, sum(s * y) AS bs, sum(y * y) AS l FROM h GROUP BY 1), x AS (SELECT *, ncc * nss - ncs * ncs AS d, (nss * bc - ncs * bs) / (ncc * nss - ncs * ncs) AS xc, (ncc * bs - ncs * bc) / (ncc * nss - ncs * ncs) AS xs FROM q), z AS (SELECT *, (l - xc * bc - xs * bs) / (n - 2) AS v FROM x)"
+
+
+@query(
+    "t4_amplitude_errors",
+    f"WITH {_EV}, {_HARM} SELECT event_type AS sys, round(sqrt(xc * xc + xs * xs), 5) AS amplitude, round(atan2(xs, xc) * 7 / (2 * pi()), 5) AS phase, round(sqrt(v * (xc * xc * nss - 2 * xc * xs * ncs + xs * xs * ncc) / d) / sqrt(xc * xc + xs * xs), 5) AS amplitude_error, round(sqrt(v * (xs * xs * nss + 2 * xc * xs * ncs + xc * xc * ncc) / d) / (xc * xc + xs * xs) * 7 / (2 * pi()), 5) AS phase_error FROM z",
+)
+def t4(spark, d):
+    """The weekly harmonic of each type of event, with the errors of amplitude and phase."""
+    ev = events(spark, d).where("y is not null").withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("event_type")))
+    return rounded(series.amplitude_errors(ev, "event_type", "t", "y", 15.0, 7.0), 5)
+
+
+@query("t11_climatology", "WITH m AS (SELECT o_orderpriority AS sys, month(o_orderdate) AS k, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2), a AS (SELECT sys, avg(y) AS y FROM m GROUP BY 1) SELECT sys, 'p0' AS row_key, round(y, 4) AS x FROM a UNION ALL SELECT m.sys, printf('m%02d', k), round(m.y - a.y, 4) FROM m JOIN a ON a.sys = m.sys")
+def t11(spark, d):
+    """Monthly means beside a mean: only their sum's constraint tells them apart."""
+    got = series.climatology(table(spark, d, "orders"), "o_orderpriority", F.month("o_orderdate"), "o_totalprice", {"p0": F.lit(1.0)})
+    return got.x.select("sys", "row_key", F.round("x", 4).alias("x"))
+
+
+@query("a9_eigen_pairs", "WITH n AS (SELECT c_mktsegment AS s, c_nationkey AS n, count(*) AS c FROM customer GROUP BY 1, 2), k AS (SELECT s, count(*) AS keys, sum(c * c + 1.0 + n) AS trace, sum(c * c) AS cc, sum((c * c + 1.0 + n) * (c * c + 1.0 + n) - (c * c) * (c * c)) AS more FROM n GROUP BY 1) SELECT s AS sys, CAST(keys AS BIGINT) AS keys, round(trace::DOUBLE, 4) AS trace, round((cc * cc + more)::DOUBLE, 3) AS squares, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS off FROM k")
+def a9p(spark, d):
+    """Of the eigenpairs of one matrix a segment: sums of e and e^2, and the
+    largest entries of A v - e v and of V'V - I."""
+    n = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("sys"), F.col("c_nationkey").alias("n")).agg(F.count("*").alias("c"))
+    key = lambda c: F.format_string("N%02d", c)
+    pairs = n.join(n.select("sys", F.col("n").alias("n2"), F.col("c").alias("c2")), "sys").where("n <= n2")
+    cells = pairs.select("sys", key("n").alias("row_key"), key("n2").alias("col_key"), (F.col("c") * F.col("c2") + F.when(F.col("n") == F.col("n2"), 1.0 + F.col("n")).otherwise(0.0)).alias("value"))
+    rhs = n.select("sys", key("n").alias("row_key"), F.lit(0.0).alias("value"), F.lit(0.0).alias("x0"))
+    none = {c: F.lit(None).cast("double") for c in ("stime", "etime", "ctime")}
+    s = systems.Systems(cells, rhs, n.select("sys").distinct().withColumns({"nobs": F.lit(0).cast("long"), "ltpl": F.lit(0.0), "nfix": F.lit(0).cast("long"), "nred": F.lit(0).cast("long"), **none}))
+    v = systems.eigen(s)
+    right = v.select("sys", "place", F.col("row_key").alias("col_key"), F.col("component").alias("x"))
+    av = systems.full(cells).join(right, ["sys", "col_key"]).groupBy("sys", "place", "row_key").agg(F.sum(F.col("value") * F.col("x")).alias("av"))
+    rest = v.join(av, ["sys", "place", "row_key"]).groupBy("sys").agg(F.max(F.abs(F.col("av") - F.col("value") * F.col("component"))).alias("residual"))
+    dots = v.join(v.select("sys", "row_key", F.col("place").alias("p2"), F.col("component").alias("y")), ["sys", "row_key"]).groupBy("sys", "place", "p2").agg(F.sum(F.col("component") * F.col("y")).alias("dot"))
+    off = dots.groupBy("sys").agg(F.max(F.abs(F.col("dot") - F.when(F.col("place") == F.col("p2"), 1.0).otherwise(0.0))).alias("off"))
+    e = v.select("sys", "place", "value").distinct().groupBy("sys").agg(F.count("*").alias("keys"), F.round(F.sum("value"), 4).alias("trace"), F.round(F.sum(F.col("value") * F.col("value")), 3).alias("squares"))
+    return e.join(rest, "sys").join(off, "sys").select("sys", "keys", "trace", "squares", F.round("residual", 5).alias("residual"), F.round("off", 6).alias("off"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import binary, files, sinex
+from ..sources import binary, files, gravity, sinex
 from ..sources.shared import fresh_folder
 from .registry import query, table
 from .relations import stations
@@ -111,3 +111,48 @@ def s3(spark, d):
     path = fresh_folder(spark, "keyed")
     rows.write.text(path)
     return files.keyed_table(spark, path).select("row_key", "col_no", F.round("value", 6).alias("value"))
+
+
+_COEF = "f AS (SELECT CAST(p_partkey % 90 AS INTEGER) AS l, CAST(p_partkey // 90 AS INTEGER) AS m, p_retailprice AS c, p_retailprice / 7 AS s FROM part WHERE p_partkey // 90 <= p_partkey % 90)"
+
+
+def _coefficients(spark, d):
+    price = F.col("p_retailprice")
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 90).cast("int").alias("l"), F.floor(F.col("p_partkey") / 90).cast("int").alias("m"), price.alias("c"), (price / 7).alias("s"))
+    return rows.where("m <= l")
+
+
+@query("s4_icgem_coefficients", f"WITH {_COEF} SELECT 'static' AS term, l, m, round(c, 6) AS c, round(s, 6) AS s FROM f")
+def s4(spark, d):
+    path = fresh_folder(spark, "icgem")
+    gravity.write(_coefficients(spark, d), path, "icgem")
+    return gravity.read(spark, path, "icgem").select("term", "l", "m", F.round("c", 6).alias("c"), F.round("s", 6).alias("s"))
+
+
+@query("k2_short_coefficients", f"WITH {_COEF} SELECT l, m, round(c, 6) AS c, round(s, 6) AS s FROM f")
+def k2(spark, d):
+    path = fresh_folder(spark, "short")
+    files.write_coefficients(_coefficients(spark, d), path, "short")
+    return files.coefficients(spark, path, "short").select("l", "m", F.round("c", 6).alias("c"), F.round("s", 6).alias("s"))
+
+
+@query("s5_header_facts", f"WITH {_COEF} SELECT 'short' AS layout, CAST(max(l) AS INTEGER) AS lmax FROM f")
+def s5(spark, d):
+    """What the header of a file of parts says, sniffed."""
+    path = fresh_folder(spark, "short")
+    files.write_coefficients(_coefficients(spark, d), path, "short")
+    return gravity.describe(spark, path).where("layout = 'short'").select("layout", "lmax")
+
+
+@query("s11_tide_gauge", "SELECT printf('g%d', o_custkey % 10) AS sid, round(1990 + o_orderkey % 400 / 12.0, 4) AS time, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) % 10000 END::INTEGER AS mm, CAST(o_orderkey % 31 AS INTEGER) AS missing_days FROM orders")
+def s11(spark, d):
+    """Monthly heights, a file for each gauge, missing ones as -99999."""
+    k = F.col("o_orderkey")
+    mm = F.when(k % 13 == 0, -99999).otherwise((F.floor("o_totalprice") % 10000).cast("int"))
+    line = F.format_string(" %10.4f;%6d;%2d;%03d", 1990 + k % 400 / 12, mm, (k % 31).cast("int"), F.lit(0))
+    path = fresh_folder(spark, "tide")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("g"), (F.col("o_custkey") % 10).cast("string")).alias("gauge"), line.alias("value"))
+    rows.write.partitionBy("gauge").text(path)
+    got = files.tide_monthly(spark, path)
+    sid = F.regexp_extract(F.input_file_name(), "gauge=([^/]+)", 1)
+    return got.select(sid.alias("sid"), F.round("time", 4).alias("time"), "mm", "missing_days")

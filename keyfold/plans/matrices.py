@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import keyed, normals
+from ..operators import keyed, normals, systems
 from .registry import query, table
 
 SIDE = 8
@@ -170,10 +170,10 @@ def l10(spark, d):
     return rounded(normals.reduce_one(keyed.upper(cells_s(spark, d)), 0), 5)
 
 
-@query("l11_local_keys", "SELECT l_partkey AS key, min(l_suppkey) AS sys FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("l11_local_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS row_key, CAST(min(l_suppkey) AS VARCHAR) AS sys FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def l11(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.min("l_suppkey").alias("sys"), F.max("l_suppkey").alias("most"))
-    return g.where("sys = most").drop("most")
+    rhs = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("row_key"), F.col("l_suppkey").cast("string").alias("sys"))
+    return systems.local_keys(systems.Systems(rhs, rhs, rhs))
 
 
 @query("l12_regularise", _WITH + "SELECT row_key, col_key, round(value + CASE WHEN row_key = col_key THEN 0.1 ELSE 0 END, 6) AS value FROM s")

@@ -25,10 +25,10 @@ def j11(spark, d):
     return table(spark, d, "part").select("p_partkey", F.rpad(F.replace("p_brand", F.lit("Brand"), F.lit("B")), 24, " ").alias("key"))
 
 
-@query("p1_regex", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[[:upper:]]+ [[:alpha:]]+') AND NOT regexp_matches(p_type, 'BRASS$')")
+@query("p1_regex", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[[:lower:]]+ [[:alpha:]]+') AND NOT regexp_matches(p_name, 'bolt$')")
 def p1(spark, d):
-    p = F.col("p_type")
-    return table(spark, d, "part").where(p.rlike(C.posix_pattern("^[[:upper:]]+ [[:alpha:]]+")) & ~p.rlike(C.posix_pattern("BRASS$"))).select("p_partkey", "p_type")
+    p = F.col("p_name")
+    return table(spark, d, "part").where(p.rlike(C.posix_pattern("^[[:lower:]]+ [[:alpha:]]+")) & ~p.rlike(C.posix_pattern("bolt$"))).select("p_partkey", "p_name")
 
 
 @query("p2_pattern_list", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(1$)|([[:digit:]]5[[:digit:]]$)')")
@@ -86,10 +86,10 @@ def p14(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 2 and n < 6")
 
 
-@query("n1_match_keys", "SELECT DISTINCT p_brand AS key_a, p_type AS key_b FROM part WHERE substring(p_brand, 1, 1) = substring(p_type, 2, 1)")
+@query("n1_match_keys", "SELECT s_name AS key_a, c_name AS key_b FROM supplier JOIN customer ON substring(s_name, 10, 9) = substring(c_name, 10, 9)")
 def n1(spark, d):
-    p = table(spark, d, "part")
-    return p.where(F.substring("p_brand", 1, 1) == F.substring("p_type", 2, 1)).select(F.col("p_brand").alias("key_a"), F.col("p_type").alias("key_b")).distinct()
+    a, b = table(spark, d, "supplier").select(F.col("s_name").alias("key")), table(spark, d, "customer").select(F.col("c_name").alias("key"))
+    return keyed.correlate_keys(a, b, 10, 9).select("key_a", "key_b")
 
 
 _CUST = "a AS (SELECT c_name AS key FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT replace(c_name, 'Customer', 'Stations') AS key FROM customer WHERE c_custkey % 3 = 0)"
@@ -120,6 +120,21 @@ def n10(spark, d):
     return c.select("c_custkey", F.coalesce("s_name", "n_name").alias("name"))
 
 
+_CODE = "printf('%05d%02d%d', {0} % {1}, {0} % {2}, {0} % {3})"
+
+
+@query(
+    "n10_prefix_lookup",
+    f"WITH c AS (SELECT c_custkey, {_CODE.format('c_custkey', 20, 4, 9)} AS key FROM customer), d AS (SELECT {_CODE.format('s_suppkey', 30, 3, 5)} AS key, s_name, s_suppkey FROM supplier) SELECT c_custkey, coalesce((SELECT min(s_name) FROM d WHERE d.key[:7] = c.key[:7]), (SELECT min(s_name) FROM d WHERE d.key[:5] = c.key[:5])) AS s_name FROM c",
+)
+def n10p(spark, d):
+    """A code looked up by seven signs, else by five, the first of several."""
+    code = lambda k, a, b, c: F.format_string("%05d%02d%d", F.col(k) % a, F.col(k) % b, F.col(k) % c).alias("key")
+    rows = table(spark, d, "customer").select("c_custkey", code("c_custkey", 20, 4, 9))
+    dim = table(spark, d, "supplier").select(code("s_suppkey", 30, 3, 5), "s_name", "s_suppkey")
+    return keyed.prefix_lookup(rows, dim, "key", ["s_name"], [7, 5], ["s_suppkey"]).select("c_custkey", "s_name")
+
+
 @query("n13_user_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY CASE p_brand WHEN 'Brand#3' THEN 0 WHEN 'Brand#1' THEN 1 ELSE 2 END, p_partkey) AS place FROM part")
 def n13(spark, d):
     order = F.when(F.col("p_brand") == "Brand#3", 0).when(F.col("p_brand") == "Brand#1", 1).otherwise(2)
