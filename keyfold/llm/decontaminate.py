@@ -23,7 +23,8 @@ Defined results: words are small ASCII letters' runs without white space; null
 and empty texts and items match nothing; an item of fewer words than a shingle
 is one shingle, compared with windows of as many words; null item ids are
 reported as null; rows equal in id and text are reported once for each row;
-other columns are ignored.
+texts of any length are searched whole; an empty table of texts or of items
+gives no leak; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ A page is read in time linear in its length (but for logarithms).
 
 Defined results: null, empty and textless pages give an empty text; pages
 without tags give their text; page ids and urls are passed on, repeated or
-null; other columns are ignored.  White space is what Unicode calls so.
+null; an empty table gives an empty table; other columns are ignored.  White
+space is what Unicode calls so.
 """
 
 from __future__ import annotations

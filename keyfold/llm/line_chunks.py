@@ -22,7 +22,8 @@ run.  A passage without a whole chunk between its own boundaries isn't found.
 
 Defined results: null texts stay null, empty ones empty; rows equal in id and
 text count as one document (all keep their first occurrence, and lose the
-rest); other columns stay as they are; an empty table gives an empty table.
+rest); other columns stay as they are, those named like the result's are an
+error; texts of any length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, dropped, mapped, materialise
+from .shared import arrow_schema, dropped, mapped, materialise, refuse, unused
 from .textkit import chunks, mix, text_array, views
 
 MIN_LINES = 2
@@ -242,10 +243,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The rows of docs with the columns line_text (the text without repeats),
     repeated_bytes (in runs of repeated chunks, kept or not) and removed (the
     byte ranges taken out)."""
+    refuse(docs.columns, "line_text", "spans", "repeated_bytes", "removed")
     found = repeated_chunks(docs, text, doc_id, min_lines, min_words)
     spans = found.groupBy("line_id", "line_mark").agg(F.collect_set(F.struct("seq", "place", "size", "lines", "words", "is_first")).alias("spans"))
-    left = docs.withColumn("line_mark", F.xxhash64(doc_id, text))
-    same = (F.col("d.line_mark") == F.col("s.line_mark")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s.line_id"))
+    mark = unused("line_mark", docs.columns)
+    left = docs.withColumn(mark, F.xxhash64(doc_id, text))
+    same = (F.col(f"d.{mark}") == F.col("s.line_mark")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s.line_id"))
     both = left.alias("d").join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col(f"d.`{text}`").alias("line_text"), "s.spans")
     out = docs.withColumns({"line_text": F.col(text), "repeated_bytes": F.lit(0).cast("long"), "removed": F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("size")))}).schema
     schema = arrow_schema(out)

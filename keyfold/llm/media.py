@@ -2,7 +2,8 @@
 
 A payload (the UTF-8 bytes of a text, filled with bytes 255 up to a positive
 multiple of 576) is stored losslessly as an 8-bit greyscale PNG of width 576.
-Equal payloads are stored once.  Each writing task packs its images into tar
+Equal payloads of different ids are stored once, rows that repeat an id and a
+text each store theirs.  Each writing task packs its images into tar
 files in the shared folder, named by their SHA-256; a table of rows holds
 digest, shard, offset and length.  Metadata columns are filled by range reads
 of an image's first 33 bytes; payloads are read back by range too.
@@ -17,7 +18,8 @@ BROADCAST_KEYS rows and joined by shuffle beyond.
 
 Defined results: null texts are empty, and an empty payload is 576 bytes 255;
 equal texts give equal values, whatever the id; null and repeated ids keep
-their rows; other columns are ignored.
+their rows; texts of any length are stored whole; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, unused
 
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -155,8 +155,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def mix_documents(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (0 to cap times)."""
-    whole = materialise(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mixrows")
-    sized = materialise(whole.select("doc_id", "source", words_of(F.col("text")).alias("size"), "mix_row"), "sized")
-    taken = copies(sized, cap).where("copies > 0").select("mix_row", "copies")
-    again = whole.join(taken, "mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    at, n, one = (unused(c, docs.columns) for c in ("mix_row", "copies", "copy"))
+    whole = materialise(docs.withColumn(at, F.monotonically_increasing_id()), "mixrows")
+    sized = materialise(whole.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.col(at).alias("mix_row")), "sized")
+    taken = copies(sized, cap).where("copies > 0").select(F.col("mix_row").alias(at), F.col("copies").alias(n))
+    again = whole.join(taken, at).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     return again.select(*docs.columns)

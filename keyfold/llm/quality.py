@@ -13,7 +13,8 @@ table past the weights, whose size is fixed by `dims`.
 Defined results: null and empty texts have no features and get the score of
 the intercept; rows with null labels teach nothing; of several labels for one
 id the largest holds; with no labels at all every score is 0.5; null ids are
-scored and count as not held out; other columns are ignored.
+scored and count as not held out; texts of any length are scored whole; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
-unset (tests, a laptop) a folder below ``/tmp/checkpoints`` takes its place.
+unset in a local session (tests, a laptop) a folder below ``/tmp/checkpoints``
+takes its place; on a cluster that is an error.
 Intermediate tables are written there rather than cached, so a lost executor
 costs a reread and never a recomputation of the lineage.  `dropped` deletes
 those that no later step reads.
@@ -26,7 +27,10 @@ DEFAULT_DIR = "file:///tmp/checkpoints/keyfold"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (folder or DEFAULT_DIR).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -49,6 +53,21 @@ def materialise(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like this that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def refuse(columns: list[str], *results: str) -> None:
+    """An error if a table has columns of the result already."""
+    clash = sorted({c.lower() for c in columns} & set(results))
+    if clash:
+        raise ValueError(f"the table has columns of the result: {clash}")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that materialise wrote.  Only for those that nothing
     reads any more, results not yet computed included."""

@@ -15,7 +15,8 @@ exact for components, whatever the size of a group.
 Defined results: null and empty texts have no shingle and fingerprint zero,
 linked like any other; a text of fewer words than a shingle is one shingle;
 null ids stay as rows and never name a component unless all its ids are null;
-repeated rows share their component; other columns of the input are ignored.
+repeated rows share their component; texts of any length count whole; an empty
+table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations

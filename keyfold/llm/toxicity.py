@@ -21,7 +21,8 @@ Defined results: null and empty texts, and texts without any term of the
 index, get the (smoothed) share of label 1 among the examples without any;
 null labels teach nothing, of several labels for one id the largest holds;
 with no labels at all scores are 0.5; null ids are scored and count as not
-held out; other columns are ignored.
+held out; texts of any length are scored whole; an empty table gives an empty
+table; other columns are ignored, those named like the result's are an error.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sampled_labels
-from .shared import arrow_schema, mapped, materialise
+from .shared import arrow_schema, mapped, materialise, refuse
 from .textkit import chunks, tokens
 
 SAMPLE_ROWS = 12_000
@@ -279,8 +280,9 @@ def _scores(batches, index: BlockMaxIndex, k: int, evidence: int, text: str, sch
 def score(docs: DataFrame, index: BlockMaxIndex, text: str = "text", k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
     """The columns of docs but the text, the score, and as evidence the
     nearest examples with their cosines."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
     keep = [c for c in docs.columns if c != text]
+    refuse(keep, "score", "evidence")
+    held = docs.sparkSession.sparkContext.broadcast(index)
     out = docs.select(*keep).withColumns({"score": F.lit(0.0), "evidence": F.array(F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("cosine")))}).schema
     schema = arrow_schema(out)
     return docs.transform(mapped, lambda it: _scores(it, held.value, k, evidence, text, schema), out)
