@@ -52,16 +52,17 @@ def from_moments(moments: DataFrame, names: list[str], times: DataFrame | None =
     return Systems(m.select("sys", F.inline(F.array(*cell))), m.select("sys", F.inline(F.array(*side))), stats.withColumn("ctime", (F.col("stime") + F.col("etime")) / 2))
 
 
-def settled(s: Systems) -> Systems:
-    """The systems written to the shared folder and read back, for what is used
+def _stored(t: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back, for what is used
     more than once: plans of several steps would else repeat each other."""
-    spark = s.stats.sparkSession
-    out = []
-    for name, t in zip(s._fields, s, strict=True):
-        path = fresh_folder(spark, name)
-        t.write.parquet(path)
-        out.append(spark.read.schema(t.schema).parquet(path))
-    return Systems(*out)
+    path = fresh_folder(t.sparkSession, name)
+    t.write.parquet(path)
+    return t.sparkSession.read.schema(t.schema).parquet(path)
+
+
+def settled(s: Systems) -> Systems:
+    """The systems, stored."""
+    return Systems(*(_stored(t, name) for name, t in zip(s._fields, s, strict=True)))
 
 
 def full(cells: DataFrame) -> DataFrame:
@@ -161,10 +162,10 @@ def combine(s: Systems, groups: DataFrame, apriori: str = "mean") -> Systems:
     if apriori == "agree":
         if not apriori_disagrees(s, groups).isEmpty():
             raise ValueError("a-priori values of combined systems differ")
-    at = common_apriori(s, groups, apriori == "span")
+    at = _stored(common_apriori(s, groups, apriori == "span"), "apriori")
     if apriori != "agree":
         own = s.rhs.join(groups, "sys").join(at, ["grp", "row_key"], "left")
-        s = shift_apriori(s, own.select("sys", "row_key", (F.col("x") - F.coalesce("x0", F.lit(0.0))).alias("x")))
+        s = shift_apriori(s, _stored(own.select("sys", "row_key", (F.col("x") - F.coalesce("x0", F.lit(0.0))).alias("x")), "step"))
     cells = s.cells.join(groups, "sys").groupBy(F.col("grp").alias("sys"), "row_key", "col_key").agg(F.sum("value").alias("value"))
     rhs = s.rhs.join(groups, "sys").groupBy(F.col("grp").alias("sys"), "row_key").agg(F.sum("value").alias("value"))
     rhs = rhs.join(at.select(F.col("grp").alias("sys"), "row_key", F.col("x").alias("x0")), ["sys", "row_key"], "left")
