@@ -89,18 +89,19 @@ def n12(spark, d):
     return intervals.reference_positions(points, cum, "st", "t").select("c_custkey", F.round(F.col("reference") / 7e3, 4).alias("reference"), "used")
 
 
-@query("l23_time_terms", f"WITH {_EV} SELECT event_type AS sys, round(count(*)::DOUBLE, 3) AS n00, round(sum(floor(t) - 15), 3) AS n01, round(sum((floor(t) - 15) * (floor(t) - 15)), 3) AS n11, round(sum(y), 3) AS b0, round(sum(y * (floor(t) - 15)), 3) AS b1, round(sum(y * y), 3) AS ltpl FROM ev WHERE y IS NOT NULL GROUP BY 1")
+@query("l23_time_terms", f"WITH {_EV} SELECT event_type AS sys, round(count(*)::DOUBLE, 3) AS n00, round(sum(floor(t) - 15), 3) AS n01, round(sum((floor(t) - 15) * (floor(t) - 15)), 3) AS n11, round(sum(y), 3) AS b0, round(sum(y * (floor(t) - 15)), 3) AS b1, round(sum(y * y), 5) AS ltpl FROM ev WHERE y IS NOT NULL GROUP BY 1")
 def l23(spark, d):
     """Each day's level of a type of event, as a mean and a trend over all days."""
     ev = events(spark, d).where("y is not null").withColumn("day", F.floor("t"))
     day = ev.groupBy(F.concat_ws("|", "event_type", F.col("day").cast("string")).alias("sys"), F.col("event_type").alias("grp"), F.col("day").cast("double").alias("t"))
     sums = day.agg(F.count("*").alias("nobs"), F.sum("y").alias("b_LEVEL"), F.sum(F.col("y") * F.col("y")).alias("ltpl"), F.count("*").cast("double").alias("n_LEVEL_LEVEL"))
-    s = systems.from_moments(sums, ["LEVEL"])
-    got = systems.combine(time_terms.expand(s, sums.select("sys", "t"), 15.0, mean="", trend="^LEVEL$"), sums.select("sys", "grp"))
+    s = systems.settled(systems.from_moments(sums, ["LEVEL"]))
+    names = s.stats.select("sys", F.substring_index("sys", "|", 1).alias("grp"), F.substring_index("sys", "|", -1).cast("double").alias("t"))
+    got = systems.combine(systems.settled(time_terms.expand(s, names.select("sys", "t"), 15.0, mean="", trend="^LEVEL$")), names.select("sys", "grp"))
     cell = lambda i, j, n: F.round(F.max(F.when((F.col("row_key") == i) & (F.col("col_key") == j), F.col("value"))), 3).alias(n)
     n = got.cells.groupBy("sys").agg(cell("LEVEL", "LEVEL", "n00"), cell("LEVEL", "TR_LEVEL", "n01"), cell("TR_LEVEL", "TR_LEVEL", "n11"))
     b = got.rhs.groupBy("sys").agg(*(F.round(F.max(F.when(F.col("row_key") == k, F.col("value"))), 3).alias(c) for k, c in (("LEVEL", "b0"), ("TR_LEVEL", "b1"))))
-    return n.join(b, "sys").join(got.stats.select("sys", F.round("ltpl", 3).alias("ltpl")), "sys")
+    return n.join(b, "sys").join(got.stats.select("sys", F.round("ltpl", 5).alias("ltpl")), "sys")
 
 
 def nation_normals(spark, d):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import projection
 from ..sources import binary, files, gravity, sinex
 from ..sources.shared import fresh_folder
 from .registry import query, table
@@ -156,3 +158,29 @@ def s11(spark, d):
     got = files.tide_monthly(spark, path)
     sid = F.regexp_extract(F.input_file_name(), "gauge=([^/]+)", 1)
     return got.select(sid.alias("sid"), F.round("time", 4).alias("time"), "mm", "missing_days")
+
+
+_NM = "n AS (SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS c, avg(c_acctbal) AS a FROM customer GROUP BY 1, 2), k AS (SELECT n_nationkey AS n, n_name AS key FROM nation), e AS (SELECT x.n AS i, y.n AS j, sum(x.c * y.c)::DOUBLE AS v FROM n x JOIN n y ON x.s = y.s GROUP BY 1, 2), u AS (SELECT n, sum(c)::DOUBLE AS v1, max(c)::DOUBLE AS v2 FROM n GROUP BY 1)"
+
+
+@query("j1_projection", f"WITH {_NM} SELECT CAST(k.n + 1 AS BIGINT) AS ix, key AS s, round((coalesce(v1, 0) + coalesce(v2, 0)) / 2, 6) AS mean, round(100 * sqrt(coalesce(d.v, 0)), 6) AS root, round(coalesce(c.v, 0), 6) AS third FROM k LEFT JOIN u ON u.n = k.n LEFT JOIN e d ON d.i = k.n AND d.j = k.n LEFT JOIN e c ON c.i = k.n AND c.j = 2")
+def j1p(spark, d):
+    """Key, arithmetic of vectors, the diagonal's root and the third column."""
+    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n"), "c_mktsegment").agg(F.count("*").cast("double").alias("c"))
+    u = counts.groupBy("n").agg(F.sum("c").alias("v1"), F.max("c").alias("v2"))
+    vectors = u.select((F.col("n") + 1).alias("row_ix"), F.posexplode(F.array("v1", "v2")).alias("k", "value")).select("row_ix", (F.col("k") + 1).alias("vec_no"), "value")
+    keys = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("ix"), F.col("n_name").alias("key"))
+    got = projection.project(keys, vectors, _nation_matrix(spark, d), "s,v1+v2/2,100*r,c3")
+    return got.select("ix", "s", F.round("v1+v2/2", 6).alias("mean"), F.round("100*r", 6).alias("root"), F.round("c3", 6).alias("third"))
+
+
+@query("j10_metadata", f"WITH {_UNITS} SELECT * FROM (VALUES ('readme', 0, 'counts of customers', NULL::BIGINT, NULL::DOUBLE), ('readme', 1, 'edited', NULL, NULL), ('long', 0, 'Nobs', 8, NULL), ('double', 0, 'Total', NULL, (SELECT sum(c)::DOUBLE FROM v))) t(kind, place, name, long_value, double_value)")
+def j10(spark, d):
+    """Metadata of a written file: one entry set, one added, one taken out, a line added."""
+    units, keys, _ = _units(spark, d)
+    path = f"{fresh_folder(spark, 'binary')}/m.bin"
+    total = units.agg(F.sum("c")).first()[0]
+    binary.write(path, units.select(F.col("ix").alias("row_ix"), F.col("ix").alias("col_ix"), F.col("c").alias("value")), "DIAVN___", keys, longs={"Nobs": 7}, doubles={"LtPL": 0.5}, readme=["counts of customers"])
+    got = projection.edit_metadata(binary.read(spark, path, "meta"), {"Nobs": 8}, {"Total": total}, ["LtPL"], ["edited"])
+    places = F.row_number().over(Window.partitionBy("kind").orderBy("place")) - 1
+    return got.select("kind", places.cast("int").alias("place"), "name", "long_value", "double_value")
