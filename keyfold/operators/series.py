@@ -67,6 +67,17 @@ def climatology(df: DataFrame, by: str, month: Column, y: str, terms: dict[str,
     return systems.solve(systems.hold_sum(live, "^m[0-9]{2}$"))
 
 
+def residuals(df: DataFrame, by: str, y: str, terms: dict[str, Column], solved: DataFrame) -> DataFrame:
+    """df with `fit` and `residual` of a solved fit (sys, name, x) of these
+    terms, and a column of what each term gives, `fit_<name>`; rows of systems
+    without a solution have nulls."""
+    wide = solved.groupBy(F.col("sys").alias("fit_sys")).agg(*(F.max(F.when(F.col("name") == n, F.col("x"))).alias(f"x_{n}") for n in terms))
+    joined = df.join(wide, F.col(by) == F.col("fit_sys"), "left")
+    parts = {n: c * F.col(f"x_{n}") for n, c in terms.items()}
+    total = sum(parts.values(), F.lit(0.0))
+    return joined.select(*df.columns, total.alias("fit"), (F.col(y) - total).alias("residual"), *(v.alias(f"fit_{n}") for n, v in parts.items()))
+
+
 def autocovariance(df: DataFrame, by: str, order: str, y: str, lags: int) -> DataFrame:
     """by, lag, value: sum of products of deviations over n - 1."""
     m = df.withColumn("d", F.col(y) - F.avg(y).over(Window.partitionBy(by)))

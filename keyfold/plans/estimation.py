@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import autoregression, intervals, series, systems, tiles, time_terms
+from ..operators import autoregression, intervals, normals, series, systems, tiles, time_terms
 from .fits import _EV, _T, events
 from .matrices import rounded
 from .registry import query, table
@@ -173,3 +173,34 @@ def a9p(spark, d):
     off = dots.groupBy("sys").agg(F.max(F.abs(F.col("dot") - F.when(F.col("place") == F.col("p2"), 1.0).otherwise(0.0))).alias("off"))
     e = v.select("sys", "place", "value").distinct().groupBy("sys").agg(F.count("*").alias("keys"), F.round(F.sum("value"), 4).alias("trace"), F.round(F.sum(F.col("value") * F.col("value")), 3).alias("squares"))
     return e.join(rest, "sys").join(off, "sys").select("sys", "keys", "trace", "squares", F.round("residual", 5).alias("residual"), F.round("off", 6).alias("off"))
+
+
+@query(
+    "t10_weighted_stack",
+    """WITH e AS (SELECT unnest(range(len(embedding))) AS coef, unnest(embedding)::DOUBLE AS y, vec_id / 100.0 AS t, 1.0 / (1 + label) AS w FROM embeddings),
+q AS (SELECT coef, count(*) AS n, sum(w) AS s0, sum(w * t) AS s1, sum(w * t * t) AS s2, sum(w * y) AS b0, sum(w * t * y) AS b1, sum(w * y * y) AS l FROM e GROUP BY 1),
+x AS (SELECT *, (s2 * b0 - s1 * b1) / (s0 * s2 - s1 * s1) AS p0, (s0 * b1 - s1 * b0) / (s0 * s2 - s1 * s1) AS p1 FROM q)
+SELECT x.coef, round(any_value(p0), 6) AS bias, round(any_value(p1), 6) AS trend, round(any_value(sqrt((l - p0 * b0 - p1 * b1) / (n - 2))), 6) AS sigma0, round(sqrt(avg((y - p0 - p1 * t) * (y - p0 - p1 * t))), 6) AS rms FROM x JOIN e ON e.coef = x.coef GROUP BY 1""",
+)
+def t10w(spark, d):
+    """Weighted fits of a stack, one for each coefficient, sigma0 and the rms of the residual fields."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") / 100).alias("t"), (1 / (1 + F.col("label"))).alias("w"), F.posexplode("embedding").alias("coef", "v"))
+    e = e.select(F.col("coef").cast("long").alias("coef"), "t", "w", F.col("v").cast("double").alias("y"))
+    terms = {"p0": F.lit(1.0), "p1": F.col("t")}
+    x = normals.solve(normals.build(e, terms, "y", "coef", "w"), list(terms))
+    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("x")))
+    fit = x.groupBy(F.col("sys").alias("coef")).agg(pick("p0").alias("bias"), pick("p1").alias("trend"), F.max("sigma0").alias("sigma0"))
+    rms = series.residuals(e, "coef", "y", terms, x).groupBy("coef").agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rms"))
+    return rounded(fit.join(rms, "coef"))
+
+
+@query(
+    "t8_term_fits",
+    f"WITH {_EV}, q AS (SELECT event_type, count(*) AS n, sum(t - 15) AS s1, sum((t - 15) * (t - 15)) AS s2, sum(y) AS b0, sum(y * (t - 15)) AS b1 FROM ev WHERE y IS NOT NULL GROUP BY 1) SELECT event_id, round((s2 * b0 - s1 * b1) / (n * s2 - s1 * s1), 5) AS fit_mean, round((n * b1 - s1 * b0) / (n * s2 - s1 * s1) * (t - 15), 5) AS fit_trend FROM ev JOIN q USING (event_type) WHERE y IS NOT NULL",
+)
+def t8t(spark, d):
+    """What the mean and the trend each give at every event."""
+    ev = events(spark, d).where("y is not null")
+    terms = {"mean": F.lit(1.0), "trend": F.col("t") - 15}
+    got = series.residuals(ev, "event_type", "y", terms, normals.solve(normals.build(ev, terms, "y", "event_type"), list(terms)))
+    return got.select("event_id", *(F.round(f"fit_{n}", 5).alias(f"fit_{n}") for n in terms))
