@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spectra import MAX_DEGREE
+
 #: The largest block; bounds what a task holds.
 MAX_BLOCK = 8192
 
@@ -117,6 +119,8 @@ def apply(values: DataFrame, cells: DataFrame, symmetric: bool = False, transpos
     kind = values.schema["field"].dataType.simpleString()
     data = values.select("field", "key", F.coalesce("value", F.lit(0.0)).cast("double").alias("value"), (F.coalesce("sigma", F.lit(0.0)) if has else F.lit(0.0)).cast("double").alias("sigma"))
     if reference is not None:
+        if reference.count() > 2 * (MAX_DEGREE + 1) ** 2:
+            raise ValueError("a reference of more than one field")
         less = values.select("field").distinct().crossJoin(F.broadcast(reference.select("key", (-F.col("value")).alias("value"), F.lit(0.0).alias("sigma"))))  # one spectrum
         data = data.unionByName(less)
     data = data.groupBy("field", "key").agg(F.sum("value").alias("value"), F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))).alias("sigma"))

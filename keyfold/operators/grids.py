@@ -6,7 +6,8 @@ sends ring spectra, not cells, to the sum over rings of an order.
 
 Defined results: null values count as zero, rows with a null position don't
 count; a grid with cells off its lattice isn't equidistant to inspect, and
-analyse_rings raises on it; repeated cells add; an empty grid gives no rows.
+analyse_rings raises on it; repeated cells add; grids of null names are left
+out of inspect; an empty grid gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def inspect(grid: DataFrame, by: list[str] | None = None, tolerance: float = 1e-
     size = grid.groupBy(*by).agg(F.count("*").alias("cells"), F.countDistinct("lon").alias("nlon"), F.countDistinct("lat").alias("nlat"), *(f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("low", F.min), ("high", F.max))))
     step = lambda c: F.try_divide(F.col(f"high_{c}") - F.col(f"low_{c}"), F.col(f"n{c}") - 1)
     size = size.withColumns({"step": F.coalesce(step("lat"), F.lit(0.0)), "step_lon": F.coalesce(step("lon"), F.lit(0.0))})
-    joined = grid.select(*by, "lon", "lat").join(F.broadcast(size), by) if by else grid.select("lon", "lat").crossJoin(F.broadcast(size))  # one row a grid
+    joined = grid.select(*by, "lon", "lat").join(size, by) if by else grid.select("lon", "lat").crossJoin(F.broadcast(size))  # one row
     off = lambda c, s: F.abs(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(s)) - F.round(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(s))))
     odd = joined.groupBy(*by).agg(F.greatest(F.max(off("lon", "step_lon")), F.max(off("lat", "step"))).alias("off"))
     got = size.join(odd, by) if by else size.crossJoin(odd)
