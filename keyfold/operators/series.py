@@ -100,3 +100,16 @@ def interpolate(points: DataFrame, series: DataFrame, by: str, t: str, y: str) -
     step = F.col("b.t") - F.col("a.t")
     share = F.coalesce(F.try_divide(F.col("t") - F.col("a.t"), step), F.lit(0.0))
     return rows.select(by, "t", (F.col("a.y") + share * (F.col("b.y") - F.col("a.y"))).alias("y"))
+
+
+def interpolate_steps(points: DataFrame, known: DataFrame, t: str, values: list[str], step: float) -> DataFrame:
+    """points with `values` of an evenly spaced series (t, values), linear
+    between its steps; null outside, and beside a step that isn't there.  A
+    join on the step, so that one series for all points needs no order of them."""
+    place = F.floor(F.col(t) / step + 1e-9)
+    at = known.select(F.round(F.col(t) / step).cast("long").alias("step_at"), F.struct(*values).alias("low"))
+    after = at.select((F.col("step_at") - 1).alias("step_before"), F.col("low").alias("high"))
+    got = points.join(at, place == F.col("step_at"), "left").join(after, place == F.col("step_before"), "left")
+    share = F.col(t) / step - place
+    value = lambda c: F.when(share < 1e-9, F.col(f"low.{c}")).otherwise(F.col(f"low.{c}") + share * (F.col(f"high.{c}") - F.col(f"low.{c}"))).alias(c)
+    return got.select(*points.columns, *(value(c) for c in values))

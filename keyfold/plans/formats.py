@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import projection
+from ..operators import projection, series
 from ..sources import binary, files, gravity, sinex
 from ..sources.shared import fresh_folder
 from .registry import query, table
@@ -184,3 +184,33 @@ def j10(spark, d):
     got = projection.edit_metadata(binary.read(spark, path, "meta"), {"Nobs": 8}, {"Total": total}, ["LtPL"], ["edited"])
     places = F.row_number().over(Window.partitionBy("kind").orderBy("place")) - 1
     return got.select("kind", places.cast("int").alias("place"), "name", "long_value", "double_value")
+
+
+_POLE = "pole AS (SELECT CAST(floor(epoch_us(ts) / 86400000000.0) + 40587 AS BIGINT) AS mjd, round(avg(value) / 1e3, 6) AS x, round(-avg(value) / 3e3, 6) AS y, round(count(*) / 1e5, 7) AS lod FROM events GROUP BY 1)"
+
+
+def _pole(spark, d):
+    day = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000) + 40587).cast("long")
+    mean = table(spark, d, "events").groupBy(day.alias("mjd")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    return mean.select("mjd", F.round(F.col("v") / 1e3, 6).alias("x"), F.round(-F.col("v") / 3e3, 6).alias("y"), F.lit(0.0).alias("ut1"), F.round(F.col("n") / 1e5, 7).alias("lod"))
+
+
+@query("s20_earth_orientation", f"WITH {_POLE} SELECT mjd::DOUBLE AS mjd, x, y, lod FROM pole")
+def s20(spark, d):
+    """Daily means as a pole series, written in fixed columns and read back."""
+    path = fresh_folder(spark, "pole")
+    files.write_earth_orientation(_pole(spark, d), path)
+    return files.earth_orientation(spark, path).select("mjd", *(F.round(c, 7).alias(c) for c in ("x", "y", "lod")))
+
+
+@query(
+    "n8_pole_at_times",
+    f"WITH {_POLE}, q AS (SELECT o_orderkey, 60310 + o_orderkey % 2900 / 100.0 AS t FROM orders) SELECT o_orderkey, round(a.x + (t - floor(t)) * (b.x - a.x), 6) AS x FROM q LEFT JOIN pole a ON a.mjd = floor(t) LEFT JOIN pole b ON b.mjd = floor(t) + CASE WHEN t > floor(t) THEN 1 ELSE 0 END",
+)
+def n8p(spark, d):
+    """The pole between its days, for times made of orders."""
+    path = fresh_folder(spark, "pole")
+    files.write_earth_orientation(_pole(spark, d), path)
+    ask = table(spark, d, "orders").select("o_orderkey", (60310 + F.col("o_orderkey") % 2900 / 100).alias("mjd"))
+    got = series.interpolate_steps(ask, files.earth_orientation(spark, path), "mjd", ["x"], 1.0)
+    return got.select("o_orderkey", F.round("x", 6).alias("x"))

@@ -79,6 +79,21 @@ def tide_catalogue(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.where("lat is not null and lon is not null")
 
 
+def earth_orientation(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """mjd, x, y (arc seconds), ut1, lod (seconds) of daily series in columns of
+    fixed width: date, modified Julian day, pole, time differences."""
+    at = lambda a, n: F.trim(F.substring("line", a, n)).try_cast("double")
+    rows = _lines(spark, path).select(at(13, 7).alias("mjd"), at(20, 11).alias("x"), at(31, 11).alias("y"), at(42, 12).alias("ut1"), at(54, 12).alias("lod"))
+    return rows.where("mjd is not null and x is not null and y is not null")
+
+
+def write_earth_orientation(rows: DataFrame, path: str) -> None:
+    """mjd (whole days), x, y, ut1, lod as such lines, in order of days."""
+    day = F.date_add(F.lit("1858-11-17").cast("date"), F.col("mjd").cast("int"))
+    line = F.format_string("%4d%4d%4d%7d%11.6f%11.6f%12.7f%12.7f", F.year(day), F.month(day), F.dayofmonth(day), F.col("mjd").cast("int"), "x", "y", "ut1", "lod")
+    rows.select("mjd", line.alias("value")).orderBy("mjd").select("value").write.text(path)
+
+
 def coefficients(spark: SparkSession, path: str | list[str], layout: str, lmax: int | None = None) -> DataFrame:
     """path, l, m, c, s, sigma_c, sigma_s of spherical-harmonic coefficients.
 

@@ -68,3 +68,18 @@ def test_epochs_of_names(spark):
     assert one("nothing", "icgem")["centre"] is None
     with pytest.raises(ValueError):
         gravity.epoch(F.lit("x"), "other")
+
+
+def test_pole_between_days(spark, tmp_path):
+    from keyfold.operators import series
+
+    rows = [(51544 + k, 0.01 * k, -0.02 * k, 0.1, 0.001 * k) for k in range(5) if k != 3]
+    path = str(tmp_path / "pole")
+    files.write_earth_orientation(spark.createDataFrame(rows, "mjd int, x double, y double, ut1 double, lod double"), path)
+    assert open(next((tmp_path / "pole").glob("part-*"))).readline().startswith("2000   1   1  51544")
+    known = files.earth_orientation(spark, path)
+    assert sorted(r["mjd"] for r in known.collect()) == [51544.0, 51545.0, 51546.0, 51548.0]
+    ask = spark.createDataFrame([(t,) for t in (51543.5, 51544.0, 51544.25, 51546.0, 51546.5, 51548.0, 51548.5)] + [(None,)], "mjd double")
+    got = {r["mjd"]: r["x"] for r in series.interpolate_steps(ask, known, "mjd", ["x"], 1.0).collect()}
+    assert got[51544.25] == pytest.approx(0.0025) and got[51544.0] == 0.0 and got[51546.0] == pytest.approx(0.02) and got[51548.0] == pytest.approx(0.04)
+    assert got[51543.5] is None and got[51546.5] is None and got[51548.5] is None and got[None] is None
