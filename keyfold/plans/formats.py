@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import projection, series
 from ..sources import binary, files, gravity, sinex
 from ..sources.shared import fresh_folder
@@ -190,7 +191,7 @@ _POLE = "pole AS (SELECT CAST(floor(epoch_us(ts) / 86400000000.0) + 40587 AS BIG
 
 
 def _pole(spark, d):
-    day = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000) + 40587).cast("long")
+    day = (F.floor(C.days(F.col("ts"))) + 40587).cast("long")
     mean = table(spark, d, "events").groupBy(day.alias("mjd")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     return mean.select("mjd", F.round(F.col("v") / 1e3, 6).alias("x"), F.round(-F.col("v") / 3e3, 6).alias("y"), F.lit(0.0).alias("ut1"), F.round(F.col("n") / 1e5, 7).alias("lod"))
 
