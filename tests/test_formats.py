@@ -4,7 +4,6 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from keyfold.sources import binary, sinex
 

@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from keyfold.operators import observations as O
 from keyfold.operators import spectra
