@@ -8,13 +8,15 @@ differ in some ten bits), so what it leaves is searched by prefixes: in an
 order of shingles that all texts share (frequent ones last, then by hash),
 similar sets share shingles near the beginning.
 
-How long a prefix: the first n - ceil(0.8 n) + 1 of n always suffice.  Often
-fewer do.  Among the shingles that aren't frequent the order is random, and at
-0.8 at least 78 % of the first ones of two sets' union are shared (where at
-least 90 % of each set isn't frequent).  Of the first 20, four are then shared
-but for a chance of 4e-9 a pair, so `NEED` common keys are asked for; sets with
-more frequent shingles get prefixes so long that the chance of no common key is
-below 1e-10, and one common key is enough.
+How long a prefix: two sets of x and y shingles at 0.8 at least share ceil(0.8 x)
+and ceil(0.8 y) at least.  Of the shared ones, the k-th in the order then has at
+most x - ceil(0.8 x) others of its set before it that aren't shared, so it is
+among the first x - ceil(0.8 x) + k of the one set and likewise of the other.
+Prefixes are that long for k = `NEED` (or all that must be shared, if fewer).  Of
+two prefixes of p and q keys, one ends first; if c of its keys are in the other,
+p - c (or q - c) shingles of its set are surely not shared, so near copies have
+c >= 4 (x + y) / 9 - max(x - p, y - q).  Only such pairs are looked at.  No pair
+is left to chance, and none depends on which shingles come last.
 
 No group is paired off in full.  A key of up to 32 rows gives its pairs; in a
 larger one, all rows meet one row of the key's largest component, and once the
@@ -42,55 +44,71 @@ from .shared import arrow_schema, mapped, materialise
 from .simhash import BROADCAST_KEYS, TILE, _link_tiles, _runs, dealt, majority, tiled_keys
 from .textkit import LOWER, chunks, set_hashes, views
 
-#: Texts (about) and shingles by which frequent shingles are told; they come last in the order.
-ORDER_TEXTS, ORDER_TERMS = 8_000, 50_000
-#: Shingles of a usual prefix, and how many of them a pair must share.
-PREFIX, NEED = 20, 4
-#: A chance of 1e-10, as a negative logarithm.
-RARELY = 23.0
+#: Shingles that come last in the order, the most frequent ones.
+ORDER_TERMS = 50_000
+#: Hashes that are counted together.
+PIECE = 1 << 21
+#: Shingles of lesser hashes are counted one and all; others only where a piece has them in over three texts, as they seldom come into a prefix.
+LOW = np.uint64(1 << 63)
+#: Keys of their prefixes that a pair must share at least.
+NEED = 4
 SHORT = 32
 
 
-def _distinct_shingles(batches, words: int, schema: pa.Schema):
+def _shingle_counts(batches, words: int, schema: pa.Schema):
+    """Shingles of low hashes, or that are in over three of the texts of a piece, and in how many."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        told = (n > 3) | (h < LOW)
+        return pa.RecordBatch.from_arrays([pa.array(h[told].view(np.int64)), pa.array(n[told])], schema=schema)
+
+    held, size = [], 0
     for batch in batches:
         for c in chunks(batch.column("text")):
             h, doc = set_hashes(c, words)
-            one = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], schema=schema)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            held.append(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]])
+            size += len(held[-1])
+            if size > PIECE:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
 
 
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that are in over three of some ORDER_TEXTS different
-    texts, and in how many.  They bear on speed, not on the result."""
-    share = max(1, texts.count() // ORDER_TEXTS)
-    one = "key long"
-    schema = arrow_schema(one)
-    sample = texts.withColumn("own", F.xxhash64("text")).where(F.pmod(F.col("own"), F.lit(share)) == 0).dropDuplicates(["own"])
-    count = sample.select("text").transform(mapped, lambda it: _distinct_shingles(it, words, schema), one).groupBy("key").count().where("count > 3")
-    top = count.orderBy(F.desc("count"), "key").limit(ORDER_TERMS).toArrow()
+    """The ORDER_TERMS most frequent shingles (sorted) and in how many of all
+    texts they are (from LOW on, pieces where one is in three texts at most
+    don't add to it).  They bear on speed, not on the result."""
+    count = "key long, n long"
+    schema = arrow_schema(count)
+    counts = texts.select("text").transform(mapped, lambda it: _shingle_counts(it, words, schema), count).groupBy("key").agg(F.sum("n").alias("n")).where("n > 3")
+    top = materialise(counts, "counts", lean=True).orderBy(F.desc("n"), "key").limit(ORDER_TERMS).toArrow()
     terms, ranks = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(terms)
     return terms[order], ranks[order]
 
 
-def prefix_sizes(size: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sets with so many shingles, so many of them not frequent: the
-    shingles of the prefix, and the common keys that a pair must have."""
-    whole = size - (4 * size + 4) // 5 + 1
-    ratio = rare / np.maximum(0.2 * size, 1e-9)
-    loose = np.where(ratio > 1.05, np.ceil(RARELY / np.log(np.maximum(ratio, 1.05))), whole)
-    usual = rare >= 0.9 * size
-    take = np.minimum(np.where(usual, PREFIX, np.maximum(loose, PREFIX)), whole).astype(np.int64)
-    return take, np.where(usual & (whole >= PREFIX), NEED, 1)
+def prefix_sizes(size: np.ndarray) -> np.ndarray:
+    """The shingles of the prefix of sets with so many shingles."""
+    shared = (4 * size + 4) // 5
+    return size - shared + np.minimum(shared, NEED)
+
+
+def required(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The common keys of their prefixes that two sets of so many shingles must have."""
+    return (4 * (x + y) + 8) // 9 - np.maximum(x - prefix_sizes(x), y - prefix_sizes(y))
 
 
 def _marked(batches, at: int, words: int, terms: np.ndarray, ranks: np.ndarray, schema: pa.Schema):
     """Adds to each row the fingerprint, a 128-bit mark of its words, the
-    number of its shingles, the keys a pair must share, and the prefix."""
+    number of its shingles, and the prefix."""
     for batch in batches:
         n = batch.num_rows
         mark, fp = np.zeros((2, n), np.uint64), np.zeros(n, np.uint64)
-        sizes, needs = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        sizes = np.zeros(n, np.int32)
         keys, taken = [np.zeros(0, np.uint64)], np.zeros(n + 1, np.int32)
         for c in chunks(pc.struct_field(batch.column("row"), [at])):
             own = slice(c.first, c.first + c.n)
@@ -103,19 +121,18 @@ def _marked(batches, at: int, words: int, terms: np.ndarray, ranks: np.ndarray,
                 spot = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
                 rank = np.where(terms[spot] == h, ranks[spot], 0)
             order = np.lexsort((h, rank, doc))
-            h, doc, rank = h[order], doc[order], rank[order]
+            h, doc = h[order], doc[order]
             fp[own] = majority(h, np.searchsorted(doc, np.arange(c.n + 1)))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc, rank = h[new], doc[new], rank[new]
+            h, doc = h[new], doc[new]
             size = np.bincount(doc, minlength=c.n)
-            take, needs[own] = prefix_sizes(size, np.bincount(doc[rank == 0], minlength=c.n))
-            sizes[own] = size
+            take, sizes[own] = prefix_sizes(size), size
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
             keys.append(h[pos < take[doc]])
-            taken[c.first + 1 : c.first + c.n + 1] = np.minimum(take, size)
+            taken[c.first + 1 : c.first + c.n + 1] = take
         prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(taken, dtype=np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
-        cols = [pa.array(x) for x in (fp.view(np.int64), mark[0].view(np.int64), mark[1].view(np.int64), sizes, needs)]
+        cols = [pa.array(x) for x in (fp.view(np.int64), mark[0].view(np.int64), mark[1].view(np.int64), sizes)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), *cols, prefix.cast(schema.types[-1])], schema=schema)
 
 
@@ -126,7 +143,7 @@ def _same_length(size: np.ndarray, a, b) -> np.ndarray:
 def _meet(batches, schema: pa.Schema):
     """Of rows sorted by key and tile: pairs that share a key (kind 0: x, y),
     and the rows of keys that aren't yet paired off (kind 1: key, row)."""
-    for key, tile, tiles, at, comp, size, need in _runs(batches, ["key", "tile", "tiles", "at", "comp", "size", "need"]):
+    for key, tile, tiles, at, comp, size in _runs(batches, ["key", "tile", "tiles", "at", "comp", "size"]):
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
         run = np.diff(edge)
         a, b, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -154,36 +171,67 @@ def _meet(batches, schema: pa.Schema):
         a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(members)
         none = np.zeros(len(a), np.int32)
         x, y = np.minimum(at[a], at[b]), np.maximum(at[a], at[b])
-        cols = [np.r_[none, none[:0] + 1, np.ones(len(m), np.int32)], np.r_[x, key[m]], np.r_[y, at[m]], np.r_[none, size[m]], np.r_[np.minimum(need[a], need[b]), need[m]], np.r_[none, tile[m]], np.r_[none, tiles[m]]]
+        cols = [np.r_[none, none[:0] + 1, np.ones(len(m), np.int32)], np.r_[x, key[m]], np.r_[y, at[m]], np.r_[none, size[m]], np.r_[required(size[a], size[b]), 0 * size[m]], np.r_[none, tile[m]], np.r_[none, tiles[m]]]
         yield pa.RecordBatch.from_arrays([pa.array(v.astype(t.to_pandas_dtype())) for v, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _probe(batches, words: int, schema: pa.Schema):
-    """Links of probes (rows outside a key's largest component) with the rows
-    of a tile, found by prefixes and checked on the shingles.  A pair is looked
-    at under the least key it shares; of the largest component, one link is enough."""
-    names = ["key", "tile", "part", "at", "comp", "size", "need", "great", "probe", "prefix", "text"]
-    for key, tile, part, at, comp, size, need, great, probe, prefix, text in _runs(batches, names, by=3):
+def _counter(lists: list[np.ndarray]):
+    """A function that tells how many of some keys each of the lists holds."""
+    flat = np.concatenate([np.zeros(0, np.int64), *lists])
+    order = np.argsort(flat)
+    flat, owner = flat[order], np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order]
+
+    def count(keys: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(flat, keys).tolist(), np.searchsorted(flat, keys, side="right").tolist()
+        return np.bincount(np.concatenate([owner[:0], *(owner[i:j] for i, j in zip(low, high, strict=True))]), minlength=len(lists))
+
+    return count
+
+
+def _hits(batches, more: list[str]):
+    """Runs of rows sorted by key, tile and part, and of each the probes (rows
+    outside a key's largest component) with the rows of the tile that they may
+    be near copies of by their prefixes: (at, great, more columns, [(probe,
+    rows)] of each key).  A pair is looked at under the least of the large keys it shares."""
+    names = ["key", "tile", "part", "at", "comp", "size", "great", "probe", "large", "prefix", *more]
+    for key, tile, part, at, comp, size, great, probe, large, prefix, *rest in _runs(batches, names, by=3):
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]) | (part[1:] != part[:-1]), True])
-        a, b = [], []
+        groups = []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             own = s + np.flatnonzero(probe[s:e] == 0)
-            flat = np.concatenate([prefix[k] for k in own]) if len(own) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(own)), [len(prefix[k]) for k in own])
+            in_prefix, in_large = _counter([prefix[k] for k in own]), _counter([large[k] for k in own])
+            found = []
+            for u in (s + np.flatnonzero(probe[s:e] == 1)).tolist():
+                common, before = in_prefix(prefix[u]), in_large(large[u][large[u] < key[s]])
+                hit = (comp[own] != comp[u]) & (common >= required(size[own], size[u])) & (before == 0)
+                hit = own[hit & _same_length(size, own, u) & ((great[own] == 1) | (at[own] > at[u]))]
+                if len(hit):
+                    found.append((u, hit))
+            groups.append(found)
+        yield at, great, rest, groups
+
+
+def _active(batches, schema: pa.Schema):
+    """The rows that any pair of _hits holds."""
+    for at, _, _, groups in _hits(batches, []):
+        rows = [np.zeros(0, np.int64), *(at[np.r_[u, hit]] for found in groups for u, hit in found)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(rows)))], schema=schema)
+
+
+def _probe(batches, words: int, schema: pa.Schema):
+    """The links among the pairs of _hits, checked on the shingles; of the largest component, one link is enough."""
+    for at, great, (text,), groups in _hits(batches, ["text"]):
+        a, b = [], []
+        for found in groups:
             number: dict = {}
             known: dict[int, set] = {}
 
-            def shingles(k: int, number=number, known=known) -> set:
+            def shingles(k: int, number=number, known=known, text=text) -> set:
                 if k not in known:
                     known[k] = {number.setdefault(x, len(number)) for x in _shingle_set(text[k].encode("utf-8", "surrogatepass") if text[k] else b"", words)}
                 return known[k]
 
-            for u in (s + np.flatnonzero(probe[s:e] == 1)).tolist():
-                same = np.isin(flat, prefix[u])
-                common = np.bincount(owner[same], minlength=len(own))
-                before = np.bincount(owner[same & (flat < key[s])], minlength=len(own))
-                hit = (comp[own] != comp[u]) & (common >= np.minimum(need[own], need[u])) & (before == 0)
-                hit = own[hit & _same_length(size, own, u) & ((great[own] == 1) | (at[own] > at[u]))]
+            for u, hit in found:
                 joined = False
                 for v in hit[np.argsort(-great[hit], kind="stable")].tolist():
                     if great[v] and joined:
@@ -218,16 +266,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of rows whose texts are near copies."""
     pairs = materialise(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
     need = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
-    own = materialise(texts.join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "at", "left_semi"), "texts")
+    own = materialise(texts.join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "at", "left_semi"), "texts", lean=True)
     side = lambda k: own.select(F.col("at").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     out = "a long, b long"
     schema = arrow_schema(out)
-    return materialise(both.transform(mapped, lambda it: _alike(it, words, schema), out), "alike")
+    return materialise(both.transform(mapped, lambda it: _alike(it, words, schema), out), "alike", lean=True)
 
 
 def near_copies(nodes: DataFrame, texts: DataFrame, words: int, radius: int, tile: int) -> DataFrame:
-    """(node, comp) of all nodes (at, fp_hi, size, need, prefix) that have a
+    """(node, comp) of all nodes (at, fp_hi, size, prefix) that have a
     near copy among them; texts has at, text of the nodes at least."""
     # Proposals of the fingerprints: equal ones, and the links of their least rows.
     hubs = materialise(nodes.groupBy("fp_hi").agg(F.min("at").alias("hub")), "hubs")
@@ -240,18 +288,18 @@ def near_copies(nodes: DataFrame, texts: DataFrame, words: int, radius: int, til
     found = materialise(components(first), "round1")
     # Everything else: pairs of different components that share keys of their prefixes.
     keyed = nodes.join(found.withColumnRenamed("node", "at"), "at", "left")
-    keyed = keyed.select(F.explode("prefix").alias("key"), "at", F.coalesce("comp", "at").alias("comp"), "size", "need")
+    keyed = keyed.select(F.explode("prefix").alias("key"), "at", F.coalesce("comp", "at").alias("comp"), "size")
     hot = keyed.groupBy("key").count().where(F.col("count") > tile)
-    hot = materialise(hot.select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles")), "hot")
+    hot = materialise(hot.select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles")), "hot", lean=True)
     keyed = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     keyed = keyed.withColumn("tile", F.pmod(F.xxhash64("at"), F.col("tiles")).cast("int"))
     out = "kind int, x long, y long, size int, need int, tile int, tiles int"
     schema = arrow_schema(out)
-    met = materialise(dealt(keyed, "key", "tile").transform(mapped, lambda it: _meet(it, schema), out), "met")
+    met = materialise(dealt(keyed, "key", "tile").transform(mapped, lambda it: _meet(it, schema), out), "met", lean=True)
     counted = met.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.min("need").alias("need"))
     second = _verified(counted.where("n >= need"), texts, words)
     edges = first.unionByName(second)
-    members = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("at"), "size", "need", "tile", "tiles")
+    members = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("at"), "size", "tile", "tiles")
     if members.isEmpty():
         return components(edges)
     found = materialise(components(edges), "round2")
@@ -259,17 +307,24 @@ def near_copies(nodes: DataFrame, texts: DataFrame, words: int, radius: int, til
     members = materialise(members, "members")
     per = members.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"))
     rest = members.join(per.where("comps > 1").select("key", "largest"), "key").withColumn("great", (F.col("comp") == F.col("largest")).cast("int"))
-    rest = rest.join(nodes.select("at", "prefix"), "at").join(texts, "at")
-    cols = ["at", "comp", "size", "need", "great", "prefix", "text"]
+    rest = materialise(rest.drop("largest"), "rest", lean=True)
+    large = rest.groupBy("at").agg(F.collect_list("key").alias("large"))
+    rest = rest.join(large, "at").join(nodes.select("at", "prefix"), "at")
     every = F.explode(F.expr("sequence(0, tiles - 1)"))
-    own = rest.select("key", "tile", every.alias("part"), *cols, F.lit(0).alias("probe"))
-    probes = rest.where("great = 0").withColumn("part", F.pmod(F.xxhash64("at", F.lit(1)), F.col("tiles")).cast("int"))
-    both = own.unionByName(probes.select("key", every.alias("tile"), "part", *cols, F.lit(1).alias("probe")))
-    third = dealt(both, "key", "tile", "part").transform(mapped, lambda it: _probe(it, words, end_schema), ends)
-    # Pairs of small keys that may share more keys among the large ones.
-    open_rows = members.select("at").distinct()
-    few = counted.where("n < need").join(open_rows.withColumnRenamed("at", "a"), "a", "left_semi").join(open_rows.withColumnRenamed("at", "b"), "b", "left_semi")
-    return components(edges.unionByName(materialise(third, "third")).unionByName(_verified(few, texts, words)))
+
+    def tiles(rest: DataFrame, *more: str) -> DataFrame:
+        cols = ["at", "comp", "size", "great", "large", "prefix", *more]
+        own = rest.select("key", "tile", every.alias("part"), *cols, F.lit(0).alias("probe"))
+        probes = rest.where("great = 0").withColumn("part", F.pmod(F.xxhash64("at", F.lit(1)), F.col("tiles")).cast("int"))
+        return dealt(own.unionByName(probes.select("key", every.alias("tile"), "part", *cols, F.lit(1).alias("probe"))), "key", "tile", "part")
+
+    # Texts are only dealt of rows that have a partner by their prefixes.
+    one = "at long"
+    one_schema = arrow_schema(one)
+    active = materialise(tiles(rest).transform(mapped, lambda it: _active(it, one_schema), one).distinct(), "active", lean=True)
+    rest = rest.join(active, "at", "left_semi").join(texts, "at")
+    third = tiles(rest, "text").transform(mapped, lambda it: _probe(it, words, end_schema), ends)
+    return components(edges.unionByName(materialise(third, "third", lean=True)))
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, radius: int = 12, tile: int = TILE) -> DataFrame:
@@ -279,7 +334,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     propose before the rest is searched; it bears on speed, not on the result."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     terms, ranks = frequent_shingles(df.select(F.col(text).alias("text")), words)
-    marks = {c: F.lit(0).cast("long") for c in ("fp_hi", "mark_hi", "mark_lo")} | {c: F.lit(0) for c in ("size", "need")}
+    marks = {c: F.lit(0).cast("long") for c in ("fp_hi", "mark_hi", "mark_lo")} | {"size": F.lit(0)}
     out = packed.withColumns(marks | {"prefix": F.array(F.lit(0).cast("long"))}).schema
     schema = arrow_schema(out)
     at = df.columns.index(text)
@@ -288,7 +343,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     ids = rows.select("at", F.col(f"row.`{doc_id}`").alias("id"), "mark_hi", "mark_lo")
     least = lambda: (F.coalesce(F.min_by("at", "id"), F.min("at")).alias("at"), F.min("id").alias("id"))
     best = ids.groupBy("mark_hi", "mark_lo").agg(*least()).select("at", "id")
-    nodes = materialise(rows.select("at", "fp_hi", "size", "need", "prefix").join(best, "at"), "nodes")
+    nodes = materialise(rows.select("at", "fp_hi", "size", "prefix").join(best, "at"), "nodes", lean=True)
     linked = near_copies(nodes.drop("id"), rows.select("at", F.col(f"row.`{text}`").alias("text")), words, radius, tile)
     named = nodes.select("at", "id").join(linked.withColumnRenamed("node", "at"), "at", "left")
     kept = named.groupBy(F.coalesce("comp", "at").alias("comp")).agg(*least()).select("at")

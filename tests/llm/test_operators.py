@@ -344,6 +344,54 @@ def test_keep_one_against_brute_force(spark):
     assert 40 < len(want) < 200
 
 
+def test_near_copies_that_share_no_early_shingles(spark):
+    """Copies at 0.8 whose differences lie at the shingles of the least hashes:
+    none of the first twenty of the one text is in the other."""
+    from keyfold.llm.textkit import Chunk, set_hashes
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    rows, kept = [], set()
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        words = [f"t{seed}{x}" for x in r.integers(0, 10**9, 1500)]
+        edited = list(words)
+        h, _ = set_hashes(Chunk(0, [" ".join(words).encode()], True), 5)
+        for k in np.argsort(h)[:28].tolist():
+            edited[k + 2] = f"edit{seed}x{k}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(edited))
+        assert 5 * len(a & b) >= 4 * len(a | b)
+        kept.add(len(rows))
+        rows += [(len(rows), " ".join(words), "a"), (len(rows) + 1, " ".join(edited), "a")]
+    assert {r["doc_id"] for r in near_copies.keep_one(table(spark, rows)).collect()} == kept
+
+
+def test_frequent_shingles_count_every_text(spark):
+    texts = spark.range(17000).selectExpr("concat('one two three four five ', id, ' a', id, ' b', id) text")
+    terms, counts = near_copies.frequent_shingles(texts, 5)
+    assert counts.tolist() == [17000] and len(terms) == 1
+
+
+def test_prefixes_share_what_is_required():
+    """Of pairs at 0.8, prefixes by any order share the required keys."""
+    rng = np.random.default_rng(3)
+    for x in range(1, 90):
+        for y in range(x, x * 5 // 4 + 1):
+            shared = -(-4 * (x + y) // 9)
+            if shared > x:
+                continue
+            p, q = (int(near_copies.prefix_sizes(np.array([n]))[0]) for n in (x, y))
+            least = near_copies.required(np.array([x]), np.array([y]))[0]
+            assert 1 <= least <= p <= x and q <= y
+            a, b = np.arange(x), np.r_[np.arange(shared), np.arange(x, x + y - shared)]
+            for late in (0, 1, -1):  # what is shared comes anywhere, last or first in the order
+                order = rng.random(x + y) + late * (np.arange(x + y) < shared)
+                common = np.intersect1d(a[np.argsort(order[a])][:p], b[np.argsort(order[b])][:q])
+                assert len(common) >= least
+
+
 def test_mixing_hits_targets(spark, odd):
     rows = [(k, prose(k, 20 + k % 50), "abc"[k % 3]) for k in range(300)]
     got = mixing.mix(table(spark, rows)).toPandas()
