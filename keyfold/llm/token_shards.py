@@ -53,6 +53,8 @@ SLOTS = 1 << 20
 PART_BYTES = 24
 #: Long parts that a process remembers.
 LONG_PARTS = 20_000
+#: Parts that are given to the library in one text; its time a part grows with the text.
+LEARN_PARTS = 400
 #: Bytes of texts that are tokenised together.
 PIECE_BYTES = 1 << 19
 
@@ -140,11 +142,13 @@ class Encoder:
 
     def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, in a row, and the number of each.  They are given
-        to the library in one text: the line feeds between them are pieces of
+        to the library LEARN_PARTS in a text: the line feeds between them are pieces of
         their own, and no other part holds one."""
         if b"\n" in parts:  # the part that is a line feed itself
             return self._learn_apart(parts)
-        ids = np.array(self.lib.encode_batch_fast([b"\n".join(parts).decode()], add_special_tokens=False)[0].ids, np.int64)
+        texts = (b"\n".join(parts[k : k + LEARN_PARTS]).decode() for k in range(0, len(parts), LEARN_PARTS))
+        each = [np.array(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int64) for t in texts]
+        ids = np.concatenate([x for e in each for x in (e, [self.feed])][:-1])
         stop = np.append(np.flatnonzero(ids == self.feed), len(ids))
         return ids[ids != self.feed], np.diff(stop, prepend=-1) - 1
 

@@ -523,3 +523,21 @@ def test_html_unclosed_quotes():
     assert html_text.main_text(head + '<img src="data:' + "QUJD" * 50_000) == want
     assert html_text.main_text(head + '<img src="data:QUJD></div>') == want
     assert html_text.main_text(head + "<i title='" * 20_000) == want
+
+
+def test_parts_are_learnt_in_short_texts():
+    """However many parts are new, no text given to the library is long, and the ids are the library's."""
+    enc = token_shards.Encoder(tokenizer_path())
+    lib, given = enc.lib, []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    enc.lib = Library()
+    parts = [f"{' ' * (k % 2)}word{k}".encode() for k in range(3 * token_shards.LEARN_PARTS + 1)]
+    ids, number = enc.learn(parts)
+    want = [lib.encode(p.decode(), add_special_tokens=False).ids for p in parts]
+    assert ids.tolist() == [x for w in want for x in w] and number.tolist() == [len(w) for w in want]
+    assert max(t.count("\n") for t in given) < token_shards.LEARN_PARTS
