@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +52,7 @@ SLOTS = 1 << 20
 PART_BYTES = 24
 #: Long parts that a process remembers.
 LONG_PARTS = 20_000
-#: Parts that are given to the library in one text; its time a part grows with the text.
+#: Long parts that are given to the library in one text; its time a part grows with the text.
 LEARN_PARTS = 400
 #: Bytes of texts that are tokenised together.
 PIECE_BYTES = 1 << 19
@@ -70,7 +69,8 @@ class PartTable:
         self.word = [np.zeros(slots, np.uint64) for _ in range(3)]
         self.length = np.zeros(slots, np.uint8)  # 0: free
         self.code = np.zeros(slots, np.int32)
-        self.begin, self.flat = np.zeros(1, np.int32), np.zeros(0, np.int32)
+        # The ids of the parts in a row and where each part's begin; both have room behind.
+        self.begin, self.flat = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
 
     @property
     def room(self) -> int:
@@ -93,52 +93,121 @@ class PartTable:
             left, at = left[go], (at[go] + 1) & (len(self.code) - 1)
         return code
 
-    def add(self, key: np.ndarray, word: list[np.ndarray], length: np.ndarray, ids: np.ndarray, number: np.ndarray) -> None:
-        """Distinct parts that aren't known, with their ids in a row."""
-        code = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(key), dtype=np.int32)
-        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(number)).astype(np.int32)])
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+    def lay(self, first: int, ids: np.ndarray, number: np.ndarray) -> None:
+        """Put the ids of parts first, first + 1, ... behind those of the parts
+        before.  Behind the parts that were added they last until the next call."""
+        stop = int(self.begin[first]) + np.cumsum(number)
+        self.begin = _roomy(self.begin, first + 1 + len(number))
+        self.begin[first + 1 : first + 1 + len(number)] = stop
+        self.flat = _roomy(self.flat, int(stop[-1]))
+        self.flat[self.begin[first] : stop[-1]] = ids
+
+    def add(self, key: np.ndarray, word: list[np.ndarray], length: np.ndarray) -> None:
+        """Distinct parts that aren't known, whose ids were laid behind the known ones."""
+        code = np.arange(self.used, self.used + len(key), dtype=np.int32)
         at, left = self.place(key), np.arange(len(key))
-        owner = np.full(len(self.code), -1, np.int32)
         while len(left):
             free = self.length[at] == 0
-            owner[at[free]] = left[free]  # of several for one slot, the last stays
-            own = free & (owner[at] == left)
+            self.code[at[free]] = code[left[free]]  # of several for one slot, the last stays
+            own = free & (self.code[at] == code[left])
             k, to = left[own], at[own]
-            self.length[to], self.code[to] = length[k], code[k]
+            self.length[to] = length[k]
             for mine, w in zip(self.word, word, strict=True):
                 mine[to] = w[k]
             left, at = left[~own], (at[~own] + 1) & (len(self.code) - 1)
         self.used += len(key)
 
 
+def _roomy(x: np.ndarray, size: int) -> np.ndarray:
+    """x, or a copy with room for size elements and more."""
+    if len(x) >= size:
+        return x
+    out = np.zeros(2 * size, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 #: By length, what of 8 bytes belongs to a part.
 _WORD_MASK = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], np.uint64)
 
 
+#: Bytes that no text cut here holds: other white space, what separates parts, leads of signs beyond U+04FF.
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[*b"\0\t\r\v\f\x1c\x1d\x1e\x1f", *range(0xD4, 256)]] = True
+#: Kinds of signs that the tokenizer's pattern tells apart.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+#: Code points of signs that are cut here: those of one or two bytes, Cyrillic the last.
+CUT_BELOW = 0x500
+
+
+def _kinds(lib) -> np.ndarray:
+    """The kind of each sign below CUT_BELOW, by what the library doesn't cut it from."""
+    kind = np.full(CUT_BELOW, SPACE, np.uint8)
+    for c in range(CUT_BELOW):
+        for k, sign in ((LETTER, "a"), (DIGIT, "1"), (OTHER, "!")):
+            if len(lib.pre_tokenizer.pre_tokenize_str(sign + chr(c))) == 1:
+                kind[c] = k
+    return kind
+
+
+def _alphabet() -> np.ndarray:
+    """The sign by which a byte-level vocabulary writes each byte; 0 stays, it parts words."""
+    own = np.zeros(256, bool)
+    own[[0, *range(33, 127), *range(161, 173), *range(174, 256)]] = True
+    sign = np.arange(256)
+    sign[~own] = 256 + np.arange(1, 1 + (~own).sum())
+    return sign.astype("<u4")
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library.
 
-    The byte-level tokenizer cuts a text into pieces and treats each by
-    itself.  A blank or a line feed that no other white space touches always
-    begins a piece, so texts are cut there, and each distinct part is given to
-    the library once.  Texts with other white space, with special tokens or
-    with signs beyond U+04FF are given to it whole."""
+    The byte-level tokenizer cuts a text into parts, a blank with what follows
+    it, and runs its merges on each by itself.  Here texts are cut by the same
+    pattern, and each distinct part is given to the library's model once.
+    Texts where white space touches white space, with special tokens or with
+    signs beyond U+04FF are given to the library whole."""
 
     def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.size = self.lib.get_vocab_size()
-        special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
-        other = [bytes([c]) for c in b"\0\t\r\v\f\x1c\x1d\x1e\x1f"]
-        self.whole = [*special, *other, b"\xc2\x85", b"\xc2\xa0", b"  ", b"\n\n", b" \n", b"\n "]
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.feed = self.lib.encode("\n", add_special_tokens=False).ids[0]
+        self.kind, self.alphabet = _kinds(self.lib), _alphabet()
         self.table = PartTable(slots)
         self.long: dict[bytes, np.ndarray] = {}
 
-    def simple(self, text: bytes) -> bool:
-        return not any(s in text for s in self.whole) and (text.isascii() or max(text) < 0xD4) and text[-1:] not in (b" ", b"\n") and text[:1] not in (b" ", b"\n")
+    def simple(self, texts: list[bytes]) -> list[bool]:
+        """Which texts can be cut here: all bytes are of signs that are, and of
+        white space there are single blanks and line feeds within a text."""
+        chunk = Chunk(0, texts, lower=False)
+        raw = b"\n".join([*texts, b""])
+        buf = np.frombuffer(raw, np.uint8)
+        ok = np.ones(len(texts), bool)
+        white = (buf == 32) | (buf == 10)
+        odd = _WHOLE[buf]
+        odd[1:] |= white[1:] & white[:-1]  # a line feed ends every text, so this also tells those that begin or end with one
+        odd[:1] |= white[:1]
+        odd[1:] |= (buf[:-1] == 0xC2) & ((buf[1:] == 0x85) | (buf[1:] == 0xA0))
+        ok[np.searchsorted(chunk.doc_start, np.flatnonzero(odd), side="right") - 1] = False
+        ok |= np.diff(chunk.doc_start) == 1  # empty
+        doubtful = self.special if _is_utf8(raw) else [b""]
+        if any(s in raw for s in doubtful):
+            ok &= [_is_utf8(t) and not any(s in t for s in self.special) for t in texts]
+        return ok.tolist()
+
+    def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that the pattern doesn't cut, in a row, and the number of each."""
+        words = self.alphabet[np.frombuffer(b"\0".join(parts), np.uint8)].tobytes().decode("utf-32-le").split("\0")
+        ids, number, tokenize = [], [], self.model.tokenize
+        for w in words:
+            got = tokenize(w)
+            number.append(len(got))
+            ids += [t.id for t in got]
+        return np.array(ids, np.int32), np.array(number, np.int64)
 
     def learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, in a row, and the number of each.  They are given
@@ -160,7 +229,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, and the number of each."""
-        simple = [self.simple(t) for t in texts]
+        simple = self.simple(texts)
         ids, at, edge = self._simple_ids([t for t, ok in zip(texts, simple, strict=True) if ok])
         if len(edge) > len(texts):
             return ids, np.diff(at[edge])
@@ -176,11 +245,7 @@ class Encoder:
         chunk = Chunk(0, texts, lower=False)
         raw = b"\n".join([*texts, b""])  # a line feed ends every text
         chunk.buf = buf = np.frombuffer(raw, np.uint8)
-        feed = buf == 10
-        cut = feed | (buf == 32)
-        cut[1:] |= feed[:-1]
-        cut[:1] = True
-        start = np.flatnonzero(cut)
+        start = np.flatnonzero(self.cuts(buf))
         end = np.append(start[1:], len(buf))
         inner = np.ones(len(start), bool)
         inner[np.searchsorted(start, chunk.doc_start[1:] - 1)] = False  # the line feeds that end texts
@@ -188,26 +253,26 @@ class Encoder:
         edge = np.searchsorted(start, chunk.doc_start)
         length = end - start
         brief = np.flatnonzero(length <= PART_BYTES)
-        ids, begin = self.table.flat, self.table.begin
+        table, known = self.table, self.table.used
         code = np.full(len(start), -1, np.int64)
         # Short parts: by the table, those it doesn't know by the library.
         eight = np.ndarray((len(raw) + PART_BYTES - 8,), "<u8", raw + bytes(PART_BYTES), strides=(1,))
         size = length[brief]
         word = [eight[start[brief] + 8 * j] & _WORD_MASK[np.clip(size - 8 * j, 0, 8)] for j in range(3)]
         key = mix(word[0] ^ mix(word[1] ^ mix(word[2] + size.astype(np.uint64))))
-        code[brief] = self.table.find(key, word, size)
+        code[brief] = table.find(key, word, size)
         lost = np.flatnonzero(code[brief] < 0)
         if len(lost):
             order = lost[np.argsort(key[lost])]  # equal parts lie together, but for colliding hashes: those are learnt twice
             new = np.ones(len(order), bool)
             new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (key, size, *word)], axis=0)
             first = order[new]
-            got, number = self.learn([raw[a : a + n] for a, n in zip(start[brief[first]].tolist(), size[first].tolist(), strict=True)])
-            code[brief[order]] = len(begin) - 1 + np.cumsum(new) - 1
-            ids = np.concatenate([ids, got])
-            begin = np.concatenate([begin, begin[-1] + np.cumsum(number)])
-            if room := self.table.room:
-                self.table.add(key[first[:room]], [w[first[:room]] for w in word], size[first[:room]], got[: number[:room].sum()], number[:room])
+            got, number = self.merge([raw[a : a + n] for a, n in zip(start[brief[first]].tolist(), size[first].tolist(), strict=True)])
+            code[brief[order]] = known + np.cumsum(new) - 1
+            table.lay(known, got, number)
+            known += len(first)
+            if room := table.room:
+                table.add(key[first[:room]], [w[first[:room]] for w in word], size[first[:room]])
         # Long parts: by a dictionary of their bytes.
         far = np.flatnonzero(length > PART_BYTES)
         if len(far):
@@ -218,15 +283,40 @@ class Encoder:
                 got, number = self.learn(fresh)
                 own |= zip(fresh, np.split(got, np.cumsum(number)[:-1]), strict=True)
             names = {p: k for k, p in enumerate(dict.fromkeys(parts))}
-            code[far] = len(begin) - 1 + np.array([names[p] for p in parts])
-            more = [own[p] for p in names]
-            ids = np.concatenate([ids, *more])
-            begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in more])])
+            code[far] = known + np.array([names[p] for p in parts])
+            table.lay(known, np.concatenate([own[p] for p in names]), np.array([len(own[p]) for p in names]))
             if len(own) <= LONG_PARTS:
                 self.long = own
-        out, at = spread(begin[code].astype(np.int64), (begin[code + 1] - begin[code]).astype(np.int64), ids)
+        begin = table.begin[code]
+        out, at = spread(begin, table.begin[code + 1] - begin, table.flat)
         return out, at, edge
 
+    def cuts(self, buf: np.ndarray) -> np.ndarray:
+        """Where the tokenizer's pattern begins a part: at white space, and where
+        the kind of sign changes, but not behind a blank.  The endings 's, 't,
+        're, 've, 'm, 'll and 'd are parts where the quote begins one."""
+        kind = self.kind[buf]
+        two = np.flatnonzero(buf >= 0xC0)
+        kind[two] = kind[two + 1] = self.kind[(buf[two].astype(np.int64) & 31) << 6 | buf[two + 1] & 63]
+        cut = kind == SPACE
+        cut[1:] |= (kind[1:] != kind[:-1]) & (buf[:-1] != 32)
+        cut[:1] = True
+        quote = np.flatnonzero(cut & (buf == 39))
+        one, pair = buf[quote + 1], buf[np.minimum(quote + 2, len(buf) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        wide = ((one == 114) | (one == 118)) & (pair == 101) | (one == 108) & (pair == 108)
+        for at, size in ((quote[short], 2), (quote[wide], 3)):
+            cut[at + 1], cut[at + size] = False, True
+        return cut
+
+
+def _is_utf8(text: bytes) -> bool:
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
@@ -250,89 +340,110 @@ def repair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     equal ones from left to right.  A pair that thereby keeps too few places
     waits for a later round; the most frequent one never does, so this ends
     only when no pair occurs MIN_COUNT times."""
-    seq, rules, top, fresh, waiting = symbols.astype(np.uint32), [], vocab + 1, 0, None
-    while len(seq) >= 2:
-        # Counts can only have grown for pairs of a symbol of the last round; of the
-        # others, those count that were frequent and had to wait.
-        look = seq >= fresh
-        look = (look[:-1] | look[1:]) & (seq[:-1] != vocab) & (seq[1:] != vocab)
-        if waiting is not None and len(waiting[0]):
-            ends = np.zeros((2, top), bool)
-            ends[0, waiting[0]], ends[1, waiting[1]] = True, True
-            look |= ends[0][seq[:-1]] & ends[1][seq[1:]]
-        at = np.flatnonzero(look)
+    seq, rules, top = symbols.astype(np.uint32), [], vocab + 1
+    at = np.flatnonzero((seq[:-1] != vocab) & (seq[1:] != vocab))
+    while len(at):
         wide = np.uint64 if top > 1 << 16 else np.uint32
         shift = wide(32 if top > 1 << 16 else 16)
         mask = (wide(1) << shift) - wide(1)
-        pair = (seq[at].astype(wide) << shift) | seq[at + 1]
+        left, right = seq.take(at).astype(np.int64), seq.take(at + 1).astype(np.int64)
+        pair = (left << int(shift) | right).astype(wide)
         key = np.sort(pair)
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(edge, append=len(key))
         often = np.flatnonzero(count >= MIN_COUNT)
         if not len(often):
             break
         often = often[np.lexsort((key[edge[often]], -count[often]))]
         pairs, order = np.unique(key[edge[often[:ROUND_PAIRS]]], return_index=True)
-        slot = _slots(pairs, pair, shift, top)
-        hit = pairs[slot] == pair
-        at, slot = at[hit], slot[hit]
+        late = key[edge[often[ROUND_PAIRS:]]]
+        slot = _slots(pairs, pair, left, right, shift, top)
+        hit = np.flatnonzero(pairs.take(slot) == pair)
+        # Places to count in the next round, if they are left: of frequent pairs, and below of new symbols.
+        look = np.zeros(len(seq), bool)
+        look[at.take(hit)] = True
+        if len(late):
+            ends = np.zeros((2, top), bool)
+            ends[0, late >> shift], ends[1, late & mask] = True, True
+            look[at.take(np.flatnonzero(ends[0].take(left) & ends[1].take(right)))] = True
+        at, slot = at.take(hit), slot.take(hit)
         rank = np.full(len(seq) + 1, len(pairs), np.int32)
-        rank[at + 1] = order[slot]
-        win = (rank[at + 1] <= rank[at]) & (rank[at + 1] <= rank[at + 2])
-        at, slot = at[win], slot[win]
+        own = order.astype(np.int32).take(slot)
+        rank[at + 1] = own
+        win = np.flatnonzero((own <= rank.take(at)) & (own <= rank.take(at + 2, mode="clip")))
+        at, slot = at.take(win), slot.take(win)
         head = np.r_[True, np.diff(at) > 1]
         begun = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        odd = (np.arange(len(at)) - begun) % 2 == 0
-        at, slot = at[odd], slot[odd]
+        odd = np.flatnonzero((np.arange(len(at)) - begun) % 2 == 0)
+        at, slot = at.take(odd), slot.take(odd)
         keep = np.bincount(slot, minlength=len(pairs)) >= MIN_COUNT // 2
-        late = np.r_[pairs[~keep], key[edge[often[ROUND_PAIRS:]]]]
-        waiting = late >> shift, late & mask
-        taken = keep[slot]
-        at, slot = at[taken], slot[taken]
-        seq[at] = (top + np.cumsum(keep) - 1)[slot]
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq = seq[gone]
+        taken = np.flatnonzero(keep.take(slot))
+        at, slot = at.take(taken), slot.take(taken)
+        seq[at] = (top + np.cumsum(keep) - 1).take(slot)
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        if len(at) > len(seq) >> 4:  # then places are faster than a mask
+            stay = np.flatnonzero(stay)
+        seq, look = seq[stay], look[stay]
         rules.append(np.stack([pairs[keep] >> shift, pairs[keep] & mask], 1).astype(np.uint32))
-        fresh, top = top, top + int(keep.sum())
+        top += int(keep.sum())
+        new = at - np.arange(len(at))
+        look[new], look[new - 1] = True, True
+        stop = np.flatnonzero(seq == vocab)
+        look[stop], look[stop - 1], look[-1:] = False, False, False
+        at = np.flatnonzero(look)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
-def _slots(pairs: np.ndarray, pair: np.ndarray, shift, top: int) -> np.ndarray:
-    """For each pair its place among the sorted `pairs`, if it is there: by a
-    table of left and right symbols where that is small, else by bisection."""
+def _slots(pairs: np.ndarray, pair: np.ndarray, left: np.ndarray, right: np.ndarray, shift, top: int) -> np.ndarray:
+    """For each pair, of symbols left and right, its place among the sorted
+    `pairs`, if it is there: by a table of left and right symbols where that is
+    small, else by bisection."""
     mask = (pairs.dtype.type(1) << shift) - pairs.dtype.type(1)
-    left, right = (pairs >> shift).astype(np.int64), (pairs & mask).astype(np.int64)
-    lefts, rights = np.unique(left), np.unique(right)
+    own_l, own_r = (pairs >> shift).astype(np.int64), (pairs & mask).astype(np.int64)
+    lefts, rights = np.unique(own_l), np.unique(own_r)
     wide = len(rights) + 1
     if (len(lefts) + 1) * wide > 1 << 23:
         return np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-    rank_l, rank_r = np.zeros(top, np.int32), np.zeros(top, np.int32)
-    rank_l[lefts], rank_r[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    rank_l, rank_r = np.zeros(top, np.int64), np.zeros(top, np.int64)
+    rank_l[lefts], rank_r[rights] = np.arange(1, len(lefts) + 1) * wide, np.arange(1, len(rights) + 1)
     table = np.zeros((len(lefts) + 1) * wide, np.int32)
-    table[rank_l[left] * wide + rank_r[right]] = np.arange(len(pairs))
-    return table[rank_l[pair >> shift] * np.int32(wide) + rank_r[pair & mask]]
+    table[rank_l[own_l] + rank_r[own_r]] = np.arange(len(pairs))
+    return table.take(rank_l.take(left) + rank_r.take(right))
+
+
+def _levels(rules: np.ndarray, vocab: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules, first and one past the last, whose symbols all come before the run."""
+    most, k = np.maximum.accumulate(rules.max(axis=1, initial=0)), 0
+    while k < len(rules):
+        yield k, (k := int(np.searchsorted(most, vocab + 1 + k)))
+
+
+def _all_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
+    """The expansion length of each symbol."""
+    length = np.ones(vocab + 1 + len(rules), np.int64)
+    for a, b in _levels(rules, vocab):
+        length[vocab + 1 + a : vocab + 1 + b] = length[rules[a:b]].sum(axis=1)
+    return length
 
 
 def expansions(rules: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each symbol's ids begin in `flat`, how many there are, and flat."""
-    n = vocab + 1 + len(rules)
-    start, length = list(range(vocab + 1)) + [0] * len(rules), [1] * n
-    own, end = array("q", range(vocab + 1)), vocab + 1
-    for k, (a, b) in enumerate(rules.tolist(), vocab + 1):
-        start[k], length[k] = end, length[a] + length[b]
-        own += own[start[a] : start[a] + length[a]]
-        own += own[start[b] : start[b] + length[b]]
-        end += length[k]
-    return np.array(start, np.int64), np.array(length, np.int64), np.frombuffer(own, np.int64)
+    length = _all_lengths(rules, vocab)
+    start = np.cumsum(length) - length
+    flat = np.zeros(length.sum(), np.int32)
+    flat[: vocab + 1] = np.arange(vocab + 1)
+    for a, b in _levels(rules, vocab):
+        parts = rules[a:b].ravel()
+        got, at = spread(start[parts], length[parts], flat)
+        first = start[vocab + 1 + a]
+        flat[first : first + at[-1]] = got
+    return start, length, flat
 
 
 def lengths_of(rules: np.ndarray, vocab: int) -> np.ndarray:
     """The expansion length of each rule."""
-    length = [1] * (vocab + 1)
-    for a, b in rules.tolist():
-        length.append(length[a] + length[b])
-    return np.array(length[vocab + 1 :], np.int64)
+    return _all_lengths(rules, vocab)[vocab + 1 :]
 
 
 _HEAD = struct.Struct("<4s5I")

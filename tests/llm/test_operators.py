@@ -541,3 +541,58 @@ def test_parts_are_learnt_in_short_texts():
     want = [lib.encode(p.decode(), add_special_tokens=False).ids for p in parts]
     assert ids.tolist() == [x for w in want for x in w] and number.tolist() == [len(w) for w in want]
     assert max(t.count("\n") for t in given) < token_shards.LEARN_PARTS
+
+
+def test_parts_are_given_to_the_library_once():
+    """Words with other signs around them aren't new parts; the ids stay the library's."""
+    enc = token_shards.Encoder(tokenizer_path())
+    lib, given = enc.lib, []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+        def tokenize(self, word):
+            given.append(word)
+            return self.inner.tokenize(word)
+
+    enc.lib, enc.model = Counted(lib), Counted(lib.model)
+    texts = [f"x {a}{w}{b}" for w in ("stone", "Müller", "вода", "it's", "we'll", "1984") for a in ("", '"', "(", "¿") for b in ("", ".", ",", "!", "?", '"', ").", "'s", ";\ny")]
+    ids, number = enc.encode([t.encode() for t in texts])
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and number.tolist() == [len(w) for w in want]
+    pieces = {p for t in texts for p, _ in lib.pre_tokenizer.pre_tokenize_str(t)}
+    assert sorted(given) == sorted(pieces)
+
+
+def test_cuts_are_those_of_the_library():
+    """Every sign of one or two bytes beside each kind, quoted endings, and bytes that are no UTF-8."""
+    enc = token_shards.Encoder(tokenizer_path())
+    signs = [f"{a}{chr(c)}{b}" for c in range(0x502) for a in ("", "a", "1", "!", " ", "x'") for b in ("", "a", "1", "!", "'s")]
+    rng = np.random.default_rng(5)
+    pool = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "'S", "'l", " ", "\n", "a", "s", "ll", "é", "ж", "1", "²", "!", "́", "“", "\t", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(pool[: 21 if k % 4 else None], rng.integers(0, 12))) for k in range(3000)]
+    texts = [*(t.encode() for t in [*signs, *mixed]), b"ab\x80c", b"d\xc3", b"\xc3\x28 e"]
+    ids, number = enc.encode(texts)
+    assert sum(enc.simple(texts)) > len(texts) // 2
+    want = [enc.lib.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and number.tolist() == [len(w) for w in want]
+
+
+def test_repair_counts_places_that_a_dropped_pair_took():
+    """(1, 2) goes at 12 places; at 15 it yields to pairs that in the end keep too few places."""
+    free, out, vocab = iter(range(10, 10_000)), [], 10_000
+    for c in (3, 4, 5):
+        out += [x for _ in range(5) for x in (1, 2, c, next(free))]
+        out += [x for _ in range(25) for x in (next(free), 2, c, 6)]
+        out += [x for _ in range(15) for x in (next(free), c, 6)]
+    out += [x for _ in range(12) for x in (next(free), 1, 2)]
+    ids = np.array([*out, next(free)])
+    shard = token_shards.Shard(token_shards.pack(ids, np.array([len(ids)]), [1], vocab))
+    assert shard.all_ids().tolist() == [*ids.tolist(), token_shards.END_ID]
+    _, count = np.unique(np.stack([shard.symbols[:-1], shard.symbols[1:]]), axis=1, return_counts=True)
+    assert count.max() < token_shards.MIN_COUNT
